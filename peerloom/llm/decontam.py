@@ -22,7 +22,6 @@ keeps extra columns and all rows without a hit.
 from __future__ import annotations
 
 import functools
-import heapq
 import math
 import re
 
@@ -70,7 +69,8 @@ class Index:
         n = len(parts)
         mean = sum(len(p[1]) for p in parts) / max(1, n)
         self.ids = {w: i for i, w in enumerate(df)}
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in df]
+        #: For each term, its postings by block: {block: [(part, impact)]}.
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in df]
         for d, (_, ws, *_) in enumerate(parts):
             tf: dict[str, int] = {}
             for w in ws:
@@ -81,55 +81,29 @@ class Index:
             }
             own = sum(raw.values())
             for w, x in raw.items():
-                self.postings[self.ids[w]].append((d, x / own))
+                self.postings[self.ids[w]].setdefault(d // BLOCK, []).append((d, x / own))
         self.blocks = -(-n // BLOCK)
         self.block_max = np.zeros((len(df), max(1, self.blocks)), dtype=np.float32)
-        for t, ps in enumerate(self.postings):
-            for d, x in ps:
-                self.block_max[t, d // BLOCK] = max(self.block_max[t, d // BLOCK], np.float32(x) * np.float32(1.000001))
+        for t, blocks in enumerate(self.postings):
+            for block, ps in blocks.items():
+                self.block_max[t, block] = np.float32(max(x for _, x in ps)) * np.float32(1.000001)
         self.top = self.block_max.max(axis=1) if len(df) else np.zeros(0, np.float32)
 
-    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (part, score) with a score of ``threshold`` or more: block-max WAND with a fixed threshold."""
-        eps = threshold - 1e-9
-        cur = [[self.postings[t][0][0], t, 0] for t in terms if self.postings[t]]
-        heapq.heapify(cur)
+    def wand(self, terms, threshold: float) -> list[tuple[int, float]]:
+        """All (part, score) with a score of ``threshold`` or more: block-max WAND with a fixed threshold.
+
+        The pivots are the blocks whose summed block maxima reach the threshold; all lists skip to the
+        next pivot block and only the parts in it are scored.
+        """
+        import numpy as np
+
         out = []
-        while cur:
-            order = sorted(cur)
-            bound, pivot = 0.0, None
-            for i, (d, t, _) in enumerate(order):
-                bound += float(self.top[t])
-                if bound >= eps:
-                    pivot = i
-                    break
-            if pivot is None:
-                break
-            d = order[pivot][0]
-            while pivot + 1 < len(order) and order[pivot + 1][0] == d:
-                pivot += 1
-            block = d // BLOCK
-            upper = sum(float(self.block_max[t, block]) for _, t, _ in order[: pivot + 1])
-            if upper >= eps and order[0][0] == d:
-                score = sum(self.postings[t][i][1] for _, t, i in order[: pivot + 1])
-                if score >= eps:
-                    out.append((d, score))
-                goal = d + 1
-            elif upper >= eps:
-                goal = d
-            else:  # no part of this block can reach the threshold with these lists
-                goal = (block + 1) * BLOCK
-                if pivot + 1 < len(order):
-                    goal = min(goal, order[pivot + 1][0])
-                goal = max(goal, d + 1)
-            moved = order[pivot + 1 :]
-            for x, t, i in order[: pivot + 1]:
-                ps = self.postings[t]
-                while i < len(ps) and ps[i][0] < goal:
-                    i += 1
-                if i < len(ps):
-                    moved.append([ps[i][0], t, i])
-            cur = moved
+        for block in np.flatnonzero(self.block_max[terms].sum(axis=0) >= threshold - 1e-5).tolist():
+            score: dict[int, float] = {}
+            for t in terms:
+                for d, x in self.postings[t].get(block, ()):
+                    score[d] = score.get(d, 0.0) + x
+            out += [(d, x) for d, x in score.items() if x >= threshold - 1e-9]
         return out
 
 
