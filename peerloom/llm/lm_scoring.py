@@ -28,6 +28,7 @@ predictors; extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -41,8 +42,8 @@ ORDERS = 6
 SAMPLE_WORDS = 40_000
 #: Classes of texts, and the bounded sample that they are found on.
 TOPICS, TOPIC_WORDS, TOPIC_DOCS, TOPIC_CHARS = 8, 400, 2000, 4000
-#: Bytes of text after which a chunk of documents is closed.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in open chunks after which the largest one is closed.
+CHUNK_BYTES = 6 << 20
 END = b"\n"
 PRIOR = 0.4
 APM_STEPS = 33
@@ -118,12 +119,11 @@ def count_bits(words: list[bytes], topic, counts):
     import numpy as np
 
     table = np.zeros(2 << SLOT_BITS, dtype=np.float64)
-    for a, z in _blocks(words):
+    for a, z in _blocks(words, 1 << 17):
         raw, owner, mixed = _contexts(words[a:z], topic[a:z])
         weight = np.asarray(counts[a:z], dtype=np.float64)[owner]
-        for bit, slots in _bits(raw, mixed):
-            for s in slots:
-                table += np.bincount(s * 2 + bit, weights=weight, minlength=2 << SLOT_BITS)
+        hit = np.concatenate([s * 2 + bit for bit, slots in _bits(raw, mixed) for s in slots])
+        table += np.bincount(hit, weights=np.tile(weight, 8 * ORDERS), minlength=2 << SLOT_BITS)
     return table
 
 
@@ -280,27 +280,30 @@ def _chunks(batches, topics):
     """Bounded chunks of one topic: (chunk number, topic, words in order of first use, [(doc_id, held, indexes)])."""
     from pyspark import TaskContext
 
-    part, seq = TaskContext.get().partitionId(), 0
+    part, seq, size = TaskContext.get().partitionId(), 0, 0
     open_: dict[int, list] = {}
 
     for b in batches:
-        for i, held, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-            raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
-            words = raw.split()
-            z = topics.value.of(words)
-            if z not in open_:
-                seen: dict = defaultdict()
-                seen.default_factory = seen.__len__
-                open_[z] = [seen, [], 0]
-            state = open_[z]
-            seen = state[0]
-            words.append(END)
-            state[1].append((i, held, [seen[w] for w in words]))
-            state[2] += len(raw) + 64
-            if state[2] >= CHUNK_BYTES:
-                yield (part << 24) + seq, z, list(seen), state[1]
-                seq += 1
-                del open_[z]
+        for at in range(0, b.num_rows, 256):
+            few = b.slice(at, 256)
+            for i, held, text in zip(*(few.column(k).to_pylist() for k in range(3))):
+                raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+                words = raw.split()
+                z = topics.value.of(words)
+                if z not in open_:
+                    seen: dict = defaultdict()
+                    seen.default_factory = seen.__len__
+                    open_[z] = [seen, [], 0]
+                state = open_[z]
+                words.append(END)
+                state[1].append((i, held, array("i", map(state[0].__getitem__, words))))
+                state[2] += len(raw) + 64
+                size += len(raw) + 64
+                if size >= CHUNK_BYTES:
+                    z, (seen, docs, own) = max(open_.items(), key=lambda kv: kv[1][2])
+                    del open_[z]
+                    yield (part << 24) + seq, z, list(seen), docs
+                    seq, size = seq + 1, size - own
     for z, (seen, docs, _) in open_.items():
         yield (part << 24) + seq, z, list(seen), docs
         seq += 1
@@ -323,8 +326,10 @@ def _vocabulary(rows: DataFrame, topics) -> DataFrame:
         import pyarrow as pa
 
         for _, z, words, docs in _chunks(batches, topics):
-            flat = [i for _, held, ids in docs if not held for i in ids]
-            c = np.bincount(np.array(flat, dtype=np.int64), minlength=len(words))
+            c = np.zeros(len(words), dtype=np.int64)
+            for _, held, ids in docs:
+                if not held:
+                    np.add.at(c, np.frombuffer(ids, dtype=np.int32), 1)
             for a in range(0, len(words), 50_000):
                 ws = words[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -367,13 +372,12 @@ def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
 
         import pandas as pd
 
-        table = None
+        table = np.zeros(2 << SLOT_BITS, dtype=np.float32)
         for pdf in batches:
             if len(pdf):
-                got = count_bits([bytes(w) for w in pdf["word"]], pdf["z"].to_numpy(), pdf["cz"].to_numpy())
-                table = got if table is None else table + got
-        if table is not None:
-            for i, piece in enumerate(np.split(table, pieces)):
+                table += count_bits(pdf["word"].tolist(), pdf["z"].to_numpy(), pdf["cz"].to_numpy())
+        for i, piece in enumerate(np.split(table, pieces)):
+            if piece.any():
                 yield pd.DataFrame({"piece": [i], "sums": [zlib.compress(piece.astype("<f4").tobytes(), 1)]})
 
     def add_up(batches):
@@ -451,7 +455,7 @@ def score(docs: DataFrame) -> DataFrame:
             lens = np.array([len(w) + (w != END) for w in words])
             for a in range(0, len(docs), 1000):
                 ds = docs[a : a + 1000]
-                ids = [np.array(x, dtype=np.int32) for _, _, x in ds]
+                ids = [np.frombuffer(x, dtype=np.int32) for _, _, x in ds]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number] * len(ds), pa.int64()),
