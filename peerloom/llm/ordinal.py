@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_FIT = 20_000
+MAX_FIT = 8_000
 GRADES = 3
 #: Least documents with a hashed word, and least z of its share in top against lower grades.
 MIN_DF, MIN_Z = 5, 6.0
