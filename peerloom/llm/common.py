@@ -7,7 +7,6 @@ columns cannot clash.
 
 from __future__ import annotations
 
-import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,11 +173,12 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
-def lazily(fn):
-    """Mark a query function; keeps the registry in queries.py readable."""
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows of ``df`` (all, if it has fewer; never above ``n``), picked by the hash of ``key``.
 
-    @functools.wraps(fn)
-    def run(spark, sf_dir):
-        return fn(spark, sf_dir)
-
-    return run
+    A count sets the rate, so that no task hands on more than its share of
+    about 2n rows; the least hashes of those are taken.
+    """
+    rate = max(1, df.count() // (2 * n))
+    h = F.xxhash64(F.col(key))
+    return df.where(F.pmod(h, F.lit(rate)) == 0).withColumn("__pl_h", h).orderBy("__pl_h", key).limit(n).drop("__pl_h")

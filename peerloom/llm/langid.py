@@ -23,6 +23,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample, durable
+
 LANGS = ["de", "en", "es", "fr"]
 BUCKETS = 1 << 16
 MAX_FIT, TEMPER = 4000, 0.2
@@ -55,13 +57,8 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT):
     """log P(trigram | language), languages by buckets, from at most ``max_fit`` texts."""
     import numpy as np
 
-    few = (
-        docs.where(F.col("lang").isin(LANGS) & F.col("text").isNotNull())
-        .select(F.xxhash64("doc_id").alias("k"), "doc_id", "lang", "text")
-        .orderBy("k", "doc_id")
-        .limit(max_fit)
-        .select("lang", "text")
-    )
+    known = docs.where(F.col("lang").isin(LANGS) & F.col("text").isNotNull())
+    few = bounded_sample(known.select("doc_id", "lang", "text"), "doc_id", max_fit).select("lang", "text")
 
     def run(batches):
         import pandas as pd
@@ -124,8 +121,6 @@ def _softmax(cols):
 
 def identify(pages: DataFrame, model) -> DataFrame:
     """page_id, host, declared, lang, probability for every page."""
-    from .common import durable
-
     n = len(LANGS)
     rows = durable(_evidence(pages, model))
     votes = rows.select("page_id", "host", "domain", "declared", *[f"l{i}" for i in range(n)],

@@ -34,7 +34,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_sample, durable
 
 SLOT_BITS = 21
 ORDERS = 6
@@ -43,7 +43,7 @@ SAMPLE_WORDS = 40_000
 #: Classes of texts, and the bounded sample that they are found on.
 TOPICS, TOPIC_WORDS, TOPIC_DOCS, TOPIC_CHARS = 8, 400, 2000, 4000
 #: Bytes of text in open chunks after which the largest one is closed.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 END = b"\n"
 PRIOR = 0.4
 APM_STEPS = 33
@@ -287,7 +287,7 @@ def _chunks(batches, topics):
         for at in range(0, b.num_rows, 256):
             few = b.slice(at, 256)
             for i, held, text in zip(*(few.column(k).to_pylist() for k in range(3))):
-                raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+                raw = text.lower() if text else b""
                 words = raw.split()
                 z = topics.value.of(words)
                 if z not in open_:
@@ -314,7 +314,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (key % FOLDS == HELD).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
+        F.col("text").cast("string").cast("binary").alias("text"),
     )
 
 
@@ -348,15 +348,17 @@ def _vocabulary(rows: DataFrame, topics) -> DataFrame:
     )
 
 
+def hash_of(word) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(bytes(word))
+
+
 def _topics(rows: DataFrame) -> Topics:
-    """Classes from the training texts with the least hashes, at most TOPIC_DOCS and TOPIC_CHARS characters of each."""
-    few = (
-        rows.where("not held_out")
-        .select(F.xxhash64("doc_id").alias("k"), "doc_id", F.substring("text", 1, TOPIC_CHARS).alias("t"))
-        .orderBy("k", "doc_id", "t")
-        .limit(TOPIC_DOCS)
-    )
-    return Topics([(r["t"] or "").encode("utf-8", "surrogatepass").lower().split() for r in few.collect()])
+    """Classes from the training texts with the least hashes, at most TOPIC_DOCS and TOPIC_CHARS bytes of each."""
+    few = bounded_sample(rows.where("not held_out"), "doc_id", TOPIC_DOCS)
+    texts = [bytes(r["t"]) for r in few.select(F.expr(f"substring(text, 1, {TOPIC_CHARS})").alias("t")).collect() if r["t"]]
+    return Topics([t.lower().split() for t in sorted(texts)])
 
 
 def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
@@ -400,7 +402,7 @@ def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
     for i, raw in found.items():
         table[i * width : (i + 1) * width] = np.frombuffer(raw, dtype="<f4")
     mixer = Mixer(table)
-    sample = known.orderBy(F.xxhash64("word"), "word", "z").limit(SAMPLE_WORDS).collect()
+    sample = sorted(bounded_sample(known, "word", SAMPLE_WORDS).collect(), key=lambda r: (hash_of(r["word"]), r["z"]))
     if sample:
         cols = [np.array([r[k] for r in sample]) for k in ("z", "c", "cz")]
         mixer.train([bytes(r["word"]) for r in sample], *cols, total, topic_total)
@@ -409,7 +411,7 @@ def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_score, n_bytes, bits_per_byte."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     rows = _rows(docs)
     sc = docs.sparkSession.sparkContext
     topics = sc.broadcast(_topics(rows))
@@ -430,10 +432,10 @@ def score(docs: DataFrame) -> DataFrame:
             words, z, c = [bytes(w) for w in pdf["word"]], pdf["z"].to_numpy(), pdf["c"].to_numpy()
             bits = shared.value.log10_bits(words, z)
             whole = shared.value.log10(bits, c, pdf["cz"].to_numpy(), n, np.array(by_topic)[z])
-            yield pd.DataFrame({"word": words, "z": z, "c": c, "bits": bits, "cost": whole})
+            yield pd.DataFrame({"word": words, "z": z, "c": c, "cost": whole.astype("float32")})
 
     present = vocab.select("word", "c", "topics", F.posexplode("cz").alias("z", "cz")).where("(shiftright(topics, z) & 1) = 1")
-    costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, bits double, cost double")
+    costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, cost float")
 
     def chunk_words(batches):
         import pyarrow as pa
@@ -471,22 +473,22 @@ def score(docs: DataFrame) -> DataFrame:
     # Both scans cut the same chunks: a partition's rows come in file order.
     words = rows.mapInArrow(chunk_words, "chunk long, z int, at int, word binary")
     texts = rows.mapInArrow(chunk_docs, "chunk long, z int, doc_id long, held_out boolean, ids binary, n_bytes long")
-    priced = words.join(costs, ["word", "z"]).select("chunk", "at", "c", "bits", "cost")
+    priced = words.join(costs, ["word", "z"]).select("chunk", "at", "c", "cost")
 
     def sums(prices, docs):
         import numpy as np
         import pandas as pd
 
         size = int(prices["at"].max()) + 1 if len(prices) else 0
-        c, bits, cost = np.zeros(size), np.zeros(size), np.zeros(size)
+        c, cost = np.zeros(size), np.zeros(size)
         at = prices["at"].to_numpy()
-        c[at], bits[at], cost[at] = prices["c"], prices["bits"], prices["cost"]
+        c[at], cost[at] = prices["c"], prices["cost"]
         base = np.log10((c + 1) / (n + 1.0 * (v + 1)))
         out = []
         for d, held, z, ids, n_bytes in zip(*(docs[k] for k in ("doc_id", "held_out", "z", "ids", "n_bytes"))):
             i = np.frombuffer(ids, dtype=np.int32)
             s = float(cost[i].sum() + topics.value.cost[z])
-            out.append((d, held, len(i), int((c[i] > 0).sum()), n, float(base[i].sum()), s, float(bits[i].sum()), n_bytes,
+            out.append((d, held, len(i), int((c[i] > 0).sum()), n, float(base[i].sum()), s, n_bytes,
                         -s * 3.3219280948873626 / n_bytes))
         return pd.DataFrame(out, columns=COLUMNS)
 
@@ -495,7 +497,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
-    "bits_score double, n_bytes long, bits_per_byte double"
+    "n_bytes long, bits_per_byte double"
 )
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
