@@ -69,29 +69,28 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__pl_id")), "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
-    def clean(text, found):
+    def clean(text, starts, stops):
         import numpy as np
         import pandas as pd
 
         out = []
-        for t, ss in zip(text, found):
+        for t, a, z in zip(text, starts, stops):
             if t is None:
                 out.append((None, 0, 0))
                 continue
             ls = t.split("\n")
-            if ss is None or not len(ss):
+            if a is None or not len(a):
                 out.append((t, len(ls), 0))
                 continue
             edge = np.zeros(len(ls) + 1, dtype=np.int64)
-            for s in ss:
-                edge[s["start"]] += 1
-                edge[s["stop"]] -= 1
+            np.add.at(edge, np.minimum(a, len(ls)), 1)
+            np.add.at(edge, np.minimum(z, len(ls)), -1)
             kept = [x for x, c in zip(ls, np.cumsum(edge)) if c == 0]
             out.append(("\n".join(kept), len(ls), len(ls) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     return (
-        joined.withColumn("__pl_c", clean("text", "__pl_spans"))
+        joined.withColumn("__pl_c", clean("text", F.col("__pl_spans.start"), F.col("__pl_spans.stop")))
         .withColumn("text", F.col("__pl_c.text"))
         .withColumn("n_lines", F.col("__pl_c.n_lines"))
         .withColumn("n_removed", F.col("__pl_c.n_removed"))
