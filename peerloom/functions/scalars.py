@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rng import let
+
 
 def relu(v: Column) -> Column:
     """Zero for everything that is not above zero, NaN included (Spark holds NaN above all numbers)."""
@@ -16,9 +18,9 @@ def relu_backward(x: Column, d: Column) -> Column:
 
 
 def softmax(z: Column) -> Column:
-    """Stable softmax of an array."""
-    e = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    """Stable softmax of an array; maximum and total are taken once."""
+    e = let(z, lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m))))
+    return let(e, lambda y: let(F.aggregate(y, F.lit(0.0), lambda s, v: s + v), lambda t: F.transform(y, lambda v: v / t)))
 
 
 def argmax_first(z: Column) -> Column:

@@ -188,7 +188,7 @@ def test_round_barrier(spark, tmp_path):
     out = drain(collector.collect_rounds(stream(spark, tmp_path, parts, schema), {0: [1, 2]}), "barrier", tmp_path)
     by = {r["round"]: r for r in out}
     assert len(out) == 2 and by[1]["senders"] == [1, 2] and by[2]["status"] == "completed"
-    assert by[1]["sample_count"] in (50, 40, 87, 97)  # the order of files decides which write was last
+    assert by[1]["sample_count"] == 50  # 20 replaced 10, and 77 came after the round had closed
 
 
 def test_round_deadline(spark, tmp_path):
