@@ -2,8 +2,8 @@
 
 The grade of a labelled document is 0 if it is toxic, else 1 + quality: 0, 1 or 2. One
 score f(x) = w.x is shared by all thresholds t1 < t2, with
-P(grade >= k) = sigmoid(f(x) - t_k). x holds hashed words (present or not),
-kept only where the sample shows that they tell grades apart, and six shape
+P(grade >= k) = sigmoid(f(x) - t_k). x holds hashed words and word beginnings
+(present or not), kept only where the sample shows that they tell grades apart, and six shape
 features of the whole text. The fit takes a bounded sample of labelled rows
 (MAX_FIT, the smallest hashes of doc_id); scoring reads every text whole.
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 MAX_FIT = 8_000
 GRADES = 3
 #: Least documents with a hashed word, and least z of its share in top against lower grades.
-MIN_DF, MIN_Z = 5, 6.0
+MIN_DF, MIN_Z = 5, 5.0
+#: Letters of the word beginnings that are features beside whole words: compounds share them.
+PREFIXES = (4, 5)
 STEPS, RATE, RIDGE = 800, 0.1, 1e-5
 KEEP_TAIL = 0.5
 SHAPES = 6
@@ -33,7 +35,7 @@ FIND = re.compile(r"[^\W_]+").findall
 
 
 def features(text) -> tuple[list[int], list[float]]:
-    """Hashed distinct words, and shape: capitals, symbols, bars, repeats, digits, longest word run."""
+    """Hashed distinct words and beginnings, and shape: capitals, symbols, bars, repeats, digits, longest word run."""
     from xxhash import xxh32_intdigest
 
     if not text:
@@ -51,7 +53,9 @@ def features(text) -> tuple[list[int], list[float]]:
         left(b"0123456789") / n,
         1 - len(set(words)) / m if m >= 50 else 0.0,
     ]
-    return [xxh32_intdigest(w) for w in {w for t in set(words) for w in FIND(t.decode("utf-8", "replace"))}], shape
+    plain = {w for t in set(words) for w in FIND(t.decode("utf-8", "replace").lower())}
+    stems = {w[:n] for w in plain for n in PREFIXES if len(w) > n}
+    return [xxh32_intdigest(w) for w in plain] + [xxh32_intdigest(w, 1) for w in stems], shape
 
 
 class Model:
@@ -70,16 +74,17 @@ class Model:
         return f, [1 / (1 + math.exp(min(60, max(-60, t - f)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[list[int], list[float], int]]) -> Model:
-    """Full-batch gradient descent (Adam) on the cumulative-link likelihood."""
+def fit(flat, count, shapes, grade) -> Model:
+    """Full-batch gradient descent (Adam) on the cumulative-link likelihood.
+
+    ``flat`` holds the hashed features of all rows in turn, ``count`` of them for each row.
+    """
     import numpy as np
 
-    if not rows:
+    rows = range(len(grade))
+    if not len(grade):
         return Model([], [], [0.0] * SHAPES, [0.0] * SHAPES, [-2.0, -0.01])
-    grade = np.array([r[2] for r in rows])
     top = grade == GRADES - 1
-    count = np.array([len(r[0]) for r in rows])
-    flat = np.array([h for r in rows for h in r[0]], dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), count)
     keys, code = np.unique(flat, return_inverse=True) if len(flat) else (flat, flat)
     df = np.bincount(code, minlength=len(keys)).astype(float)
@@ -92,7 +97,7 @@ def fit(rows: list[tuple[list[int], list[float], int]]) -> Model:
     place[use] = np.arange(len(use))
     ok = place[code] >= 0 if len(code) else np.zeros(0, bool)
     col, row = place[code][ok] if len(code) else flat, owner[ok] if len(code) else flat
-    shapes = np.cbrt(np.array([r[1] for r in rows]))
+    shapes = np.cbrt(shapes)
     mean = shapes[top].mean(axis=0) if top.any() else shapes.mean(axis=0)
     shapes = shapes - mean
     weight = np.full(len(rows), 1 / len(rows))
@@ -124,6 +129,8 @@ def fit(rows: list[tuple[list[int], list[float], int]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     """Fit on at most ``max_fit`` labelled documents; only their features are collected."""
+    import numpy as np
+
     graded = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy("doc_id")
@@ -146,11 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
             )
 
     got = rows.select("doc_id", "text", "__pl_g").mapInArrow(run, "doc_id long, g int, h array<long>, s array<double>").toArrow()
-    found = sorted(
-        zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist(), got.column("s").to_pylist(), got.column("g").to_pylist()),
-        key=lambda r: (r[0], r[3], sorted(r[1])),
-    )
-    return fit([(h, s, g) for _, h, s, g in found])
+    got = got.sort_by("doc_id").combine_chunks()
+    # Whole columns, no Python numbers: a row has some hundred features.
+    lists = [got.column(c).combine_chunks() for c in ("h", "s")]
+    counts = np.asarray(lists[0].value_lengths(), dtype=np.int64)
+    shapes = lists[1].flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES)
+    return fit(lists[0].flatten().to_numpy(zero_copy_only=False), counts, shapes, got.column("g").to_numpy())
 
 
 def rate(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
