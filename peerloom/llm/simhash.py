@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, durable, tokens_of
 
@@ -27,8 +28,8 @@ RADIUS = 2
 #: of the SAMPLE shingles with the least values of one permutation; a pair of
 #: similarity 0.8 misses all VIEWS with probability (1 - 0.8^4)^12 = 0.002.
 VIEWS, SAMPLE, SIMILARITY, SHINGLE = 12, 4, 0.8, 5
-#: Documents of one candidate group that one task compares at a time.
-BLOCK = 1000
+#: Documents of one candidate group that one task compares at a time, and those that all blocks are compared with.
+BLOCK, HUBS = 1000, 8
 
 
 def shingle_hashes(words: list[bytes], n: int):
@@ -163,62 +164,97 @@ def op4_query(spark, sf_dir) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def _jaccard_forest(members: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
-    """Edges (a spanning forest for each pair of blocks) between documents of ``members``
-    (gid, doc_id, text) whose sets of shingle hashes have Jaccard ``similarity`` or more.
+def _forest(rows: DataFrame, keys: list[str], similarity: float, shingle: int) -> DataFrame:
+    """nb, a, b: in each group of ``keys``, a spanning forest of the links that join different labels.
 
-    A group is dealt into blocks of about ``block`` documents by a hash of the id;
-    each pair of blocks is a task's work of its own, so a large group is spread
-    over tasks and a task's memory holds two blocks.
+    ``rows`` has nb, doc_id, text, label and lead; a pair is compared if one of its documents leads.
     """
-    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    dealt = (
-        members.join(sizes, "gid")
-        .withColumn("nb", blocks)
-        .withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("gid", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "doc_id", "text")
-    )
 
-    def forest(key, pdf):
+    def forest(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
-        ids, blk = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy()
+        pdf = pdf.drop_duplicates("doc_id").sort_values(["lead", "doc_id"], ascending=[False, True])
+        ids, labels = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
         sets = [np.unique(shingle_hashes(tokens_of(t), shingle)) for t in pdf["text"]]
         size = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), size)
-        flat, code = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_inverse=True)
+        flat, code = np.unique(np.concatenate(sets), return_inverse=True)
         start = np.concatenate([[0], np.cumsum(size)])
-        root = list(range(len(ids)))
+        root: dict[int, int] = {}
 
         def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
                 x = root[x]
             return x
 
         mark = np.zeros(len(flat), dtype=bool)
         out = []
-        for x in range(len(ids) - 1):
+        for x in range(int(pdf["lead"].sum())):
             if not size[x]:
                 continue
             own = code[start[x] : start[x + 1]]
             mark[own] = True
             both = np.bincount(owner[start[x + 1] :][mark[code[start[x + 1] :]]], minlength=len(ids))
             mark[own] = False
-            near = np.flatnonzero(both >= similarity * (size[x] + size - both) - 1e-9)
-            for y in near[near > x]:
-                if both[y] and (key[1] == key[2] or blk[x] != blk[y]):
-                    a, b = find(x), find(int(y))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        out.append((ids[x], ids[y]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("gid", "i", "j").applyInPandas(forest, "a long, b long")
+            near = np.flatnonzero((both > 0) & (both >= similarity * (size[x] + size - both) - 1e-9))
+            for y in near.tolist():
+                p, q = find(labels[x]), find(labels[y])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((pdf["nb"].iat[0], ids[x], ids[y]))
+        return pd.DataFrame(out, columns=["nb", "a", "b"]).astype("int64")
+
+    return rows.groupBy(*keys).applyInPandas(forest, "nb long, a long, b long")
+
+
+def _jaccard_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, block: int, hubs: int) -> DataFrame:
+    """a, b: links with the components of all pairs of a group (gid, doc_id) whose sets of shingle hashes
+    have Jaccard ``similarity`` or more.
+
+    A group is dealt into blocks of about ``block`` documents by a hash of the id, and each
+    block is compared within itself and with ``hubs`` documents of its group. Near copies of
+    the hubs are then one class; only documents outside their group's largest class are compared
+    again, with all blocks but their own. Thus a group of near copies takes work in
+    proportion to its size, and every task holds two blocks at most.
+    """
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    number = F.xxhash64("doc_id")
+    sizes = groups.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("nb"))
+    dealt = durable(groups.join(sizes, "gid").select("gid", "doc_id", "nb", F.pmod(number, F.col("nb")).alias("i")))
+    large = dealt.where("nb > 1")
+    first = F.row_number().over(Window.partitionBy("gid").orderBy(number, "doc_id"))
+    hub = large.withColumn("r", first).where(F.col("r") <= hubs)
+    hub = hub.select("gid", "doc_id", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("i"))
+    rows = dealt.union(hub).withColumn("label", F.col("doc_id")).withColumn("lead", F.lit(True))
+    links = durable(_forest(rows.join(texts, "doc_id"), ["gid", "i"], similarity, shingle))
+    if not large.limit(1).count():
+        return links.select("a", "b")
+    classes = components(links.where("nb > 1"))
+    label = F.coalesce("component", "doc_id").alias("label")
+    large = durable(large.join(classes, large["doc_id"] == classes["node"], "left").select("gid", "doc_id", "nb", label))
+    top = (
+        large.groupBy("gid", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("gid")
+        .agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n_all"))
+        .where("n_all > n_top")
+        .select("gid", "top", F.ceil((F.col("n_all") - F.col("n_top")) / F.lit(block)).alias("nu"),
+                F.ceil(F.col("n_top") / F.lit(block)).alias("nt"))
+    )
+    # Blocks 0 to nu-1 hold the documents outside the largest class, the others those in it.
+    lead = F.col("label") != F.col("top")
+    others = F.sequence(F.lit(0).cast("long"), F.col("nu") - 1 + F.when(F.col("lead"), F.col("nt")).otherwise(0))
+    own = F.when(F.col("lead"), F.pmod(number, F.col("nu"))).otherwise(F.col("nu") + F.pmod(number, F.col("nt")))
+    rest = (
+        large.join(top, "gid")
+        .withColumn("lead", lead)
+        .select("gid", "doc_id", "nb", "label", "lead", own.alias("own"), F.explode(others).alias("other"))
+        .select("gid", "doc_id", "nb", "label", "lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+    more = durable(_forest(rest.join(texts, "doc_id"), ["gid", "i", "j"], similarity, shingle))
+    return links.union(more).select("a", "b")
 
 
 def near_groups(
@@ -229,6 +265,7 @@ def near_groups(
     views: int = VIEWS,
     sample: int = SAMPLE,
     block: int = BLOCK,
+    hubs: int = HUBS,
 ) -> DataFrame:
     """doc_id, component_id for documents (non-null ids) linked by Jaccard ``similarity`` of word shingles.
 
@@ -255,8 +292,7 @@ def near_groups(
         .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     )
     groups = components(same.union(close)).select(F.col("node").alias("doc_id"), F.col("component").alias("gid"))
-    members = docs.select("doc_id", "text").join(groups, "doc_id")
-    links = durable(_jaccard_forest(members, similarity, shingle, block))
+    links = _jaccard_links(docs, groups, similarity, shingle, block, hubs)
     copies = rows.join(texts.select("words", "rep"), "words").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

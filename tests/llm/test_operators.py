@@ -196,9 +196,15 @@ def test_near_groups(spark):
             rows.append((g * 10 + k, " ".join(own)))
     sets = {i: set(simhash.shingle_hashes(x.encode().split(), 5).tolist()) for i, x in rows}
     want = classes([i for i, _ in rows], lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    for block in (1000, 3):  # whole groups, and groups dealt over pairs of blocks
-        kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, hubs in ((1000, 8), (3, 1)):  # whole groups, and groups dealt over blocks
+        kept = simhash.dedup(df, block=block, hubs=hubs).collect()
         assert {r["doc_id"] for r in kept} == set(want.values())
+    # One candidate group of everything: most links lie outside the hub's class and between blocks.
+    one = df.selectExpr("doc_id", "0L as gid")
+    for block, hubs in ((4, 1), (7, 3), (100, 2)):
+        links = [(r["a"], r["b"]) for r in simhash._jaccard_links(df, one, 0.8, 5, block, hubs).collect()]
+        assert classes([i for i, _ in rows], lambda a, b: (a, b) in links or (b, a) in links) == want
 
 
 def test_chroma_finds_shifted_noisy_copies(spark):
