@@ -10,7 +10,7 @@ from .lm_scoring import op1_query
 from .mixture import op2_query
 from .ordinal import op9_query
 from .quotes import op6_query
-from .sharding import op3_query
+from .sharding import OP3_SQL, op3_query
 from .simhash import op4_query
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_line_dedup": op10_query,
 }
 
-SQL = {"op10_line_dedup": OP10_SQL}
+SQL = {"op3_sharding": OP3_SQL, "op10_line_dedup": OP10_SQL}

@@ -61,3 +61,36 @@ def op3_query(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source",
     )
 
+
+def _crc32_sql(blob: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a blob, by half bytes."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = lambda c, x: f"xor({c} >> 4, list_extract({table}::BIGINT[], (xor({c}, {x}) & 15) + 1))"
+    start = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({start}, lambda c, b: {step(step('c', 'b'), '(b >> 4)')}, 4294967295::BIGINT), 4294967295)"
+
+
+OP3_SQL = f"""
+WITH sized AS (
+    SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+        {_crc32_sql("encode(coalesce(text, ''))")} AS text_crc32,
+        md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k
+    FROM documents
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, size, text_crc32) AS r,
+        count(*) OVER (PARTITION BY source) AS n
+    FROM sized
+), placed AS (
+    SELECT *, count(*) OVER () AS total, row_number() OVER (
+        ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, source NULLS FIRST, k, doc_id NULLS FIRST, size, text_crc32) - 1 AS pos
+    FROM ranked
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law,
+    (pos * {SHARDS} // total)::INTEGER AS shard,
+    (pos - (pos * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot,
+    NULL::INTEGER AS grown_shard, source
+FROM placed"""
