@@ -41,7 +41,7 @@ ORDERS = 6
 #: Most distinct words of the sample that trains mixer and map.
 SAMPLE_WORDS = 40_000
 #: Classes of texts, and the bounded sample that they are found on.
-TOPICS, TOPIC_WORDS, TOPIC_DOCS, TOPIC_CHARS = 8, 400, 2000, 4000
+TOPICS, TOPIC_WORDS, TOPIC_DOCS = 8, 400, 2000
 #: Bytes of text in open chunks after which the largest one is closed.
 CHUNK_BYTES = 8 << 20
 END = b"\n"
@@ -235,16 +235,13 @@ class Topics:
     The class is part of the code of a text: its cost is log10 of the class's share.
     """
 
-    def __init__(self, texts: list[list[bytes]]):
+    def __init__(self, top: list[bytes], counts):
+        """``counts`` has a row for each sampled text: how often it holds each word of ``top``."""
         import numpy as np
 
-        df: dict[bytes, int] = {}
-        for ws in texts:
-            for w in set(ws):
-                df[w] = df.get(w, 0) + 1
-        top = sorted(df, key=lambda w: (-df[w], w))[:TOPIC_WORDS]
         self.ids = {w: i for i, w in enumerate(top)}
-        x = np.stack([self.vector(ws) for ws in texts]) if texts else np.zeros((1, len(top)))
+        x = np.sqrt(counts if len(counts) else np.zeros((1, len(top))))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         best = -1.0
         for seed in range(10):  # k-means++ starts on the sphere; the one that fits best is kept
             rng = np.random.default_rng(seed)
@@ -355,10 +352,39 @@ def hash_of(word) -> int:
 
 
 def _topics(rows: DataFrame) -> Topics:
-    """Classes from the training texts with the least hashes, at most TOPIC_DOCS and TOPIC_CHARS bytes of each."""
-    few = bounded_sample(rows.where("not held_out"), "doc_id", TOPIC_DOCS)
-    texts = [bytes(r["t"]) for r in few.select(F.expr(f"substring(text, 1, {TOPIC_CHARS})").alias("t")).collect() if r["t"]]
-    return Topics([t.lower().split() for t in sorted(texts)])
+    """Classes found on the whole training texts with the least hashes, at most TOPIC_DOCS of them.
+
+    The driver gets their TOPIC_WORDS most common words and the counts of these in each text.
+    """
+    import numpy as np
+
+    few = durable(bounded_sample(rows.where("not held_out"), "doc_id", TOPIC_DOCS).select("text")).repartition(TOPICS)
+
+    def distinct(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(set(t.lower().split())), pa.binary())], names=["word"])
+
+    common = few.mapInArrow(distinct, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(TOPIC_WORDS)
+    top = [bytes(r["word"]) for r in common.collect()]
+
+    def count(batches):
+        import pyarrow as pa
+
+        place = {w: i for i, w in enumerate(top)}
+        for b in batches:
+            out = []
+            for t in b.column(0).to_pylist():
+                at = [i for i in map(place.get, t.lower().split()) if i is not None] if t else []
+                if at:
+                    out.append(np.bincount(at, minlength=len(top)).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["counts"])
+
+    found = sorted(bytes(r["counts"]) for r in few.mapInArrow(count, "counts binary").collect())
+    return Topics(top, np.array([np.frombuffer(x, dtype="<i4") for x in found], dtype=np.float64))
 
 
 def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
