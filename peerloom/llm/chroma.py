@@ -3,15 +3,16 @@
 A recording is cut into overlapping frames whose spectra are folded to twelve
 pitch classes. Filters that compare areas of the time-by-pitch picture (read
 from an integral image) give two bits each; sixteen of them pack into one
-32-bit integer a frame. The index key is a pair of integers two frames apart.
-Two recordings align where most of their equal keys agree on one offset; the share of differing bits over the whole
-overlap then decides.
+32-bit integer a frame. Two recordings align if at some offset the share of
+differing bits over the whole overlap is small enough. At such a share no
+integer need be equal, so that no key would find all of them: the differing
+bits of a query at every offset are counted for every recording, as a
+correlation of the bits (by FFT), and the counts decide.
 
 Recordings with equal fingerprints form a class and are compared once. The
-query set (ids divisible by 100) is stated; the index holds every row. An
-key that occurs in very many recordings is cut into salted posting blocks by
-the join's own key, and votes are summed before anything is paired with a
-second frame, so no list is held whole.
+query set (ids divisible by 100) is stated; it is compared with every class,
+block by block, so that a task holds one block of each side at most. The work
+grows with queries times classes.
 
 Edge cases: null or too short payloads have an empty fingerprint, are members
 of class -1 and match nothing; null samples count as silence; null ids are
@@ -30,12 +31,10 @@ RATE, FRAME, HOP = 4096, 1024, 256
 LOW_HZ, HIGH_HZ = 100.0, 1900.0
 #: Frames that a filter looks at.
 WIDTH = 16
-#: Frames between the two integers of an index key; a single one is shared by chance too often.
-GAP = 2
-#: Unrelated recordings reach a bit error of 0.25 at their best offset.
-MIN_VOTES, MIN_OVERLAP, MAX_BER = 2, 32, 0.2
+MIN_OVERLAP, MAX_BER = 32, 0.25
 EVERY = 100
-SALTS = 4
+#: Queries and classes in a block.
+QUERY_BLOCK, CLASS_BLOCK = 512, 1024
 
 
 def _filters():
@@ -139,6 +138,64 @@ def fingerprints(df: DataFrame, key: str, payload: str, decode=pcm) -> DataFrame
     return df.select(F.col(key).cast("long").alias("id"), F.col(payload)).mapInArrow(run, "id long, fp array<long>, class binary")
 
 
+def _spectra(fps, size: int):
+    """Frequencies by 32 bits by recordings, of the bits as -1 and 1."""
+    import numpy as np
+
+    signs = np.zeros((len(fps), 32, size), dtype=np.float32 if size <= 4096 else np.float64)
+    for i, x in enumerate(fps):
+        signs[i, :, : len(x)] = 2.0 * ((x[None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1)) - 1
+    return np.fft.rfft(signs, axis=2).transpose(2, 1, 0)
+
+
+def alignments(asked: list, others: list):
+    """(i, j, offset, votes, bit error) of every pair that aligns, at the offset with the most agreeing less differing
+    bits (ties: the one nearest to 0, then the smaller). ``votes`` are the equal integers at it."""
+    import numpy as np
+
+    def by_size(fps):
+        sizes: dict[int, list[int]] = {}
+        for i, x in enumerate(fps):
+            if len(x) >= MIN_OVERLAP:
+                sizes.setdefault(1 << (len(x) - 1).bit_length(), []).append(i)
+        return sizes
+
+    for sq, qs in by_size(asked).items():
+        for sr, rs in by_size(others).items():
+            size = sq + sr
+            shift = np.arange(size)
+            shift[shift >= sr] -= size
+            many = max(1, (1 << 22) // (32 * size))
+            few = max(1, (1 << 23) // (many * size))
+            for at in range(0, len(rs), many):
+                js = rs[at : at + many]
+                right = _spectra([others[j] for j in js], size)
+                for start in range(0, len(qs), few):
+                    own = qs[start : start + few]
+                    left = _spectra([asked[i] for i in own], size).conj().transpose(0, 2, 1)
+                    # Agreeing less differing bits, for each offset, query and class.
+                    agree = np.fft.irfft(left @ right, size, axis=0)
+                    nq, nr = np.unique([len(asked[i]) for i in own]), np.unique([len(others[j]) for j in js])
+                    lq = nq if len(nq) == 1 else np.array([len(asked[i]) for i in own])
+                    lr = nr if len(nr) == 1 else np.array([len(others[j]) for j in js])
+                    s = shift[:, None, None]
+                    n = np.minimum(lq[None, :, None], lr[None, None, :] - s) - np.maximum(0, -s)
+                    least = np.where(n >= MIN_OVERLAP, 32 * n * (1 - 2 * MAX_BER) - 0.5, np.inf).astype(agree.dtype)
+                    for x, y in np.argwhere((agree >= least).any(axis=0)).tolist():
+                        a, b = asked[own[x]], others[js[y]]
+                        best = None
+                        line = least[:, min(x, least.shape[1] - 1), min(y, least.shape[2] - 1)]
+                        for k in shift[agree[:, x, y] >= line].tolist():
+                            m = min(len(a), len(b) - k) - max(0, -k)
+                            p, q = a[max(0, -k) :][:m], b[max(0, k) :][:m]
+                            wrong = int(np.bitwise_count(p ^ q).sum())
+                            if wrong <= MAX_BER * 32 * m:
+                                found = (32 * m - 2 * wrong, -abs(k), -k, int((p == q).sum()), wrong / (32.0 * m))
+                                best = found if best is None else max(best, found)
+                        if best:
+                            yield own[x], js[y], -best[2], best[3], best[4]
+
+
 def align(rows: DataFrame, every: int = EVERY) -> DataFrame:
     """kind 'member': id, class_id of every row. kind 'match': class_id of a query's class (id: the query with the
     smallest id in it), other_class, frame_offset, votes, bit_error of each class aligned with it (itself included)."""
@@ -150,34 +207,40 @@ def align(rows: DataFrame, every: int = EVERY) -> DataFrame:
             F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("query"),
         ).where("class_id is not null")
     )
-    keys = F.expr(
-        f"case when size(fp) > {GAP} then transform(sequence(0, size(fp) - {GAP + 1}), "
-        f"i -> shiftleft(fp[i], 32) | fp[i + {GAP}]) else array() end"
-    )
-    frames = classes.select("class_id", F.posexplode(keys).alias("t", "v"))
-    asked = classes.where("query is not null").select("query", F.col("class_id").alias("qc"), F.posexplode(keys).alias("qt", "v"))
-    # Each index frame lies in one salted block of its integer; a query frame looks into all blocks.
-    index = frames.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALTS)).cast("int"))
-    looks = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    votes = (
-        looks.join(index, ["v", "salt"])
-        .groupBy("query", "qc", "class_id", (F.col("t") - F.col("qt")).alias("frame_offset"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .where(F.col("votes") >= MIN_VOTES)
-        .groupBy("query", "qc", "class_id")
-        .agg(F.max(F.struct("votes", (-F.abs("frame_offset")).alias("near"), "frame_offset")).alias("best"))
-        .select("query", "qc", "class_id", "best.votes", "best.frame_offset")
-    )
-    q = classes.select(F.col("class_id").alias("qc"), F.col("fp").alias("qfp"))
-    both = votes.join(q, "qc").join(classes.select("class_id", "fp"), "class_id")
-    shift = F.col("frame_offset")
-    lap = both.withColumn("n", F.least(F.size("qfp"), F.size("fp") - shift) - F.greatest(F.lit(0), -shift)).where(
-        F.col("n") >= MIN_OVERLAP
+    n = classes.agg(F.count("query").alias("queries"), F.count(F.lit(1)).alias("classes")).first()
+    q_blocks, c_blocks = (max(1, -(-x // y)) for x, y in ((n["queries"], QUERY_BLOCK), (n["classes"], CLASS_BLOCK)))
+
+    def dealt(df, name, blocks, other, others):
+        return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        )
+
+    # New names on one side, as a cogroup of two sides with the same attributes loses columns.
+    asked = classes.where("query is not null").select(F.col("class_id").alias("qc"), F.col("query").alias("q"), F.col("fp").alias("qfp"))
+    asked = dealt(asked, "qb", q_blocks, "cb", c_blocks)
+    index = dealt(classes.select("class_id", "fp"), "cb", c_blocks, "qb", q_blocks)
+
+    def scan(left, right):
+        import numpy as np
+        import pandas as pd
+
+        # A side without rows has no columns.
+        a, b = (
+            [np.asarray(x, dtype=np.int64).astype(np.uint32) for x in pdf[name]] if len(pdf) else []
+            for pdf, name in ((left, "qfp"), (right, "fp"))
+        )
+        out = [
+            (left["q"].iat[i], left["qc"].iat[i], right["class_id"].iat[j], *rest) for i, j, *rest in alignments(a, b)
+        ]
+        return pd.DataFrame(out, columns=["query", "qc", "class_id", "frame_offset", "votes", "bit_error"]).astype(
+            {"query": "int64", "qc": "int64", "class_id": "int64", "frame_offset": "int32", "votes": "int64", "bit_error": "float64"}
+        )
+
+    found = (
+        asked.groupBy("qb", "cb")
+        .cogroup(index.groupBy("qb", "cb"))
+        .applyInPandas(scan, "query long, qc long, class_id long, frame_offset int, votes long, bit_error double")
     )
-    a = F.slice("qfp", F.greatest(F.lit(0), -shift) + 1, F.col("n"))
-    b = F.slice("fp", F.greatest(F.lit(0), shift) + 1, F.col("n"))
-    wrong = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = lap.withColumn("bit_error", wrong / (32.0 * F.col("n"))).where(F.col("bit_error") <= MAX_BER)
     none = lambda kind: F.lit(None).cast(kind)
     members = rows.join(classes.select("class", "class_id"), "class", "left").select(
         F.lit("member").alias("kind"), "id", F.coalesce("class_id", F.lit(-1)).alias("class_id"), none("long").alias("other_class"),

@@ -244,6 +244,44 @@ def test_chroma_recall(spark):
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_chroma_finds_every_pair_below_the_stated_error(spark):
+    """Pairs without an equal integer are found too; self matches do not count, and lengths differ."""
+    rand = np.random.default_rng(9)
+    base = [rand.integers(0, 2**32, n, dtype=np.uint32) for n in (40, 64, 90, 200)]
+    fps = [*base]
+    for x in base:
+        for share in (0.1, 0.18, 0.24, 0.3):
+            y = x[int(rand.integers(0, 5)) :].copy()
+            bits = rand.random((len(y), 32)) < share
+            bits[np.arange(len(y)), rand.integers(0, 32, len(y))] = True  # every integer differs
+            fps.append(y ^ (bits * (np.uint32(1) << np.arange(32, dtype=np.uint32))).sum(axis=1).astype(np.uint32))
+    want = set()
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps):
+            for k in range(-len(a) + 32, len(b) - 31):
+                n = min(len(a), len(b) - k) - max(0, -k)
+                if n >= 32 and np.bitwise_count(a[max(0, -k) :][:n] ^ b[max(0, k) :][:n]).sum() <= 0.25 * 32 * n:
+                    want.add((i, j))
+    df = spark.createDataFrame(
+        [(i, [int(v) for v in x], bytearray(i.to_bytes(16, "big"))) for i, x in enumerate(fps)], "id long, fp array<long>, class binary"
+    )
+    out = [r for r in chroma.align(df, every=1).collect() if r["kind"] == "match"]
+    assert {(r["id"], r["other_class"]) for r in out} == want and sum(i != j for i, j in want) >= 16
+    assert any(r["votes"] == 0 for r in out)
+
+
+def test_chroma_finds_copies_shifted_by_part_of_a_hop(spark):
+    rand = np.random.default_rng(10)
+    rows = []
+    for i in range(12):
+        x = chroma.notes(rand.normal(0, 0.25, 96))
+        for k, y in ((i * 100, x), (i * 100 + 1, x[4 * chroma.HOP + chroma.HOP // 2 :])):
+            rows.append((k, bytearray((np.clip(y / 2, -1, 1) * 32767).astype("<i2").tobytes())))
+    df = spark.createDataFrame(rows, "id long, audio binary")
+    out = [r for r in chroma.align(chroma.fingerprints(df, "id", "audio")).collect() if r["kind"] == "match"]
+    assert {(i * 100, i * 100 + 1) for i in range(12)} <= {(r["id"], r["other_class"]) for r in out}
+
+
 def test_parse_quotes():
     own, passages = quotes.parse("yes\n\nOn Monday A wrote:\n> is it?\n> really\n>> before\n> > that\nbye")
     assert own == "yes\n\nbye" and passages == [(1, "is it?\nreally"), (2, "before\nthat")]
