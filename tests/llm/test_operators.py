@@ -355,6 +355,34 @@ def test_decontamination(spark):
     assert decontam.hits(odd, bench.limit(0)).count() == 0 and decontam.hits(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_edited_copies_and_excerpts():
+    rand = np.random.default_rng(11)
+    items = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pydict()
+    items = list(zip(items["item_id"], items["text"]))
+    vocab = [f"v{i}" for i in range(400)]
+    long = [str(w) for w in rand.choice(vocab, 192)]
+    items.append((-1, " ".join(long)))
+    index = decontam.Index(decontam.make_parts(items))
+    noise = lambda: " ".join(str(w) for w in rand.choice(vocab, 70))
+    texts, want = [], []
+    for i, t in items[:-1]:
+        ws = decontam.words_of(t)
+        for k in range(len(ws)):
+            texts += [" ".join(ws[:k] + ["changed"] + ws[k + 1 :]), " ".join(ws[:k] + ["more"] + ws[k:]), " ".join(ws[:k] + ws[k + 1 :])]
+            want += [i] * 3
+        texts.append(" ".join(ws[: -max(1, len(ws) // 10)]))
+        want.append(i)
+    for a in range(0, 92):
+        texts.append(" ".join(long[a : a + 100]))
+        want.append(-1)
+    texts = [f"{noise()} {x} {noise()}" for x in texts]
+    got = [{index.parts[d][0] for d in hits} for hits in decontam._search(texts, index, decontam.THRESHOLD)]
+    assert all(i in found for i, found in zip(want, got))
+    assert decontam._edits("a b c d e".split(), "x a b q d e y".split()) == 1
+    half = [" ".join(decontam.words_of(t)[: len(decontam.words_of(t)) // 2]) for _, t in items[:-1]]
+    assert not any(decontam._search([f"{noise()} {x} {noise()}" for x in half], index, decontam.THRESHOLD))
+
+
 def test_ordinal_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
