@@ -5,8 +5,11 @@ run of 96 words holds a whole part, and indexed with BM25 impacts, each divided
 by the part's own score, so that a score is the share of the part that a passage
 covers. Documents are cut into passages of 128 words, 64
 apart, so that each run of up to 65 words lies whole in one passage. Every
-passage is a query: a vectorised bound over all terms drops the hopeless ones,
-block-max WAND retrieves every part at or above the threshold from the rest,
+passage is a query: a vectorised bound over all terms drops the hopeless ones.
+For the rest the block maxima of the terms are summed from a dense matrix, and
+every part at or above the threshold in the blocks whose sum reaches it is
+retrieved (block maxima as in block-max WAND; its pivots are whole blocks, no
+lists are skipped),
 and a hit counts only if the text holds the part's question and answer, or all
 of the part but a few edits.
 
@@ -74,39 +77,47 @@ def _shingles(ws: list[str]) -> set:
     return {tuple(ws[i : i + SHINGLE]) for i in range(max(1, len(ws) - SHINGLE + 1))} if ws else set()
 
 
+def _stats(parts: list[tuple]) -> tuple[dict[str, int], int, float]:
+    """Document frequencies of the words, number and mean length of the parts."""
+    df: dict[str, int] = {}
+    for _, ws, *_ in parts:
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    return df, len(parts), sum(len(p[1]) for p in parts) / max(1, len(parts))
+
+
 class Index:
-    """Inverted index of item parts with a maximum impact for each term and block of parts."""
+    """Inverted index of item parts with a maximum impact for each term and block of parts.
+
+    ``stats`` as from ``_stats`` for all parts, where ``parts`` are some of them.
+    """
 
-    def __init__(self, parts: list[tuple]):
+    def __init__(self, parts: list[tuple], stats: tuple | None = None):
         import numpy as np
 
         self.parts = parts  # (item_id, words, question shingles, answer shingles)
-        df: dict[str, int] = {}
-        for _, ws, *_ in parts:
-            for w in set(ws):
-                df[w] = df.get(w, 0) + 1
+        df, total, mean = stats or _stats(parts)
         n = len(parts)
-        mean = sum(len(p[1]) for p in parts) / max(1, n)
-        self.ids = {w: i for i, w in enumerate(df)}
+        self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p[1]))}
         #: For each term, its postings by block: {block: [(part, impact)]}.
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in df]
+        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.ids]
         for d, (_, ws, *_) in enumerate(parts):
             tf: dict[str, int] = {}
             for w in ws:
                 tf[w] = tf.get(w, 0) + 1
             raw = {
-                w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean))
+                w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean))
                 for w, c in tf.items()
             }
             own = sum(raw.values())
             for w, x in raw.items():
                 self.postings[self.ids[w]].setdefault(d // BLOCK, []).append((d, x / own))
         self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(df), max(1, self.blocks)), dtype=np.float32)
+        self.block_max = np.zeros((len(self.ids), max(1, self.blocks)), dtype=np.float32)
         for t, blocks in enumerate(self.postings):
             for block, ps in blocks.items():
                 self.block_max[t, block] = np.float32(max(x for _, x in ps)) * np.float32(1.000001)
-        self.top = self.block_max.max(axis=1) if len(df) else np.zeros(0, np.float32)
+        self.top = self.block_max.max(axis=1) if self.ids else np.zeros(0, np.float32)
 
     def wand(self, terms, threshold: float) -> list[tuple[int, float]]:
         """All (part, score) with a score of ``threshold`` or more: block-max WAND with a fixed threshold.
@@ -141,7 +152,7 @@ def make_parts(items: list[tuple]) -> list[tuple]:
 
 @functools.lru_cache(maxsize=2)
 def _load(key: str, payload) -> Index:
-    return Index(payload.value)
+    return Index(*payload.value)
 
 
 def _search(texts: list, index: Index, threshold: float):
@@ -216,8 +227,13 @@ def _indexes(bench: DataFrame) -> list:
         raise ValueError(f"the items have {size} bytes of text; the bound is {MAX_ITEM_BYTES}")
     items = [(r["item_id"], r["text"]) for r in bench.select("item_id", "text").distinct().collect()]
     parts = make_parts(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+    df, total, mean = _stats(parts)
     sc = bench.sparkSession.sparkContext
-    return [sc.broadcast(parts[i : i + PARTS_PER_INDEX]) for i in range(0, len(parts), PARTS_PER_INDEX)]
+    out = []
+    for i in range(0, len(parts), PARTS_PER_INDEX):
+        some = parts[i : i + PARTS_PER_INDEX]
+        out.append(sc.broadcast((some, ({w: df[w] for p in some for w in p[1]}, total, mean))))
+    return out
 
 
 def hits(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -383,6 +383,20 @@ def test_decontamination_finds_edited_copies_and_excerpts():
     assert not any(decontam._search([f"{noise()} {x} {noise()}" for x in half], index, decontam.THRESHOLD))
 
 
+def test_decontamination_scores_do_not_depend_on_slices(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontam.hits(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "PARTS_PER_INDEX", 7)
+    sliced = sorted(map(tuple, decontam.hits(docs, bench).collect()))
+    assert whole and [r[:2] for r in whole] == [r[:2] for r in sliced]
+    assert [r[2] for r in whole] == pytest.approx([r[2] for r in sliced])
+    parts = decontam.make_parts([(r["item_id"], r["text"]) for r in bench.collect()])
+    one, some = decontam.Index(parts), decontam.Index(parts[:7], decontam._stats(parts))
+    for w, t in some.ids.items():
+        full = {d: x for ps in one.postings[one.ids[w]].values() for d, x in ps}
+        assert all(full[d] == pytest.approx(x) for ps in some.postings[t].values() for d, x in ps)
+
+
 def test_ordinal_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
