@@ -207,6 +207,29 @@ def test_near_groups(spark):
         assert classes([i for i, _ in rows], lambda a, b: (a, b) in links or (b, a) in links) == want
 
 
+def test_near_groups_of_short_texts(spark):
+    """Texts of 6 to 15 words with their first words or less one end; many links of exactly 0.8."""
+    rand = np.random.default_rng(12)
+    rows = []
+    for g in range(300):
+        ws = [f"s{g}x{i}" for i in range(int(rand.integers(6, 16)))]
+        rows.append((g * 10, " ".join(ws)))
+        rows.append((g * 10 + 1, " ".join(ws[:-1])))
+        rows.append((g * 10 + 2, " ".join(ws[1:])))
+    sets = {i: set(simhash.shingle_hashes(x.encode().split(), 5).tolist()) for i, x in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    want = {}
+    for g in range(300):
+        want |= classes([g * 10, g * 10 + 1, g * 10 + 2], near)
+    assert any(5 * len(sets[g * 10] & sets[g * 10 + 1]) == 4 * len(sets[g * 10] | sets[g * 10 + 1]) for g in range(300))
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(want.values())
+    keys = {i: set(simhash._deletions(np.array(sorted(x), dtype=np.uint64), 0.8)) for i, x in sets.items()}
+    for g in range(300):
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            assert not near(g * 10 + a, g * 10 + b) or keys[g * 10 + a] & keys[g * 10 + b]
+
+
 def test_chroma_finds_shifted_noisy_copies(spark):
     rand = np.random.default_rng(7)
     tunes = [chroma.notes(rand.normal(0, 0.25, 96)) for _ in range(12)]
