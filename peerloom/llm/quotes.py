@@ -3,9 +3,12 @@
 Quote marks at the head of a line give its level. Lines of one level that
 belong to one quoted passage are joined, normalised (A-Z lower-cased, white
 space collapsed) and hashed; so is what each message says itself, outside
-quotes and attribution lines ("... wrote:"). A message answers the latest
-earlier message of its scope whose own words have the hash of its outermost
-quoted passage that is found. Threads are the trees of these links; a thread
+quotes and attribution lines ("... wrote:"). So are the parts of both: lines,
+paragraphs and sentences. A message answers the latest earlier message of its
+scope whose own words have the hash of its outermost quoted passage that is
+found. Where no passage of a level is a whole message, the level's parts decide:
+each stands for the latest earlier message that says it, and the message that
+most parts stand for is answered (ties: the latest). Threads are the trees of these links; a thread
 is listed parents first (by depth, then order) without quotes.
 
 Edge cases: null or empty text has no own words, is never quoted and has no
@@ -57,57 +60,97 @@ def normalise(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
 
 
+def parts_of(text: str) -> set[bytes]:
+    """Normalised lines, paragraphs and sentences (the latter over line ends) of a text."""
+    out = set(map(normalise, text.split("\n")))
+    for paragraph in re.split(r"\n\s*\n", text):
+        whole = normalise(paragraph)
+        out |= {whole, *re.split(rb"(?<=[.!?]) ", whole)}
+    return out - {b""}
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """msg_id, sent, scope, own, own_hash (null if empty), quoted: array of (level, hash)."""
+    """msg_id, sent, scope, own, own_hash (null if empty), quoted: array of (level, hash, parts), said: hashes of own parts."""
 
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("parts", pa.list_(pa.binary()))]))
         for b in batches:
-            owns, hashes, quoted = [], [], []
+            owns, hashes, quoted, said = [], [], [], []
             for t in b.column(3).to_pylist():
                 own, passages = parse(t)
                 n = normalise(own)
                 owns.append(own)
                 hashes.append(xxh3_128_digest(n) if n else None)
-                quoted.append([{"level": k, "hash": xxh3_128_digest(x)} for k, v in passages if (x := normalise(v))])
+                said.append(sorted(map(xxh3_128_digest, parts_of(own))))
+                quoted.append([
+                    {"level": k, "hash": xxh3_128_digest(x), "parts": sorted(map(xxh3_128_digest, parts_of(v)))}
+                    for k, v in passages if (x := normalise(v))
+                ])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(owns, pa.string()), pa.array(hashes, pa.binary()), pa.array(quoted, kind)],
-                names=["msg_id", "sent", "scope", "own", "own_hash", "quoted"],
+                [*b.columns[:3], pa.array(owns, pa.string()), pa.array(hashes, pa.binary()), pa.array(quoted, kind),
+                 pa.array(said, pa.list_(pa.binary()))],
+                names=["msg_id", "sent", "scope", "own", "own_hash", "quoted", "said"],
             )
 
     return messages.select(
         F.col("msg_id").cast("long").alias("msg_id"), F.col("sent").cast("long").alias("sent"),
         F.col("scope").cast("string").alias("scope"), F.col("text").cast("string").alias("text"),
     ).mapInArrow(
-        run, "msg_id long, sent long, scope string, own string, own_hash binary, quoted array<struct<level:int,hash:binary>>"
+        run, "msg_id long, sent long, scope string, own string, own_hash binary, "
+        "quoted array<struct<level:int,hash:binary,parts:array<binary>>>, said array<binary>"
     )
 
 
-def parents(rows: DataFrame) -> DataFrame:
-    """msg_id, parent_id for the messages that answer another one; ``rows`` as from ``parsed``."""
-    said = rows.where("own_hash is not null").select(
-        "scope", F.col("own_hash").alias("hash"), "sent", "msg_id", F.lit(None).cast("int").alias("level")
-    )
-    quote = rows.select("scope", F.explode("quoted").alias("q"), "sent", "msg_id").select(
-        "scope", F.col("q.hash").alias("hash"), "sent", "msg_id", F.col("q.level").alias("level")
-    )
-    # Latest earlier original of the same hash and scope. Quotes sort before originals of the same
-    # moment, so that a parent is always strictly earlier and links cannot form a circle.
+def _origins(said: DataFrame, quote: DataFrame) -> DataFrame:
+    """``quote`` (scope, hash, sent, msg_id, level) with the latest earlier message of ``said`` that has the same hash
+    and scope, as origin and its order; quotes without one go."""
+    # Quotes sort before originals of the same moment, so that a parent is always strictly earlier and links cannot form a circle.
     w = (
         Window.partitionBy("scope", "hash")
         .orderBy("sent", F.col("level").isNull().cast("int"), "msg_id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    origin = F.last(F.when(F.col("level").isNull(), F.col("msg_id")), ignorenulls=True).over(w)
+    origin = F.last(F.when(F.col("level").isNull(), F.struct("sent", "msg_id")), ignorenulls=True).over(w)
     return (
-        said.unionByName(quote)
-        .withColumn("origin", origin)
-        .where("level is not null and origin is not null and origin <> msg_id")
+        said.withColumn("level", F.lit(None).cast("int")).unionByName(quote)
+        .withColumn("o", origin)
+        .where("level is not null and o is not null and o.msg_id <> msg_id")
+        .select("msg_id", "level", F.col("o.msg_id").alias("origin"), F.col("o.sent").alias("at"))
+    )
+
+
+def parents(rows: DataFrame) -> DataFrame:
+    """msg_id, parent_id for the messages that answer another one; ``rows`` as from ``parsed``."""
+    said = rows.where("own_hash is not null").select("scope", F.col("own_hash").alias("hash"), "sent", "msg_id")
+    quote = rows.select("scope", F.explode("quoted").alias("q"), "sent", "msg_id")
+    whole = durable(
+        _origins(said, quote.select("scope", F.col("q.hash").alias("hash"), "sent", "msg_id", F.col("q.level").alias("level")))
         .groupBy("msg_id")
-        .agg(F.min_by("origin", F.struct("level", F.lit(-1) * F.col("origin"))).alias("parent_id"))
+        .agg(F.min_by(F.struct("level", "origin"), F.struct("level", F.lit(-1) * F.col("origin"))).alias("w"))
+        .select(F.col("msg_id").alias("found"), F.col("w.level").alias("upto"), F.col("w.origin").alias("parent_id"))
+    )
+    # Parts are looked up only at levels further out than that of a whole message, and only those that somebody asks for.
+    parts = durable(
+        quote.join(whole, F.col("msg_id") == F.col("found"), "left")
+        .where("upto is null or q.level < upto")
+        .select("scope", F.explode("q.parts").alias("hash"), "sent", "msg_id", F.col("q.level").alias("level"))
+        .distinct()
+    )
+    asked = parts.select(F.col("scope").alias("s"), F.col("hash").alias("h")).distinct()
+    own = rows.select("scope", F.explode("said").alias("hash"), "sent", "msg_id")
+    own = own.join(asked, F.col("hash").eqNullSafe(F.col("h")) & F.col("scope").eqNullSafe(F.col("s")), "left_semi")
+    most = (
+        _origins(own, parts)
+        .groupBy("msg_id", "level", "origin")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+        .groupBy("msg_id")
+        .agg(F.max_by("origin", F.struct((-F.col("level")).alias("near"), "n", "at", "origin")).alias("part_parent"))
+    )
+    return whole.join(most, F.col("msg_id") == F.col("found"), "full").select(
+        F.coalesce("msg_id", "found").alias("msg_id"), F.coalesce("part_parent", "parent_id").alias("parent_id")
     )
 
 

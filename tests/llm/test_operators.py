@@ -324,6 +324,21 @@ def test_threads(spark):
     assert quotes.threads(df.limit(0)).count() == 0
 
 
+def test_threads_of_trimmed_and_interleaved_quotes(spark):
+    parent = "We meet on Monday. Bring the\nplans along.\n\nLunch is at noon.\nThe room is blue."
+    m = [
+        (1, 1, "x", parent), (2, 2, "x", "Other words.\nLunch is at noon."),
+        (3, 3, "x", "yes\n> The room is blue."),  # one line
+        (4, 3, "x", "fine\n> Bring the plans along."),  # a sentence, wrapped anew
+        (5, 3, "x", "> We meet on Monday. Bring the\n> plans along.\ngood\n> Lunch is at noon.\n> The room is blue.\nblue?"),
+        (6, 4, "x", "no\n> good\n> > The room is blue."), (7, 4, "y", "no\n> The room is blue."), (8, 0, "x", "no\n> The room is blue."),
+        (9, 5, None, "alone. together."), (10, 6, None, "> together."),
+    ]
+    df = spark.createDataFrame(m, "msg_id long, sent long, scope string, text string")
+    got = {r["msg_id"]: r["parent_id"] for r in quotes.threads(df).collect()}
+    assert got == {1: None, 2: None, 3: 1, 4: 1, 5: 1, 6: 5, 7: None, 8: None, 9: None, 10: 9}
+
+
 def test_threads_of_conversations(spark):
     talk = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = {r["msg_id"]: r for r in queries.QUERIES["op6_quote_threads"](spark, "/root/testdata/sf0.01").collect()}
