@@ -1,59 +1,386 @@
 """Operator 1: language-model scoring by online logistic context mixing.
 
-A text is coded as its lower-cased words, each closed by a space byte, and one
-end token. Six hashed-context bit predictors (position; the last one, two,
-three and four bytes; the whole prefix of the word) give a probability for
-each bit. A mixer combines their logits by weights that are picked by a gate
-(how much the corpus has seen of the prefix and of the three-byte context);
-an adaptive map then refines the mixed logit. Weights and map are learned
-online, block by block, from a stream of training tokens, with the token's
-own count taken out of the predictors. The last step blends the product of
-the bits with the token's shares of its topic and of the training corpus,
-which follow the corpus at any size where hashed counts are bounded. A topic
-is a class of texts (a language, mostly); it is coded before the text and the
-contexts are counted by it.
-
-As no context reaches over a word's end, each distinct word of a topic is
-coded once, whatever its frequency. Documents are dealt into bounded chunks; word costs
-travel to a chunk once for each of its distinct words, and a document's sums
-are taken there. Nothing that grows with the corpus is collected: the driver
-holds the hashed counts (2^SLOT_BITS pairs) and bounded samples of words and texts.
+A text is its lower-cased words and one end token. Each token is coded in bits:
+
+* A Huffman path over the corpus's frequent words and one escape. Five
+  hashed-context predictors (topic; previous word; previous two words; the word
+  before the previous; last byte of the previous word with the topic) give a
+  probability for every bit. A mixer combines their logits by weights that a
+  gate picks (how much the corpus has seen of the one- and two-word contexts);
+  an adaptive map refines the mixed logit. So contexts reach over word ends.
+* After an escape, the bytes of the word. Six byte predictors, mixed and refined
+  in the same manner, spell it; each distinct word of a topic is spelled once.
+  The spelling is blended with the word's share of topic and corpus.
+* A run of words (cut where a hash of three words says so, 24 words on average)
+  that the training texts hold elsewhere may instead be named as a whole, if its
+  flag and share cost less: a document that occurs twice is far cheaper.
+
+Weights and maps are learned online, block by block, on every training token
+(spelling: every distinct training word, weighted by its count), by each
+task or group of words alone, and averaged by what each has seen. A training
+text is always scored with its own occurrences taken out of path counts, shares
+and runs; the spelling of any known word has one occurrence taken out.
+
+A topic is a class of texts, coded before the text. Texts are grouped by
+their commonest frequent word, the mean word vectors of these groups are summed
+over all training texts, and the driver clusters the groups (at most
+TOPIC_WORDS of them).
+
+What grows with the corpus stays distributed: word counts, runs and spelling
+costs travel to bounded chunks of documents once for each distinct word or run.
+The driver holds the frequent words (at most FREQUENT, each task naming its own
+most frequent candidates; their counts are exact) and two hashed tables whose
+slots grow with the corpus up to what a broadcast bears.
 
 Edge cases: null text is empty and has the end token only; a null doc_id is
 the empty text for the split (not held out); repeated rows are scored and
-counted each; words of any length are coded whole; an empty table gives no
-rows, and without any training token the costs are those of untrained
-predictors; extra columns are ignored.
+counted each (the other copies are not taken out, so each finds its runs); words
+of any length are coded whole; an empty table gives no rows, and without any
+training token the costs are those of untrained predictors; extra columns are
+ignored. The texts are read several times; if a later scan cuts other chunks
+(an input that is not deterministic), scoring stops with an error.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
+import heapq
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable
+from .common import durable
 
-SLOT_BITS = 21
-ORDERS = 6
-#: Most distinct words of the sample that trains mixer and map.
-SAMPLE_WORDS = 40_000
-#: Classes of texts, and the bounded sample that they are found on.
-TOPICS, TOPIC_WORDS, TOPIC_DOCS = 8, 400, 2000
-#: Bytes of text in open chunks after which the largest one is closed.
-CHUNK_BYTES = 8 << 20
-END = b"\n"
-PRIOR = 0.4
-APM_STEPS = 33
-GATES = 24
-RATE = 0.2
 FOLDS, HELD = 7, 2
+#: Frequent words that have a path of their own, and those that describe a topic.
+FREQUENT, TOPICS, TOPIC_WORDS = 2047, 8, 256
+#: Most slots of the tables: 8 bytes each on every worker.
+PATH_BITS, SPELL_BITS = 22, 21
+#: Bytes of text in a chunk, and in the pieces in which it is read.
+CHUNK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Mean and least number of words of a run that can be named as a whole.
+RUN, LEAST_RUN = 24, 4
+#: Counts that the flag of a run starts with: (spelled, named) after a spelled and after a named run.
+FLAGS = ((8.0, 0.25), (1.0, 2.0))
+PRIOR, RATE, APM_STEPS, GATES, LANES = 0.4, 0.2, 33, 24, 8
+PATH_ORDERS, SPELL_ORDERS = 5, 6
+#: Distinct words of a group that learns the spelling weights together.
+GROUP = 1 << 17
+END = b"\n"
+ODD = 0x9E3779B97F4A7C15
+
+
+def _final(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(n: int):
+    import numpy as np
+
+    out = np.full(max(1, n), 0xD6E8FEB86659FD93, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _sums(values, sizes):
+    """Hash of each run of consecutive ``values``: a sum of value * odd^position, exact modulo 2^64."""
+    import numpy as np
+
+    first = np.cumsum(sizes) - sizes
+    pos = np.arange(len(values)) - np.repeat(first, sizes)
+    return np.add.reduceat(values * _powers(int(sizes.max()))[pos], first) if len(sizes) else np.zeros(0, np.uint64)
+
+
+def hash_of(words: list[bytes]):
+    """Hashes of words, as ``Tokens`` has them."""
+    import numpy as np
+
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    return _final(_sums(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint64) + np.uint64(1), sizes))
+
+
+class Tokens:
+    """All tokens of some texts: ``start`` and ``size`` in ``data`` (the end token has start -1), ``hash``, ``doc``;
+    ``first`` has the place of each text's first token and the number of tokens."""
+
+    def __init__(self, data, offsets):
+        """``data``: lower-cased bytes; text i lies between offsets i and i + 1."""
+        import numpy as np
+
+        parts, base, n = [], 0, len(offsets) - 1
+        while base < n:  # pieces that stay in the cache
+            stop = max(base + 1, int(np.searchsorted(offsets, offsets[base] + PIECE_BYTES, "right")) - 1)
+            parts.append(self._piece(data, offsets[base : stop + 1], base))
+            base = stop
+        self.data = data
+        self.start, self.size, self.hash, self.doc = (
+            np.concatenate(x) if parts else np.zeros(0, t)
+            for x, t in zip(zip(*parts) if parts else [[]] * 4, (np.int64, np.int64, np.uint64, np.int64))
+        )
+        self.first = np.searchsorted(self.doc, np.arange(n + 1))
+
+    @staticmethod
+    def _piece(data, offsets, base):
+        import numpy as np
+
+        x = data[offsets[0] : offsets[-1]]
+        at = offsets - offsets[0]
+        inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
+        head = np.ones(len(x), dtype=bool)
+        head[1:] = ~inside[:-1]
+        head[at[:-1][at[:-1] < len(x)]] = True
+        starts = np.flatnonzero(inside & head)
+        packed = x[inside]
+        place = (np.cumsum(inside) - 1)[starts]
+        sizes = np.diff(np.append(place, len(packed)))
+        hashes = _final(_sums(packed.astype(np.uint64) + np.uint64(1), sizes))
+        many = np.diff(np.searchsorted(starts, at))
+        n = len(many)
+        doc = np.repeat(np.arange(n), many)
+        own, end = np.arange(len(starts)) + doc, np.cumsum(many) + np.arange(n)
+        start, size = np.empty(len(starts) + n, dtype=np.int64), np.empty(len(starts) + n, dtype=np.int64)
+        h, d = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.int64)
+        start[own], size[own], h[own], d[own] = starts + offsets[0], sizes, hashes, doc + base
+        start[end], size[end], h[end], d[end] = -1, 1, hash_of([END])[0], np.arange(n) + base
+        return start, size, h, d
+
+    def words(self, at) -> list[bytes]:
+        return [END if s < 0 else self.data[s : s + n].tobytes() for s, n in zip(self.start[at].tolist(), self.size[at].tolist())]
+
+    def before(self):
+        """Hashes of the word before each token and of the one before that; 0 outside the text."""
+        import numpy as np
+
+        out = []
+        for h in (self.hash, None):
+            h = np.roll(out[0] if h is None else h, 1)
+            h[self.first[:-1]] = 0
+            out.append(h)
+        return out
+
+    def runs(self):
+        """(first token, number of tokens, hash) of each run."""
+        import numpy as np
+
+        p, q = self.before()
+        cut = _final(self.hash * np.uint64(ODD) + p * np.uint64(0xC2B2AE3D27D4EB4F) + q * np.uint64(0x165667B19E3779F9)) % np.uint64(RUN) == 0
+        cut[self.first[1:] - 1] = True
+        stop = np.flatnonzero(cut) + 1
+        at = np.concatenate([[0], stop[:-1]])
+        return at, stop - at, _final(_sums(self.hash, stop - at))
+
+
+class Paths:
+    """Huffman paths of the frequent words, given with their counts, and of the escape (the last symbol)."""
+
+    def __init__(self, words: list[bytes], counts: list[int], escapes: int):
+        import numpy as np
+
+        self.words, self.counts = words, np.array([*counts, escapes], dtype=np.int64)
+        heap = [(int(c), i, i) for i, c in enumerate(self.counts)]
+        heapq.heapify(heap)
+        up: dict[int, tuple[int, int]] = {}
+        node = 0
+        while len(heap) > 1:
+            (c, _, x), (d, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x], up[y] = (-1 - node, 0), (-1 - node, 1)
+            heapq.heappush(heap, (c + d, len(self.counts) + node, -1 - node))
+            node += 1
+        nodes, bits, depth = [], [], []
+        for i in range(len(self.counts)):
+            path, x = [], i
+            while x in up:
+                x, bit = up[x]
+                path.append((-1 - x, bit))
+            depth.append(len(path))
+            nodes += [n for n, _ in reversed(path)]
+            bits += [b for _, b in reversed(path)]
+        self.nodes, self.bits, self.depth = (np.array(x, dtype=np.int64) for x in (nodes, bits, depth))
+        self.at = np.cumsum(self.depth) - self.depth
+        h = hash_of(words) if words else np.zeros(0, np.uint64)
+        self.order = np.argsort(h)
+        self.sorted = h[self.order]
+
+    def symbols(self, hashes):
+        import numpy as np
+
+        escape = len(self.words)
+        if not escape:
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), escape - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], escape)
+
+
+class Mix:
+    """Gated mixing weights and the refining map (a row for each lane), learned online."""
+
+    def __init__(self, orders: int):
+        import numpy as np
+
+        self.weights = np.full((GATES, orders), 1.5 / orders)
+        self.map = np.tile(np.linspace(-8, 8, APM_STEPS), (LANES, 1))
+        self.seen, self.used = np.zeros(GATES), np.zeros((LANES, APM_STEPS))
+
+    @staticmethod
+    def gate(many, few):
+        """A gate by what the table holds of a short (``many``) and of a long (``few``) context."""
+        import numpy as np
+
+        return np.searchsorted([0.5, 2.5, 8.5, 64.5, 1024.5], few) * 4 + np.searchsorted([0.5, 16.5, 1024.5], many)
+
+    def logits(self, st, gate, lane):
+        """Mixed logit, refined logit, and the steps of the map between which the mixed one lies."""
+        import numpy as np
+
+        x = np.zeros(len(gate))
+        for k, s in enumerate(st):
+            x += s * self.weights[:, k][gate]
+        x = np.clip(x, -7.99, 7.99)
+        at = (x + 8) * 2
+        low = at.astype(np.int64)
+        share = at - low
+        low += lane * APM_STEPS
+        y = self.map.ravel()
+        return x, y[low] * (1 - share) + y[low + 1] * share, low, share
+
+    def cost(self, st, gate, lane, bit):
+        """Natural log of the probability of each bit."""
+        import numpy as np
+
+        x, y, _, _ = self.logits(st, gate, lane)
+        return -np.log1p(np.exp((0.5 - bit) * (x + y)))
+
+    def learn(self, st, gate, lane, bit, weight=1.0):
+        """As ``cost``, then one step of the weights and of the map."""
+        import numpy as np
+
+        x, y, low, share = self.logits(st, gate, lane)
+        sign = 2.0 * bit - 1
+        err = sign / (1 + np.exp(sign * x)) * weight
+        n = np.bincount(gate, minlength=GATES)
+        for k, s in enumerate(st):
+            self.weights[:, k] += RATE * np.bincount(gate, weights=err * s, minlength=GATES) / (n + 16.0)
+        self.seen += n
+        err = sign / (1 + np.exp(sign * y)) * weight
+        size = LANES * APM_STEPS
+        for i, f in ((low, 1 - share), (low + 1, share)):
+            n = np.bincount(i, weights=f, minlength=size)
+            self.map += (RATE * np.bincount(i, weights=err * f, minlength=size) / (n + 16.0)).reshape(self.map.shape)
+            self.used += n.reshape(self.map.shape)
+        return -np.log1p(np.exp(-sign * (x + y) / 2))
+
+    def state(self):
+        """What is summed over learners: weights and map times what each has seen, and that."""
+        import numpy as np
+
+        return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, (self.map * self.used).ravel(), self.used.ravel()])
+
+    def take(self, state) -> Mix:
+        """The average of the learners whose states were summed; what none has seen stays as it is."""
+        import numpy as np
+
+        a, b, c = self.weights.size, GATES, self.map.size
+        w, seen, m, used = np.split(state, [a, a + b, a + b + c])
+        w, m, used = w.reshape(self.weights.shape), m.reshape(self.map.shape), used.reshape(self.map.shape)
+        self.weights = np.where(seen[:, None] > 0, w / np.maximum(seen, 1)[:, None], self.weights)
+        self.map = np.where(used > 0, m / np.maximum(used, 1e-9), self.map)
+        return self
+
+
+def stretch(table, slots, bit, own):
+    """(logit, count) of each bit's slot, less the ``own`` occurrences of the bit."""
+    import numpy as np
+
+    pair = table[slots]
+    zero = np.maximum(pair[:, 0] - own * (1 - bit), 0)
+    one = np.maximum(pair[:, 1] - own * bit, 0)
+    return np.log((one + PRIOR) / (zero + PRIOR)), zero + one
+
+
+def decisions(tokens: Tokens, paths: Paths, topic, bits: int, most: int = 1 << 14):
+    """Blocks of (first token, last token, owner, bit, lane, slots of each order): the bits of the paths of all tokens."""
+    import numpy as np
+
+    p, q = tokens.before()
+    z = topic[tokens.doc].astype(np.uint64) + np.uint64(1)
+    last = np.zeros(len(p), dtype=np.uint64)
+    has = np.flatnonzero(p)
+    last[has] = tokens.data[tokens.start[has - 1] + tokens.size[has - 1] - 1]
+    orders = [z, p, p * np.uint64(3) + q * np.uint64(0xC2B2AE3D27D4EB4F), q + np.uint64(ODD), last * np.uint64(64) + z]
+    orders = [_final((v + np.uint64(k)) * np.uint64(ODD)) for k, v in enumerate(orders)]
+    symbol = paths.symbols(tokens.hash)
+    shift = np.uint64(64 - bits)
+    for a in range(0, len(symbol), most):
+        z = min(len(symbol), a + most)
+        depth = paths.depth[symbol[a:z]]
+        owner = np.repeat(np.arange(z - a), depth)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
+        at = paths.at[symbol[a:z]][owner] + step
+        node = (paths.nodes[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+        slots = [(((v[a:z][owner] ^ node) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64) for v in orders]
+        yield a, z, owner, paths.bits[at], np.minimum(step, LANES - 1), slots
+
+
+def path_costs(tokens: Tokens, paths: Paths, topic, table, mix: Mix, held, learn: bool = False):
+    """log10 of each token's path; ``learn`` also moves the mixer."""
+    import numpy as np
+
+    out = np.zeros(len(tokens.hash))
+    bits = (len(table) - 1).bit_length()
+    own = 1.0 - held[tokens.doc]
+    for a, z, owner, bit, lane, slots in decisions(tokens, paths, topic, bits):
+        st, many = zip(*(stretch(table, s, bit, own[a:z][owner]) for s in slots))
+        gate = Mix.gate(many[1], many[2])
+        out[a:z] = np.bincount(owner, weights=(mix.learn if learn else mix.cost)(st, gate, lane, bit), minlength=z - a)
+    return out / np.log(10)
+
+
+class Topics:
+    """Classes of texts by their frequent words; the class is part of a text's code and costs log10 of its share."""
+
+    def __init__(self, sums, many, skip: int):
+        """``sums``: for each frequent word, the sum of the unit vectors of the texts in which it is the commonest;
+        ``many``: how many texts. ``skip``: the end token's column, which says nothing."""
+        import numpy as np
+
+        self.skip = skip
+        use = np.flatnonzero(many > 0)
+        x = sums[use] / np.maximum(np.linalg.norm(sums[use], axis=1, keepdims=True), 1e-9) if len(use) else np.zeros((1, sums.shape[1]))
+        n = many[use] if len(use) else np.ones(1)
+        pick = [int(np.argmax(n))]  # the largest group, then always the one that is farthest and large
+        while len(pick) < TOPICS:
+            pick.append(int(np.argmax(n * np.clip(1 - (x @ x[pick].T).max(axis=1), 0, None))))
+        self.centres = x[pick]
+        for _ in range(20):
+            z = np.argmax(x @ self.centres.T, axis=1)
+            total = np.stack([(x * n[:, None])[z == k].sum(axis=0) if (z == k).any() else self.centres[k] for k in range(TOPICS)])
+            self.centres = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+        share = np.bincount(np.argmax(x @ self.centres.T, axis=1), weights=n, minlength=TOPICS) + 1.0
+        self.cost = np.log10(share / share.sum())
+
+    @staticmethod
+    def vectors(tokens: Tokens, paths: Paths, width: int, skip: int):
+        """Unit vectors of the roots of the counts of the first ``width`` symbols, a row for each text."""
+        import numpy as np
+
+        symbol, n = paths.symbols(tokens.hash), len(tokens.first) - 1
+        ok = (symbol < min(width, len(paths.words))) & (symbol != skip)
+        v = np.sqrt(np.bincount(tokens.doc[ok] * width + symbol[ok], minlength=n * width).reshape(n, width))
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+    def of(self, tokens: Tokens, paths: Paths):
+        return (self.vectors(tokens, paths, self.centres.shape[1], self.skip) @ self.centres.T).argmax(axis=1)
+
+
+# ---- spelling ----------------------------------------------------------------------------------
 
 
 def _contexts(words: list[bytes], topic):
-    """The bytes of all words with their closing byte, and a context hash for each order and byte.
+    """The bytes of all words with their closing byte, the word of each, and a context hash for each order and byte.
 
     All orders but the three- and four-byte ones are counted for each topic apart.
     """
@@ -71,38 +398,29 @@ def _contexts(words: list[bytes], topic):
         prev = np.zeros(len(raw), dtype=np.uint64)
         prev[k:] = x[:-k]
         prev[pos < k] = 0
-        h = h * np.uint64(0x100000001B3) + prev * np.uint64(0x9E3779B97F4A7C15)
+        h = h * np.uint64(0x100000001B3) + prev * np.uint64(ODD)
         hashes.append(h.copy())
-    # Prefix hash: differences of one running sum of byte * odd^position, exact modulo 2^64.
-    powers = np.cumprod(np.full(int(pos.max()) + 1 if len(pos) else 1, 0xD6E8FEB86659FD93, dtype=np.uint64))
-    run = np.cumsum(x * powers[pos])
+    run = np.cumsum(x * _powers(int(pos.max()) + 1 if len(pos) else 1)[pos])
     before = np.concatenate([np.zeros(1, np.uint64), run])[:-1]
     hashes.append(before - before[start[owner]] + pos.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    mixed = []
     salt = np.asarray(topic, dtype=np.uint64)[owner] * np.uint64(0xC2B2AE3D27D4EB4F)
-    for k, v in enumerate(hashes):
-        v = (v + np.uint64(k + 1) + (salt if k not in (3, 4) else np.uint64(0))) * np.uint64(0xBF58476D1CE4E5B9)
-        v ^= v >> np.uint64(31)
-        mixed.append(v * np.uint64(0x94D049BB133111EB))
-    return raw, owner, mixed
+    return raw, owner, [_final(v + np.uint64(k + 1) + (salt if k not in (3, 4) else np.uint64(0))) for k, v in enumerate(hashes)]
 
 
-def _bits(raw, mixed):
+def _bits(raw, mixed, bits: int):
     """For each of the eight bits: the bits, and the slots of every order."""
     import numpy as np
 
     node = np.ones(len(raw), dtype=np.uint64)
     for b in range(7, -1, -1):
-        bit = (raw >> b) & 1
-        slots = []
-        for v in mixed:
-            s = (v ^ (node * np.uint64(0x9FB21C651E98DF25))) * np.uint64(0xD6E8FEB86659FD93)
-            slots.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
-        yield bit, slots
+        bit = ((raw >> b) & 1).astype(np.int64)
+        slots = [(((v ^ (node * np.uint64(0x9FB21C651E98DF25))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+                 for v in mixed]
+        yield 7 - b, bit, slots
         node = node * np.uint64(2) + bit.astype(np.uint64)
 
 
-def _blocks(words: list[bytes], most: int = 1 << 19):
+def _blocks(words: list[bytes], most: int = 1 << 16):
     """Runs of words of about ``most`` bytes in all."""
     at, size = 0, 0
     for i, w in enumerate(words):
@@ -114,364 +432,426 @@ def _blocks(words: list[bytes], most: int = 1 << 19):
         yield at, len(words)
 
 
-def count_bits(words: list[bytes], topic, counts):
-    """Counts of zeros and ones in every slot, as one array of 2 * 2^SLOT_BITS."""
+def count_spelling(words: list[bytes], topic, counts, bits: int):
+    """Counts of zeros and ones in every slot, two columns."""
     import numpy as np
 
-    table = np.zeros(2 << SLOT_BITS, dtype=np.float64)
+    table = np.zeros(2 << bits)
     for a, z in _blocks(words, 1 << 17):
         raw, owner, mixed = _contexts(words[a:z], topic[a:z])
         weight = np.asarray(counts[a:z], dtype=np.float64)[owner]
-        hit = np.concatenate([s * 2 + bit for bit, slots in _bits(raw, mixed) for s in slots])
-        table += np.bincount(hit, weights=np.tile(weight, 8 * ORDERS), minlength=2 << SLOT_BITS)
-    return table
+        hit = np.concatenate([s * 2 + bit for _, bit, slots in _bits(raw, mixed, bits) for s in slots])
+        table += np.bincount(hit, weights=np.tile(weight, 8 * SPELL_ORDERS), minlength=2 << bits)
+    return table.reshape(-1, 2)
 
 
-def _gate(n_prefix, n_three):
+def spell(words: list[bytes], topic, counts, table, mix: Mix, learn: bool = False):
+    """log10 of the spelling of each word, one occurrence of those with ``counts`` above 0 taken out."""
     import numpy as np
 
-    return np.searchsorted([0.5, 2.5, 8.5, 64.5, 1024.5], n_prefix) * 4 + np.searchsorted([0.5, 16.5, 1024.5], n_three)
+    out, counts = np.zeros(len(words)), np.asarray(counts, dtype=np.float64)
+    bits = (len(table) - 1).bit_length()
+    for a, z in _blocks(words, 1 << 12 if learn else 1 << 15):
+        raw, owner, mixed = _contexts(words[a:z], topic[a:z])
+        c = counts[a:z][owner]
+        own = np.minimum(c, 1.0)
+        weight = np.sqrt(c / max(c.mean(), 1e-9)) if len(c) else c
+        cost = np.zeros(len(raw))
+        for lane, bit, slots in _bits(raw, mixed, bits):
+            st, many = zip(*(stretch(table, s, bit, own) for s in slots))
+            gate = Mix.gate(many[3], many[5])
+            lanes = np.full(len(bit), lane)
+            cost += mix.learn(st, gate, lanes, bit, weight) if learn else mix.cost(st, gate, lanes, bit)
+        out[a:z] = np.bincount(owner, weights=cost, minlength=z - a)
+    return out / np.log(10)
+
+
+def blend_of(bits, in_topic, in_all, topic_total, total: float):
+    """Shares of spelling, topic and corpus that fit known words best, each word's own occurrence taken out."""
+    import numpy as np
 
+    parts = np.stack([
+        10.0 ** bits, np.maximum(in_topic - 1, 0) / np.maximum(topic_total - 1, 1), np.maximum(in_all - 1, 0) / max(total - 1, 1)
+    ])
+    blend = np.array([0.4, 0.4, 0.2])
+    for _ in range(30):
+        got = blend[:, None] * parts
+        blend = ((got / np.maximum(got.sum(axis=0), 1e-300)) * in_topic).sum(axis=1) / max(in_topic.sum(), 1)
+        blend = np.maximum(blend, 1e-3)
+        blend /= blend.sum()
+    return blend
 
-class Mixer:
-    """Gated mixing weights, the refining map and the blend, learned online on a bounded sample."""
 
-    def __init__(self, table):
-        import numpy as np
+def blended(blend, bits, in_topic, in_all, topic_total, total: float, own):
+    """log10 of the blend of 10^bits and the word's shares, ``own`` occurrences taken out."""
+    import numpy as np
 
-        self.table = table
-        self.weights = np.full((GATES, ORDERS), 0.3)
-        self.map = np.tile(np.linspace(-8, 8, APM_STEPS), (8, 1))
-        self.blend = np.array([0.4, 0.4, 0.2])
+    share = blend[1] * np.maximum(in_topic - own, 0) / np.maximum(topic_total - own, 1)
+    share = share + blend[2] * np.maximum(in_all - own, 0) / np.maximum(total - own, 1)
+    rest = bits * np.log(10) + np.log(blend[0])
+    return np.where(share > 0, np.logaddexp(rest, np.log(np.maximum(share, 1e-300))), rest) / np.log(10)
 
-    def train(self, words: list[bytes], topic, counts, in_topic, total: float, topic_total) -> None:
-        import numpy as np
 
-        counts, in_topic = np.asarray(counts, dtype=np.float64), np.asarray(in_topic, dtype=np.float64)
-        costs = np.zeros(len(words))
-        for a, z in _blocks(words, 1 << 12):
-            raw, owner, mixed = _contexts(words[a:z], topic[a:z])
-            c = in_topic[a:z][owner]
-            c = np.sqrt(c / c.mean()) if len(c) else c
-            for b, (bit, slots) in enumerate(_bits(raw, mixed)):
-                n = [(self.table[s * 2] - (bit == 0), self.table[s * 2 + 1] - (bit == 1)) for s in slots]
-                st = np.stack([np.log((np.maximum(o, 0) + PRIOR) / (np.maximum(i, 0) + PRIOR)) for i, o in n])
-                gate = _gate(n[5][0] + n[5][1], n[3][0] + n[3][1])
-                x = np.einsum("kn,nk->n", st, self.weights[gate])
-                sign = 2.0 * bit - 1
-                err = sign / (1 + np.exp(np.clip(sign * x, -30, 30))) * c
-                size = np.bincount(gate, minlength=GATES) + 16.0
-                for k in range(ORDERS):
-                    self.weights[:, k] += RATE * np.bincount(gate, weights=err * st[k], minlength=GATES) / size
-                x = np.clip(x, -7.99, 7.99)
-                at = (x + 8) * 2
-                lo = at.astype(np.int64)
-                fr = at - lo
-                y = self.map[b][lo] * (1 - fr) + self.map[b][lo + 1] * fr
-                e2 = sign / (1 + np.exp(sign * y)) * c
-                for i, f in ((lo, 1 - fr), (lo + 1, fr)):
-                    self.map[b] += RATE * np.bincount(i, weights=e2 * f, minlength=APM_STEPS) / (
-                        np.bincount(i, weights=f, minlength=APM_STEPS) + 16.0
-                    )
-                costs += np.bincount(owner + a, -np.log1p(np.exp(np.clip(-sign * (x + y) / 2, -40, 40))), len(words))
-        # Blend of the bits and the token's shares of its topic and of the corpus, without the token itself.
-        own = np.asarray(topic_total, dtype=np.float64)[topic]
-        parts = np.stack([
-            np.exp(costs), np.maximum(in_topic - 1, 0) / np.maximum(own - 1, 1), np.maximum(counts - 1, 0) / max(total - 1, 1)
-        ])
-        for _ in range(50):
-            got = self.blend[:, None] * parts
-            self.blend = ((got / np.maximum(got.sum(axis=0), 1e-300)) * in_topic).sum(axis=1) / max(in_topic.sum(), 1)
-            self.blend = np.maximum(self.blend, 1e-3)
-            self.blend /= self.blend.sum()
-
-    def ready(self) -> None:
-        """Precompute what scoring looks up: a logit and two gate levels for each slot."""
-        import numpy as np
+# ---- corpus ------------------------------------------------------------------------------------
 
-        zero, one = self.table[0::2], self.table[1::2]
-        self.logit = np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32)
-        n = zero + one
-        self.level = (_gate(n, np.zeros_like(n)) + np.searchsorted([0.5, 16.5, 1024.5], n)).astype(np.uint8)
-        self.table = None
 
-    def log10_bits(self, words: list[bytes], topic):
-        """log10 probability of each word by the bits alone."""
-        import numpy as np
+def _rows(docs: DataFrame) -> DataFrame:
+    key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return docs.select(
+        F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+        (key % FOLDS == HELD).alias("held_out"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+    )
 
-        out = np.zeros(len(words))
-        weights = self.weights.astype(np.float32)
-        steps = self.map.astype(np.float32)
-        for a, z in _blocks(words):
-            raw, owner, mixed = _contexts(words[a:z], topic[a:z])
-            cost = np.zeros(len(raw), dtype=np.float64)
-            for b, (bit, slots) in enumerate(_bits(raw, mixed)):
-                gate = (self.level[slots[5]] & ~np.uint8(3)) + (self.level[slots[3]] & np.uint8(3))
-                x = np.zeros(len(raw), dtype=np.float32)
-                for k, s in enumerate(slots):
-                    x += self.logit[s] * weights[:, k][gate]
-                np.clip(x, -7.99, 7.99, out=x)
-                at = (x + 8) * 2
-                lo = at.astype(np.int32)
-                fr = at - lo
-                y = steps[b][lo] * (1 - fr) + steps[b][lo + 1] * fr
-                cost -= np.log1p(np.exp((1 - 2 * bit.astype(np.float32)) * (x + y) * np.float32(0.5)))
-            out[a:z] = np.bincount(owner, weights=cost, minlength=z - a) / np.log(10)
-        return out
 
-    def log10(self, bits, counts, in_topic, total: float, own_total):
-        """log10 of the blend of 10^bits and the token's shares of its topic and of the corpus."""
-        import numpy as np
+def _lower():
+    import numpy as np
+
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
-        share = self.blend[1] * in_topic / np.maximum(own_total, 1) + self.blend[2] * counts / max(total, 1)
-        rest = bits * np.log(10) + np.log(self.blend[0])
-        both = np.logaddexp(rest, np.log(np.maximum(share, 1e-300)))
-        return np.where(share > 0, both, rest) / np.log(10)
 
+def _chunks(batches):
+    """Bounded chunks of a task's texts: (chunk number, ids, held out as 0 and 1, bytes, tokens)."""
+    import numpy as np
+    from pyspark import TaskContext
 
-class Topics:
-    """Hard classes of texts by their most common words (k-means on a bounded sample of texts).
+    part, seq, lower = TaskContext.get().partitionId(), 0, _lower()
+    for b in batches:
+        text = b.column(2)
+        off = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        raw = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+        ids, held = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=np.float64)
+        at = 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, "right")) - 1)
+            tokens = Tokens(lower[raw[off[at] : off[stop]]], off[at : stop + 1] - off[at])
+            # A number that another cut of the texts would not give.
+            places = tokens.doc.astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            digest = np.concatenate([np.array([part, seq, stop - at], dtype=np.uint64), tokens.hash * places])
+            number = int(_sums(digest, np.array([len(digest)]))[0].view(np.int64))
+            yield number, ids[at:stop], held[at:stop], np.diff(off[at : stop + 1]), tokens
+            at, seq = stop, seq + 1
+
+
+def _added(parts: DataFrame, dtype: str = "<f8") -> dict:
+    """``parts`` (piece int, sums binary) added up by piece, where each blob is a zlib-packed array."""
 
-    The class is part of the code of a text: its cost is log10 of the class's share.
-    """
+    def add_up(batches):
+        import zlib
 
-    def __init__(self, top: list[bytes], counts):
-        """``counts`` has a row for each sampled text: how often it holds each word of ``top``."""
         import numpy as np
+        import pandas as pd
 
-        self.ids = {w: i for i, w in enumerate(top)}
-        x = np.sqrt(counts if len(counts) else np.zeros((1, len(top))))
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        best = -1.0
-        for seed in range(10):  # k-means++ starts on the sphere; the one that fits best is kept
-            rng = np.random.default_rng(seed)
-            pick = [int(rng.integers(len(x)))]
-            while len(pick) < TOPICS:
-                far = np.clip(1 - (x @ x[pick].T).max(axis=1), 0, None) ** 2
-                pick.append(int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x))))
-            centres = x[pick]
-            for _ in range(15):
-                z = np.argmax(x @ centres.T, axis=1)
-                sums = np.stack([x[z == k].sum(axis=0) if (z == k).any() else centres[k] for k in range(TOPICS)])
-                centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-            fit = float((x @ centres.T).max(axis=1).sum())
-            if fit > best:
-                best, self.centres = fit, centres
-        z = np.argmax(x @ self.centres.T, axis=1)
-        share = np.bincount(z, minlength=TOPICS) + 1.0
-        self.cost = np.log10(share / share.sum())
+        acc: dict = {}
+        for pdf in batches:
+            for i, raw in zip(pdf["piece"], pdf["sums"]):
+                acc[i] = acc.get(i, 0) + np.frombuffer(zlib.decompress(raw), dtype=dtype).astype(np.float64)
+        for i, x in acc.items():
+            yield pd.DataFrame({"piece": [i], "sums": [zlib.compress(x.astype(dtype).tobytes(), 1)]})
 
-    def vector(self, words: list[bytes]):
-        import numpy as np
+    import zlib
 
-        get = self.ids.get
-        at = [i for i in map(get, words) if i is not None]
-        v = np.sqrt(np.bincount(np.array(at, dtype=np.int64), minlength=len(self.ids)).astype(np.float64))
-        return v / max(np.linalg.norm(v), 1e-9)
+    import numpy as np
 
-    def of(self, words: list[bytes]) -> int:
-        return int((self.centres @ self.vector(words)).argmax()) if self.ids else 0
+    found = parts.repartition("piece").mapInPandas(add_up, "piece int, sums binary").collect()
+    return {r["piece"]: np.frombuffer(zlib.decompress(r["sums"]), dtype=dtype) for r in found}
 
 
-def _chunks(batches, topics):
-    """Bounded chunks of one topic: (chunk number, topic, words in order of first use, [(doc_id, held, indexes)])."""
-    from pyspark import TaskContext
+def _blobs(arrays):
+    """Arrow rows (piece, packed array) for ``_added``."""
+    import zlib
 
-    part, seq, size = TaskContext.get().partitionId(), 0, 0
-    open_: dict[int, list] = {}
+    import pyarrow as pa
 
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            few = b.slice(at, 256)
-            for i, held, text in zip(*(few.column(k).to_pylist() for k in range(3))):
-                raw = text.lower() if text else b""
-                words = raw.split()
-                z = topics.value.of(words)
-                if z not in open_:
-                    seen: dict = defaultdict()
-                    seen.default_factory = seen.__len__
-                    open_[z] = [seen, [], 0]
-                state = open_[z]
-                words.append(END)
-                state[1].append((i, held, array("i", map(state[0].__getitem__, words))))
-                state[2] += len(raw) + 64
-                size += len(raw) + 64
-                if size >= CHUNK_BYTES:
-                    z, (seen, docs, own) = max(open_.items(), key=lambda kv: kv[1][2])
-                    del open_[z]
-                    yield (part << 24) + seq, z, list(seen), docs
-                    seq, size = seq + 1, size - own
-    for z, (seen, docs, _) in open_.items():
-        yield (part << 24) + seq, z, list(seen), docs
-        seq += 1
+    for piece, x in arrays:
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["piece", "sums"])
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (key % FOLDS == HELD).alias("held_out"),
-        F.col("text").cast("string").cast("binary").alias("text"),
-    )
+BLOB = "piece int, sums binary"
 
 
-def _vocabulary(rows: DataFrame, topics) -> DataFrame:
-    """word, c (its count in training tokens; 0 for words of held-out texts only), topics (bits), cz (counts by topic)."""
+def _frequent(rows: DataFrame) -> list[bytes]:
+    """The most frequent training words, by the sums of what each task counts of its own most frequent ones."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, z, words, docs in _chunks(batches, topics):
-            c = np.zeros(len(words), dtype=np.int64)
-            for _, held, ids in docs:
-                if not held:
-                    np.add.at(c, np.frombuffer(ids, dtype=np.int32), 1)
-            for a in range(0, len(words), 50_000):
-                ws = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ws, pa.binary()), pa.array([z] * len(ws), pa.int32()), pa.array(c[a : a + 50_000], pa.int64())],
-                    names=["word", "z", "c"],
-                )
+        counts: dict[bytes, int] = {}
+        for _, _, held, _, tokens in _chunks(batches):
+            use = np.flatnonzero(held[tokens.doc] == 0)
+            _, first, n = np.unique(tokens.hash[use], return_index=True, return_counts=True)
+            top = np.argsort(-n, kind="stable")[: 8 * FREQUENT]
+            for w, c in zip(tokens.words(use[first[top]]), n[top].tolist()):
+                counts[w] = counts.get(w, 0) + c
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: 4 * FREQUENT]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([c for _, c in best], pa.int64())], names=["word", "n"])
+
+    found = rows.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in found.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
-    return (
-        rows.mapInArrow(run, "word binary, z int, c long")
-        .groupBy("word")
-        .agg(
-            F.sum("c").alias("c"),
-            F.bit_or(F.expr("shiftleft(1, z)")).alias("topics"),
-            F.array(*[F.coalesce(F.sum(F.when(F.col("z") == k, F.col("c"))), F.lit(0)) for k in range(TOPICS)]).alias("cz"),
-        )
-    )
 
+def _survey(rows: DataFrame, words: list[bytes]):
+    """Paths by exact counts, topics, and the number of training tokens."""
+    import numpy as np
 
-def hash_of(word) -> int:
-    from xxhash import xxh64_intdigest
+    plain = Paths(words, [1] * len(words), 1)
+    width, skip = min(TOPIC_WORDS, max(1, len(words))), words.index(END) if END in words else -1
 
-    return xxh64_intdigest(bytes(word))
+    def run(batches):
+        counts = np.zeros(len(words) + 1)
+        sums, many = np.zeros((width, width)), np.zeros(width)
+        for _, _, held, _, tokens in _chunks(batches):
+            counts += np.bincount(plain.symbols(tokens.hash), weights=1 - held[tokens.doc], minlength=len(counts))
+            v = Topics.vectors(tokens, plain, width, skip)
+            use = np.flatnonzero((held == 0) & (v.max(axis=1, initial=0) > 0))
+            top = v[use].argmax(axis=1)
+            np.add.at(sums, top, v[use])
+            many += np.bincount(top, minlength=width)
+        yield from _blobs([(-1, counts), (-2, many), *((k, sums[k]) for k in np.flatnonzero(many))])
+
+    got = _added(rows.mapInArrow(run, BLOB))
+    counts = got.get(-1, np.zeros(len(words) + 1))
+    sums = np.zeros((width, width))
+    for k, v in got.items():
+        if k >= 0:
+            sums[k] = v
+    return Paths(words, counts[:-1].astype(int).tolist(), int(counts[-1])), Topics(sums, got.get(-2, np.zeros(width)), skip), int(counts.sum())
+
+
+def _table(parts: DataFrame, bits: int):
+    """The table from its pieces; floats, as counts below 2^24 are exact in them."""
+    import numpy as np
 
+    out = np.zeros(2 << bits, dtype=np.float32)
+    for i, x in _added(parts, "<f4").items():
+        out[i * len(x) : (i + 1) * len(x)] = x
+    return out.reshape(-1, 2)
 
-def _topics(rows: DataFrame) -> Topics:
-    """Classes found on the whole training texts with the least hashes, at most TOPIC_DOCS of them.
 
-    The driver gets their TOPIC_WORDS most common words and the counts of these in each text.
-    """
+def _pieces(table):
     import numpy as np
 
-    few = durable(bounded_sample(rows.where("not held_out"), "doc_id", TOPIC_DOCS).select("text")).repartition(TOPICS)
+    flat = table.ravel().astype("<f4")
+    return _blobs((i, x) for i, x in enumerate(np.split(flat, min(64, len(flat)))) if x.any())
 
-    def distinct(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(set(t.lower().split())), pa.binary())], names=["word"])
+def _few(df: DataFrame) -> DataFrame:
+    """Fewer, larger tasks, for the tables that each task sends."""
+    return df.coalesce(max(6, df.rdd.getNumPartitions() // 4))
 
-    common = few.mapInArrow(distinct, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(TOPIC_WORDS)
-    top = [bytes(r["word"]) for r in common.collect()]
+
+def _learn_paths(rows: DataFrame, paths, topics, bits: int):
+    """Path counts of all training tokens, and the mixer learned on them."""
+    import numpy as np
+
+    sc = rows.sparkSession.sparkContext
 
     def count(batches):
-        import pyarrow as pa
+        table = np.zeros(2 << bits, dtype=np.float32)
+        for _, _, held, _, tokens in _chunks(batches):
+            z = topics.value.of(tokens, paths.value)[held == 0]
+            for _, _, _, bit, _, slots in decisions(_training(tokens, held), paths.value, z, bits):
+                for s in slots:
+                    np.add.at(table, s * 2 + bit, np.float32(1))
+        yield from _pieces(table)
 
-        place = {w: i for i, w in enumerate(top)}
-        for b in batches:
-            out = []
-            for t in b.column(0).to_pylist():
-                at = [i for i in map(place.get, t.lower().split()) if i is not None] if t else []
-                if at:
-                    out.append(np.bincount(at, minlength=len(top)).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["counts"])
+    table = sc.broadcast(_table(_few(rows).mapInArrow(count, BLOB), bits))
 
-    found = sorted(bytes(r["counts"]) for r in few.mapInArrow(count, "counts binary").collect())
-    return Topics(top, np.array([np.frombuffer(x, dtype="<i4") for x in found], dtype=np.float64))
+    def learn(batches):
+        mix = Mix(PATH_ORDERS)
+        for _, _, held, _, tokens in _chunks(batches):
+            z = topics.value.of(tokens, paths.value)
+            path_costs(_training(tokens, held), paths.value, z[held == 0], table.value, mix, np.zeros(int((held == 0).sum())), learn=True)
+        yield from _blobs([(0, mix.state())])
 
+    state = _added(rows.mapInArrow(learn, BLOB))
+    return table, Mix(PATH_ORDERS).take(state[0]) if state else Mix(PATH_ORDERS)
+
+
+def _training(tokens: Tokens, held):
+    """The tokens of the texts that are not held out."""
+    import copy
 
-def _train(vocab: DataFrame, total: int, topic_total: list[int]) -> Mixer:
-    """Sum the hashed bit counts over all training words, then learn mixer and map on the sample."""
     import numpy as np
 
-    pieces = 64
-    known = vocab.where("c > 0").select("word", "c", F.posexplode("cz").alias("z", "cz")).where("cz > 0")
-    few = known.coalesce(max(6, vocab.rdd.getNumPartitions() // 4))
+    out = copy.copy(tokens)
+    use = held[tokens.doc] == 0
+    number = np.cumsum(held == 0) - 1
+    out.start, out.size, out.hash, out.doc = tokens.start[use], tokens.size[use], tokens.hash[use], number[tokens.doc[use]]
+    out.first = np.searchsorted(out.doc, np.arange(int((held == 0).sum()) + 1))
+    return out
 
-    def partial(batches):
-        import zlib
 
+def _units(tokens: Tokens, paths: Paths, topic):
+    """What a chunk looks up: (keys and topics of its distinct rare words, then of its runs; places of the rare tokens;
+    the index of each; first token, length and index (-1: too short) of each run)."""
+    import numpy as np
+
+    rare = np.flatnonzero(paths.symbols(tokens.hash) == len(paths.words))
+    key = tokens.hash[rare] ^ (topic[tokens.doc[rare]].astype(np.uint64) * np.uint64(ODD))
+    _, first, index = np.unique(key, return_index=True, return_inverse=True)
+    at, size, run = tokens.runs()
+    long = np.flatnonzero(size >= LEAST_RUN)
+    names, where = np.unique(run[long], return_inverse=True)
+    place = np.full(len(at), -1)
+    place[long] = where + len(first)
+    where = rare[first]
+    keys = tokens.words(where) + [b" " + x.tobytes() for x in names]
+    return keys, np.concatenate([topic[tokens.doc[where]], np.zeros(len(names), np.int64)]), rare, index, at, size, place
+
+
+def _vocabulary(rows: DataFrame, paths, topics) -> DataFrame:
+    """word (runs begin with a space), c (its count in training tokens; 0 for words of held-out texts only),
+    topics (bits), cz (counts by topic)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for _, _, held, _, tokens in _chunks(batches):
+            keys, z, rare, index, at, _, place = _units(tokens, paths.value, topics.value.of(tokens, paths.value))
+            c = np.bincount(index, weights=1 - held[tokens.doc[rare]], minlength=len(keys)).astype(np.float64)
+            ok = place >= 0
+            c += np.bincount(place[ok], weights=1 - held[tokens.doc[at[ok]]], minlength=len(keys))
+            c = c.astype(np.int64)
+            # A run without training occurrence is not needed; a word is, to be spelled.
+            words = len(np.unique(index))
+            use = np.flatnonzero((c > 0) | (np.arange(len(keys)) < words))
+            for a in range(0, len(use), 50_000):
+                few = use[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[i] for i in few.tolist()], pa.binary()), pa.array(z[few], pa.int32()), pa.array(c[few], pa.int64())],
+                    names=["word", "z", "c"],
+                )
+
+    return (
+        rows.mapInArrow(run, "word binary, z int, c long")
+        .groupBy("word")
+        .agg(
+            F.sum("c").alias("c"),
+            F.bit_or(F.expr("shiftleft(1, z)")).alias("topics"),
+            F.array(*[F.coalesce(F.sum(F.when(F.col("z") == k, F.col("c"))), F.lit(0)) for k in range(TOPICS)]).alias("cz"),
+        )
+    )
+
+
+def _learn_spelling(vocab: DataFrame, size: int, total: int, topic_total):
+    """Spelling counts of all training words, and mixer and blend learned on all of them in groups of about GROUP."""
+    import numpy as np
+
+    sc = vocab.sparkSession.sparkContext
+    known = vocab.where("c > 0 and substring(word, 1, 1) <> X'20'").select("word", "c", F.posexplode("cz").alias("z", "cz")).where("cz > 0")
+    bits = min(SPELL_BITS, max(12, (64 * size).bit_length()))
+
+    def count(batches):
         import pandas as pd
 
-        table = np.zeros(2 << SLOT_BITS, dtype=np.float32)
+        table = np.zeros((1 << bits, 2))
         for pdf in batches:
             if len(pdf):
-                table += count_bits(pdf["word"].tolist(), pdf["z"].to_numpy(), pdf["cz"].to_numpy())
-        for i, piece in enumerate(np.split(table, pieces)):
-            if piece.any():
-                yield pd.DataFrame({"piece": [i], "sums": [zlib.compress(piece.astype("<f4").tobytes(), 1)]})
+                table += count_spelling([bytes(w) for w in pdf["word"]], pdf["z"].to_numpy(), pdf["cz"].to_numpy(), bits)
+        for b in _pieces(table):
+            yield pd.DataFrame(b.to_pydict())
 
-    def add_up(batches):
+    table = sc.broadcast(_table(_few(known).mapInPandas(count, BLOB), bits))
+
+    def learn(pdf):
         import zlib
 
         import pandas as pd
 
-        acc: dict = {}
-        for pdf in batches:
-            for i, raw in zip(pdf["piece"], pdf["sums"]):
-                acc[i] = acc.get(i, 0) + np.frombuffer(zlib.decompress(raw), dtype="<f4").astype(np.float64)
-        for i, x in acc.items():
-            yield pd.DataFrame({"piece": [i], "sums": [x.astype("<f4").tobytes()]})
-
-    schema = "piece int, sums binary"
-    sums = few.mapInPandas(partial, schema).repartition(pieces, "piece").mapInPandas(add_up, schema)
-    found = {r["piece"]: r["sums"] for r in sums.collect()}
-    table = np.zeros(2 << SLOT_BITS, dtype=np.float64)
-    width = len(table) // pieces
-    for i, raw in found.items():
-        table[i * width : (i + 1) * width] = np.frombuffer(raw, dtype="<f4")
-    mixer = Mixer(table)
-    sample = sorted(bounded_sample(known, "word", SAMPLE_WORDS).collect(), key=lambda r: (hash_of(r["word"]), r["z"]))
-    if sample:
-        cols = [np.array([r[k] for r in sample]) for k in ("z", "c", "cz")]
-        mixer.train([bytes(r["word"]) for r in sample], *cols, total, topic_total)
-    mixer.ready()
-    return mixer
+        words = [bytes(w) for w in pdf["word"]]
+        order = np.lexsort((pdf["z"].to_numpy(), hash_of(words)))
+        words = [words[i] for i in order]
+        z, c, cz = (pdf[k].to_numpy()[order] for k in ("z", "c", "cz"))
+        mix = Mix(SPELL_ORDERS)
+        got = spell(words, z, cz, table.value, mix, learn=True)
+        blend = blend_of(got, cz.astype(float), c.astype(float), np.array(topic_total)[z], total) * cz.sum()
+        return pd.DataFrame({"piece": [0], "sums": [zlib.compress(np.concatenate([mix.state(), blend, [cz.sum()]]).tobytes(), 1)]})
+
+    groups = known.withColumn("g", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-size // GROUP)))))
+    got = _added(groups.groupBy("g").applyInPandas(learn, BLOB))
+    if not got:
+        return table, Mix(SPELL_ORDERS), np.array([0.4, 0.4, 0.2])
+    return table, Mix(SPELL_ORDERS).take(got[0][:-4]), got[0][-4:-1] / max(got[0][-1], 1)
+
+
+@dataclass
+class Learned:
+    """What scoring needs of the training texts; the first four and the spelling table are broadcasts."""
+
+    paths: object
+    topics: object
+    path_table: object
+    spell_table: object
+    path_mix: Mix
+    spell_mix: Mix
+    blend: object
+    vocab: DataFrame
+    #: Training tokens, their distinct words, rare tokens, these by topic, and runs.
+    n: int
+    v: int
+    rare: int
+    by_topic: list
+    runs: int
+
+
+def learn(rows: DataFrame) -> Learned:
+    sc = rows.sparkSession.sparkContext
+    paths, topics, n = _survey(rows, _frequent(rows))
+    paths, topics = sc.broadcast(paths), sc.broadcast(topics)
+    bits = min(PATH_BITS, max(12, (8 * n).bit_length()))
+    path_table, path_mix = _learn_paths(rows, paths, topics, bits)
+    vocab = durable(_vocabulary(rows, paths, topics))
+    is_run = F.substring("word", 1, 1) == F.lit(b" ")
+    head = vocab.groupBy(is_run.alias("run")).agg(
+        F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[F.sum(F.get("cz", F.lit(k))).alias(f"z{k}") for k in range(TOPICS)]
+    ).collect()
+    word = next((r for r in head if not r["run"]), None)
+    runs = next((int(r["n"]) for r in head if r["run"]), 0)
+    rare, rare_v, by_topic = (int(word["n"]), int(word["v"]), [int(word[f"z{k}"]) for k in range(TOPICS)]) if word else (0, 0, [0] * TOPICS)
+    v = rare_v + int((paths.value.counts[:-1] > 0).sum())
+    spell_table, spell_mix, blend = _learn_spelling(vocab, rare_v, rare, by_topic)
+    return Learned(paths, topics, path_table, spell_table, path_mix, spell_mix, blend, vocab, n, v, rare, by_topic, runs)
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (of the text, and one for its end),
+    bits_per_byte."""
     rows = _rows(docs)
-    sc = docs.sparkSession.sparkContext
-    topics = sc.broadcast(_topics(rows))
-    vocab = durable(_vocabulary(rows, topics))
-    head = vocab.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-        F.count_if(F.col("c") > 0).alias("v"),
-        *[F.coalesce(F.sum(F.get("cz", F.lit(k))), F.lit(0)).alias(f"z{k}") for k in range(TOPICS)],
-    ).first()
-    n, v, by_topic = int(head["n"]), int(head["v"]), [int(head[f"z{k}"]) for k in range(TOPICS)]
-    shared = sc.broadcast(_train(vocab, n, by_topic))
+    m = learn(rows)
+    paths, topics, path_table, spell_table, path_mix, spell_mix = m.paths, m.topics, m.path_table, m.spell_table, m.path_mix, m.spell_mix
+    blend, vocab, n, v, rare, by_topic, runs = m.blend, m.vocab, m.n, m.v, m.rare, m.by_topic, m.runs
 
     def cost(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            words, z, c = [bytes(w) for w in pdf["word"]], pdf["z"].to_numpy(), pdf["c"].to_numpy()
-            bits = shared.value.log10_bits(words, z)
-            whole = shared.value.log10(bits, c, pdf["cz"].to_numpy(), n, np.array(by_topic)[z])
-            yield pd.DataFrame({"word": words, "z": z, "c": c, "cost": whole.astype("float32")})
+            words, z, cz = [bytes(w) for w in pdf["word"]], pdf["z"].to_numpy(), pdf["cz"].to_numpy()
+            bits = np.zeros(len(words), dtype=np.float32)
+            at = [i for i, w in enumerate(words) if w[:1] != b" "]
+            if at:
+                bits[at] = spell([words[i] for i in at], z[at], cz[at], spell_table.value, spell_mix)
+            yield pd.DataFrame({"word": words, "z": z, "c": pdf["c"], "cz": cz, "bits": bits})
 
     present = vocab.select("word", "c", "topics", F.posexplode("cz").alias("z", "cz")).where("(shiftright(topics, z) & 1) = 1")
-    costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, cost float")
+    costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, cz long, bits float")
 
     def chunk_words(batches):
+        import numpy as np
         import pyarrow as pa
 
-        for number, z, words, _ in _chunks(batches, topics):
-            for a in range(0, len(words), 50_000):
-                ws = words[a : a + 50_000]
+        for number, _, _, _, tokens in _chunks(batches):
+            keys, z, *_ = _units(tokens, paths.value, topics.value.of(tokens, paths.value))
+            for a in range(0, len(keys), 50_000):
+                few = keys[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(ws), pa.int64()), pa.array([z] * len(ws), pa.int32()),
-                     pa.array(range(a, a + len(ws)), pa.int32()), pa.array(ws, pa.binary())],
+                    [pa.array(np.full(len(few), number), pa.int64()), pa.array(z[a : a + len(few)], pa.int32()),
+                     pa.array(np.arange(a, a + len(few)), pa.int32()), pa.array(few, pa.binary())],
                     names=["chunk", "z", "at", "word"],
                 )
 
@@ -479,46 +859,98 @@ def score(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for number, z, words, docs in _chunks(batches, topics):
-            lens = np.array([len(w) + (w != END) for w in words])
-            for a in range(0, len(docs), 1000):
-                ds = docs[a : a + 1000]
-                ids = [np.frombuffer(x, dtype=np.int32) for _, _, x in ds]
+        for number, ids, held, n_bytes, tokens in _chunks(batches):
+            z = topics.value.of(tokens, paths.value)
+            _, _, rare_at, index, at, size, place = _units(tokens, paths.value, z)
+            path = path_costs(tokens, paths.value, z, path_table.value, path_mix, held)
+            symbol = paths.value.symbols(tokens.hash)
+            common = symbol < len(paths.value.words)
+            base = np.where(common, np.log10(paths.value.counts[symbol] + 1.0), 0)
+            of = np.repeat(np.arange(len(at)), size)
+            run_path = np.bincount(of, weights=path, minlength=len(at)).astype("<f4")
+            run_rare = np.bincount(of[rare_at], minlength=len(at)).astype("<i4")
+            run_doc = np.searchsorted(tokens.doc[at], np.arange(len(ids) + 1))
+            rare_doc = np.searchsorted(tokens.doc[rare_at], np.arange(len(ids) + 1))
+            n_tokens = np.diff(tokens.first)
+            n_common = np.bincount(tokens.doc, weights=common, minlength=len(ids)).astype(np.int64)
+            base = np.bincount(tokens.doc, weights=base, minlength=len(ids))
+            cut = lambda x, edges, a, e: [x[edges[i] : edges[i + 1]].tobytes() for i in range(a, e)]
+            index, place = index.astype("<i4"), place.astype("<i4")
+            for a in range(0, len(ids), 1000):
+                e = min(a + 1000, len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number] * len(ds), pa.int64()),
-                        pa.array([z] * len(ds), pa.int32()),
-                        pa.array([d for d, _, _ in ds], pa.int64()),
-                        pa.array([h for _, h, _ in ds], pa.bool_()),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
-                        pa.array([int(lens[x].sum()) for x in ids], pa.int64()),
-                    ],
-                    names=["chunk", "z", "doc_id", "held_out", "ids", "n_bytes"],
+                    [pa.array(np.full(e - a, number), pa.int64()), pa.array(z[a:e], pa.int32()), pa.array(ids[a:e], pa.string()),
+                     pa.array(held[a:e] > 0, pa.bool_()), pa.array(n_tokens[a:e], pa.int64()), pa.array(n_common[a:e], pa.int64()),
+                     pa.array(base[a:e], pa.float64()), pa.array(n_bytes[a:e] + 1, pa.int64()), pa.array(cut(index, rare_doc, a, e), pa.binary()),
+                     pa.array(cut(place, run_doc, a, e), pa.binary()), pa.array(cut(run_rare, run_doc, a, e), pa.binary()),
+                     pa.array(cut(run_path, run_doc, a, e), pa.binary())],
+                    names=names,
                 )
 
-    # Both scans cut the same chunks: a partition's rows come in file order.
+    schema = (
+        "chunk long, z int, doc_id string, held_out boolean, n_tokens long, n_common long, common double, n_bytes long, rare binary, "
+        "run binary, run_rare binary, run_path binary"
+    )
+    names = [x.split()[0] for x in schema.split(", ")]
     words = rows.mapInArrow(chunk_words, "chunk long, z int, at int, word binary")
-    texts = rows.mapInArrow(chunk_docs, "chunk long, z int, doc_id long, held_out boolean, ids binary, n_bytes long")
-    priced = words.join(costs, ["word", "z"]).select("chunk", "at", "c", "cost")
+    texts = rows.mapInArrow(chunk_docs, schema)
+    priced = words.join(costs, ["word", "z"]).select("chunk", "at", "c", "cz", "bits")
 
     def sums(prices, docs):
         import numpy as np
         import pandas as pd
 
-        size = int(prices["at"].max()) + 1 if len(prices) else 0
-        c, cost = np.zeros(size), np.zeros(size)
-        at = prices["at"].to_numpy()
-        c[at], cost[at] = prices["c"], prices["cost"]
-        base = np.log10((c + 1) / (n + 1.0 * (v + 1)))
+        top = lambda name: max((int(np.frombuffer(x, dtype="<i4").max()) + 1 for x in docs[name] if len(x)), default=0)
+        at = prices["at"].to_numpy() if len(prices) else np.zeros(0, np.int64)
+        if not len(docs) or len(np.unique(at[at < top("rare")])) != top("rare"):
+            raise RuntimeError("the scans of the texts do not agree; score a table or a checkpoint")
+        size = max(top("rare"), top("run"), int(at.max()) + 1 if len(at) else 0)
+        c, cz, spelled = np.zeros(size), np.zeros(size), np.zeros(size)
+        if len(at):
+            c[at], cz[at], spelled[at] = prices["c"], prices["cz"], prices["bits"]
         out = []
-        for d, held, z, ids, n_bytes in zip(*(docs[k] for k in ("doc_id", "held_out", "z", "ids", "n_bytes"))):
-            i = np.frombuffer(ids, dtype=np.int32)
-            s = float(cost[i].sum() + topics.value.cost[z])
-            out.append((d, held, len(i), int((c[i] > 0).sum()), n, float(base[i].sum()), s, n_bytes,
-                        -s * 3.3219280948873626 / n_bytes))
+        for row in docs.itertuples(index=False):
+            idx = np.frombuffer(row.rare, dtype="<i4")
+            own = 0 if row.held_out else 1
+            rare_cost = blended(blend, spelled[idx], cz[idx], c[idx], by_topic[row.z], rare, own)
+            run, many = np.frombuffer(row.run, dtype="<i4"), np.frombuffer(row.run_rare, dtype="<i4")
+            plain = np.bincount(np.repeat(np.arange(len(run)), many), weights=rare_cost, minlength=len(run)) + np.frombuffer(row.run_path, dtype="<f4")
+            s = run_costs(plain, run, c, runs, own) + float(topics.value.cost[row.z])
+            base = row.common + float(np.log10(c[idx] + 1).sum()) - row.n_tokens * float(np.log10(n + v + 1.0))
+            out.append((row.doc_id, row.held_out, row.n_tokens, row.n_common + int((c[idx] > 0).sum()), n, base, s, row.n_bytes,
+                        -s * 3.3219280948873626 / row.n_bytes))
         return pd.DataFrame(out, columns=COLUMNS)
 
-    return priced.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInPandas(sums, SCHEMA)
+    found = priced.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInPandas(sums, SCHEMA.replace("doc_id long", "doc_id string"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # ids pass through pandas as text: a long with nulls would be a float
+
+
+def run_costs(plain, run, count, total: int, own: int) -> float:
+    """log10 of a text, from that of each of its runs (``plain``): a run that training texts hold, or that came before in
+    this text, is named instead where that costs less. The flag's counts adapt along the text."""
+    import math
+
+    import numpy as np
+
+    long = np.flatnonzero(run >= 0)
+    known = np.zeros(len(run))
+    names, inverse, times = np.unique(run[long], return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")
+    rank = np.empty(len(long))
+    rank[order] = np.arange(len(long)) - np.repeat(np.cumsum(times) - times, times)
+    known[long] = count[run[long]] - own * times[inverse] + rank
+    flags, last, out = [list(x) for x in FLAGS], 0, 0.0
+    if not (known > 0).any():
+        steps = np.arange(len(run))
+        return float(plain.sum() + np.log10((flags[0][0] + steps) / (sum(flags[0]) + steps)).sum())
+    for s, k in zip(plain.tolist(), known.tolist()):
+        a, b = flags[last]
+        spelled, named = s + math.log10(a / (a + b)), math.log10(min(1.0, k / (total + 1.0)) * b / (a + b)) if k > 0 else -math.inf
+        pick = int(named > spelled)
+        out += named if pick else spelled
+        flags[last][pick] += 1
+        last = pick
+    return out
 
 
 SCHEMA = (

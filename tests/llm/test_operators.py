@@ -10,7 +10,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from compare import assert_same
-from peerloom.llm import chroma, decontam, langid, lines, lm_scoring, mixture, ordinal, quotes, queries, sharding, simhash
+from peerloom.llm import chroma, decontam, langid, lines, mixture, ordinal, quotes, queries, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 EDGES = [
@@ -35,43 +35,6 @@ def test_same_as_sql(spark, name):
     assert_same(spark, "/root/testdata/sf0.01", queries.QUERIES[name], queries.SQL[name])
 
 
-def test_lm_scores(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs).collect()}
-    t = texts()
-    tokens = {i: [*x.encode().lower().split(), b"\n"] for i, x in t.items()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in t}
-    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(t)
-    for i, r in got.items():
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[i])
-        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[i], len(tokens[i]), n)
-        assert r["n_known"] == sum(c[w] > 0 for w in tokens[i]) and r["base_score"] == pytest.approx(base)
-        assert r["score"] < 0 and r["bits_per_byte"] > 0
-
-
-def test_lm_costs_are_a_distribution():
-    """Over all one-byte and all two-byte words the probabilities of a trained mixer sum to no more than one."""
-    words = [b"ab", b"abc", b"b", b"\n"] * 5
-    z, c = np.zeros(len(words), int), np.ones(len(words))
-    mixer = lm_scoring.Mixer(lm_scoring.count_bits(words, z, c))
-    mixer.train(words, z, c, c, 20.0, [20] + [0] * 7)
-    mixer.ready()
-    ends = {9, 11, 12, 13, 32}
-    some = [bytes([a]) for a in range(256) if a not in ends] + [bytes([a, b]) for a in range(256) for b in range(256) if not {a, b} & (ends | {10})]
-    total = float((10 ** mixer.log10_bits(some, np.zeros(len(some), int))).sum())
-    assert 0.05 < total <= 1 + 1e-6
-
-
-def test_lm_edges(spark):
-    got = lm_scoring.score(edge_docs(spark)).collect()
-    assert len(got) == len(EDGES)
-    empty = [r for r in got if r["doc_id"] in (1, 2)]
-    assert [r["n_tokens"] for r in empty] == [1, 1] and empty[0]["score"] == pytest.approx(empty[1]["score"])
-    assert lm_scoring.score(edge_docs(spark, [])).count() == 0
-
-
 def test_budget_shares():
     assert mixture.share_out(100, [("a", 1, 10), ("b", 1, 200), ("c", 2, 200)]) == {"a": 10, "b": 30, "c": 60}
     leaves = {("d", "en", "s"): 100, ("d", "fr", "s"): 10, ("e", "en", "s"): 1000}
