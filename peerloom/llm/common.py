@@ -7,11 +7,11 @@ columns cannot clash.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Bytes that end a word: space and 0x09-0x0D. ``bytes.split()`` splits on these.
@@ -23,17 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (tests on one machine) a temporary folder is taken.
+    Where it is unset, a local session takes a temporary folder; on a cluster, whose
+    machines would not see it, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="peerloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def tokens_of(text) -> list[bytes]:
@@ -70,44 +77,31 @@ def with_position(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def with_running_sum(df: DataFrame, group: str, keys: list[str], value: str) -> DataFrame:
-    """Add ``__pl_cum``: the sum of the long ``value`` up to and with each row, within the int ``group``.
+def with_running_sum(df: DataFrame, group: list[str], keys: list[str], value: str) -> DataFrame:
+    """Add ``__pl_cum``: the sum of the long ``value`` up to and with each row, within ``group``, in the order of ``keys``.
 
     The rows of one group may fill any number of partitions: each partition
-    sums its own rows as a stream, and only one total for each partition and
-    group is shared (at most partitions + groups rows, hence the broadcast).
+    sums its own rows, and only one total for each partition and group is
+    shared. Rows with equal keys come in any order: keys should be distinct.
     """
+    part = F.shiftright("__pl_mid", 33).alias("__pl_part")
     laid = durable(
-        df.repartitionByRange(F.col(group), *[F.col(k) for k in keys])
-        .sortWithinPartitions(group, *keys)
-        .withColumn("__pl_part", F.spark_partition_id())
-    )
-    schema = T.StructType(laid.schema.fields + [T.StructField("__pl_local", T.LongType())])
-
-    def local(batches):
-        import pandas as pd
-
-        last, carry = None, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sums = pdf.groupby(group, sort=False)[value].cumsum().astype("int64")
-            head = pdf[group] == last
-            sums = sums + pd.Series(carry, index=pdf.index).where(head, 0)
-            last, carry = pdf[group].iloc[-1], int(sums.iloc[-1])
-            yield pdf.assign(__pl_local=sums)
-
-    w = Window.partitionBy(group).orderBy("__pl_part").rowsBetween(Window.unboundedPreceding, -1)
+        df.repartitionByRange(*[F.col(k) for k in [*group, *keys]])
+        .sortWithinPartitions(*group, *keys)
+        .withColumn("__pl_mid", F.monotonically_increasing_id())
+    ).withColumn("__pl_part", part)
+    own = Window.partitionBy("__pl_part", *group).orderBy("__pl_mid").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("__pl_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        laid.groupBy("__pl_part", group)
+        laid.groupBy("__pl_part", *group)
         .agg(F.sum(value).alias("__pl_sum"))
-        .select("__pl_part", group, F.coalesce(F.sum("__pl_sum").over(w), F.lit(0)).alias("__pl_off"))
+        .select("__pl_part", *group, F.coalesce(F.sum("__pl_sum").over(before), F.lit(0)).alias("__pl_off"))
     )
     return (
-        laid.mapInPandas(local, schema)
-        .join(F.broadcast(offsets), ["__pl_part", group])
+        laid.withColumn("__pl_local", F.sum(value).over(own))
+        .join(offsets, ["__pl_part", *group])
         .withColumn("__pl_cum", F.col("__pl_local") + F.col("__pl_off"))
-        .drop("__pl_part", "__pl_local", "__pl_off")
+        .drop("__pl_part", "__pl_local", "__pl_off", "__pl_mid")
     )
 
 
@@ -176,9 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows of ``df`` (all, if it has fewer; never above ``n``), picked by the hash of ``key``.
 
-    A count sets the rate, so that no task hands on more than its share of
-    about 2n rows; the least hashes of those are taken.
+    Only hashes are sorted: the rows themselves stay where they are and are taken by the
+    largest hash that is in (rows of equal hash are in or out together).
     """
-    rate = max(1, df.count() // (2 * n))
     h = F.xxhash64(F.col(key))
-    return df.where(F.pmod(h, F.lit(rate)) == 0).withColumn("__pl_h", h).orderBy("__pl_h", key).limit(n).drop("__pl_h")
+    rate = max(1, df.count() // (2 * n))  # so that no task hands on more than its share of about 2n hashes
+    df = df.where(F.pmod(h, F.lit(rate)) == 0)
+    hashes = df.groupBy(h.alias("__pl_h")).agg(F.count(F.lit(1)).alias("__pl_n"))
+    least = hashes.orderBy("__pl_h").limit(n).collect()
+    left, top = n, None
+    for r in least:
+        left -= r["__pl_n"]
+        if left < 0:
+            break
+        top = r["__pl_h"]
+    return df.where(h <= F.lit(top)) if top is not None else df.limit(0)

@@ -6,12 +6,15 @@ doc_id, then smallest line number) stays and the lines under every later one
 are removed, merged over overlaps. Where a later occurrence overlaps the first
 one in the same document, only the lines past the first one go.
 
+Every row is a document of its own, told from others by its doc_id and a hash of
+its text: rows that share an id but not the text lose only their own lines.
+
 Edge cases: null text stays null and has no lines; a text of fewer than three
 lines has no window and is kept; blank windows (all three lines empty) count
-like any other; rows that repeat a doc_id (null included) are one document: a
-window at the same line is no later occurrence of itself, and all such rows
-lose the same line numbers; an empty table gives
-no rows; extra columns pass through untouched.
+like any other; a null doc_id sorts first; rows that are equal in id and text cannot
+be told apart and count as one document (all of them lose the same lines); an empty
+table gives no rows; extra columns pass through untouched, but ``n_lines`` and
+``n_removed`` are the operator's.
 """
 
 from __future__ import annotations
@@ -22,11 +25,16 @@ from pyspark.sql import functions as F
 WINDOW = 3
 
 
+def _hash():
+    return F.xxhash64("text")
+
+
 def _windows(docs: DataFrame, size: int) -> DataFrame:
-    lines = docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).where(F.size("ls") >= size)
+    lines = docs.select("doc_id", _hash().alias("th"), F.split("text", "\n", -1).alias("ls")).where(F.size("ls") >= size)
     at = F.sequence(F.lit(0), F.size("ls") - size)
     hashed = lines.select(
         "doc_id",
+        "th",
         F.posexplode(
             F.transform(
                 at,
@@ -37,36 +45,35 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
             )
         ).alias("pos", "h"),
     )
-    return hashed.select("doc_id", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+    return hashed.select("doc_id", "th", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, spans: array of (start, stop) line ranges, as found, of later occurrences."""
+    """doc_id, th (hash of the text), spans: array of (start, stop) line ranges, as found, of later occurrences."""
     w = _windows(docs, size)
     first = (
         w.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("f"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("f"))
         .where("n > 1")
         .select("h1", "h2", "f")
     )
     later = w.join(first, ["h1", "h2"]).where(
-        "not (doc_id <=> f.doc_id and pos = f.pos)"
-    )
-    start = F.when(F.col("doc_id").eqNullSafe(F.col("f.doc_id")), F.greatest("pos", F.col("f.pos") + size)).otherwise(
-        F.col("pos")
+        "not (doc_id <=> f.doc_id and th = f.th and pos = f.pos)"
     )
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+    start = F.when(same, F.greatest("pos", F.col("f.pos") + size)).otherwise(F.col("pos"))
     return (
-        later.select("doc_id", start.alias("start"), (F.col("pos") + size).alias("stop"))
+        later.select("doc_id", "th", start.alias("start"), (F.col("pos") + size).alias("stop"))
         .where("start < stop")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "th")
         .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     )
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, plus ``n_lines`` and ``n_removed``."""
-    spans = repeated_spans(docs, size).withColumnRenamed("doc_id", "__pl_id").withColumnRenamed("spans", "__pl_spans")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__pl_id")), "left")
+    spans = repeated_spans(docs, size).withColumnsRenamed({"doc_id": "__pl_id", "th": "__pl_th", "spans": "__pl_spans"})
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__pl_id")) & (_hash() == F.col("__pl_th")), "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
     def clean(text, starts, stops):
@@ -94,7 +101,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         .withColumn("text", F.col("__pl_c.text"))
         .withColumn("n_lines", F.col("__pl_c.n_lines"))
         .withColumn("n_removed", F.col("__pl_c.n_removed"))
-        .drop("__pl_c", "__pl_id", "__pl_spans")
+        .drop("__pl_c", "__pl_id", "__pl_th", "__pl_spans")
     )
 
 

@@ -7,10 +7,16 @@ them together cannot use returns to the parent's level. A leaf then takes
 whole epochs and, of the next epoch's seeded order, the longest prefix whose
 tokens fit the rest of its budget.
 
-Edge cases: null levels are the child named ""; null text has no tokens;
-null doc_ids and repeated rows are rows of their own with equal order keys
-and may come out in either order; weights of zero select nothing; an empty
-table gives no rows; extra columns pass through ``mix``.
+A row's place in the order is a hash of its doc_id, its text and the epoch. Rows
+that are equal in both share a place and are taken together. No row is found by
+its id: each is compared with the last place that its leaf takes, so that texts
+are never shuffled.
+
+Edge cases: null levels are the child named ""; null text has no tokens; null
+and repeated doc_ids are rows of their own, told apart by their texts; weights
+of zero select nothing, and their children's tokens count for nobody; an empty
+table gives no rows; extra columns pass through ``mix``, and those named as a level
+or as ``domain`` stay the caller's.
 """
 
 from __future__ import annotations
@@ -29,53 +35,99 @@ WEIGHTS = {
 }
 #: Budget as a share of all tokens, and the most epochs that a leaf may be repeated.
 BUDGET_SHARE, MAX_EPOCHS, SEED = 0.8, 3, 20
-#: Leaves are collected to plan the budget; the weight tree bounds them.
-MAX_LEAVES = 100_000
+#: A plan whose names hold no more bytes is broadcast; a larger one is joined by the sizes that Spark sees.
+BROADCAST_BYTES = 16 << 20
 
 
 def share_out(budget: int, children: list[tuple[str, float, int]]) -> dict[str, int]:
     """Split ``budget`` over (name, weight, capacity) by weight; shortages go to the siblings left."""
-    left, todo, out = budget, [c for c in children if c[1] > 0 and c[2] > 0], {c[0]: 0 for c in children}
-    while todo:
-        total = sum(w for _, w, _ in todo)
-        full = [c for c in todo if c[2] <= left * c[1] / total]
-        if not full:
-            at, taken = 0.0, 0
-            for name, w, _ in todo:  # cumulative rounding: the parts add up to what is left
-                at += w
-                upto = round(left * at / total)
-                out[name], taken = upto - taken, upto
-            break
-        for name, _, cap in full:
-            out[name] = cap
-            left -= cap
-        todo = [c for c in todo if c not in full]
+    left, out = budget, {c[0]: 0 for c in children}
+    todo = sorted((c for c in children if c[1] > 0 and c[2] > 0), key=lambda c: (c[2] / c[1], c[0]))
+    total, k = sum(c[1] for c in todo), 0
+    while k < len(todo) and todo[k][2] * total <= left * todo[k][1]:  # the least of capacity by weight is full first
+        name, w, cap = todo[k]
+        out[name] = cap
+        left, total, k = left - cap, total - w, k + 1
+    at, taken, rest = 0.0, 0, sorted(todo[k:])
+    total = sum(c[1] for c in rest)
+    for name, w, _ in rest:  # cumulative rounding: the parts add up to what is left
+        at += w
+        upto = round(left * at / total)
+        out[name], taken = upto - taken, upto
     return out
 
 
-def plan_budget(leaves: dict[tuple, int], budget: int, weights: dict, levels: list[str], epochs: int) -> dict[tuple, int]:
-    """Tokens for each leaf path, from the tokens each leaf has."""
-
-    caps: dict[tuple, int] = {}
-    under: dict[tuple, set] = {}
-    for path, n in leaves.items():
-        for k in range(len(path)):
-            caps[path[: k + 1]] = caps.get(path[: k + 1], 0) + n * epochs
-            under.setdefault(path[:k], set()).add(path[k])
-    out: dict[tuple, int] = {}
-
-    def down(path, given):
-        if len(path) == len(levels):
-            out[path] = given
-            return
-        names = weights[levels[len(path)]]
-        children = sorted(under.get(path, ()))
-        parts = share_out(given, [(c, names.get(c, names.get("*", 0.0)), caps[*path, c]) for c in children])
-        for c in children:
-            down((*path, c), min(parts[c], caps[*path, c]))
-
-    down((), budget)
-    return out
+def _sharing(path: list[str]):
+    """The children (w, cap) of one node, whose budget is ``above``, with their budgets."""
+
+    def share(pdf):
+        parts = share_out(int(pdf["above"].iat[0]), list(zip(pdf[path[-1]], pdf["w"], pdf["cap"].astype(int))))
+        return pdf[path].assign(budget=[parts[x] for x in pdf[path[-1]]]).astype({"budget": "int64"})
+
+    return share
+
+
+def plan_budget(leaves: DataFrame, budget: int, weights: dict, names: list[str], levels: list[str], epochs: int) -> DataFrame:
+    """``leaves`` (the ``names`` of each path, ``tokens``) with ``budget``: the tokens that each leaf gives.
+
+    Capacities add up from the leaves, without children of weight zero; budgets run down, the
+    children of one node in one task. Nothing is collected, so that any number of leaves will do.
+    """
+    weight = []
+    for level, n in zip(levels, names):
+        other = float(weights[level].get("*", 0.0))
+        own = [F.lit(x) for name, w in weights[level].items() if name != "*" for x in (name, float(w))]
+        weight.append(F.coalesce(F.element_at(F.create_map(*own), F.col(n)), F.lit(other)) if own else F.lit(other))
+    usable = F.when(F.least(*weight, F.lit(1.0)) > 0, F.col("tokens") * epochs).otherwise(0).cast("long")
+    tree = leaves.withColumn("cap", usable).select("*", *[w.alias(f"__pl_w{k}") for k, w in enumerate(weight)])
+    given = None
+    for k in range(len(names)):
+        path = names[: k + 1]
+        level = tree.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first(f"__pl_w{k}").alias("w"))
+        level = level.crossJoin(leaves.sparkSession.range(1).select(F.lit(budget).cast("long").alias("above"))) if given is None else level.join(given, names[:k])
+        kinds = ", ".join(f"{n} string" for n in path) + ", budget long"
+        # The least of a node's capacity and budget is what it can give, so nothing is lost further down.
+        given = level.groupBy(*names[:k]).applyInPandas(_sharing(path), kinds).withColumnRenamed("budget", "above")
+    return leaves.join(given.withColumnRenamed("above", "budget"), names)
+
+
+def _planned(docs: DataFrame, weights: dict, levels: list[str], budget_share: float, epochs: int, seed: int):
+    """(names of the level columns; narrow rows: doc_id, names, __pl_n (tokens), __pl_t (hash of the text); the plan:
+    names, __pl_budget, __pl_full (whole epochs), __pl_last (the last place taken in the next one))."""
+    names = [f"__pl_l{i}" for i in range(len(levels))]
+    tokens = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = durable(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_named(levels, names), tokens.alias("__pl_n"), _hash().alias("__pl_t"))
+    )
+    leaves = durable(rows.groupBy(*names).agg(F.sum("__pl_n").alias("tokens")))
+    size = leaves.agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(sum((F.octet_length(n) for n in names), F.lit(64))), F.lit(0)).alias("bytes"),
+    ).first()
+    plan = plan_budget(leaves, int(budget_share * size["tokens"]), weights, names, levels, epochs)
+    plan = durable(
+        plan.select(*names, F.col("budget").alias("__pl_budget"), F.expr("budget div greatest(tokens, 1)").alias("__pl_full"),
+                    F.expr("budget % greatest(tokens, 1)").alias("__pl_rest"))
+    )
+    small = F.broadcast if size["bytes"] <= BROADCAST_BYTES else lambda df: df
+    places = rows.join(small(plan.where("__pl_rest > 0")), names).withColumn("__pl_key", F.xxhash64("doc_id", "__pl_t", F.lit(seed), F.col("__pl_full")))
+    places = places.groupBy(*names, "__pl_key").agg(F.sum("__pl_n").alias("__pl_n"), F.first("__pl_rest").alias("__pl_rest"))
+    last = with_running_sum(places, names, ["__pl_key"], "__pl_n").where("__pl_cum <= __pl_rest")
+    last = last.groupBy(*names).agg(F.max("__pl_key").alias("__pl_last"))
+    return names, rows, small(durable(plan.join(last, names, "left").drop("__pl_rest")))
+
+
+def _named(levels: list[str], names: list[str]) -> list:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)]
+
+
+def _hash():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _copies(seed: int):
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("__pl_t"), F.lit(seed), F.col("__pl_full"))
+    return (F.col("__pl_full") + F.when(key <= F.col("__pl_last"), 1).otherwise(0)).cast("int")
 
 
 def select(
@@ -90,51 +142,37 @@ def select(
 
     ``docs`` has doc_id, text and a column for each level.
     """
-    spark = docs.sparkSession
-    names = [f"__pl_l{i}" for i in range(len(levels))]
-    rows = durable(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in zip(levels, names)],
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        )
-    )
-    found = rows.groupBy(*names).agg(F.sum("n_tokens").alias("t")).limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"the levels have over {MAX_LEAVES} leaves")
-    leaves = {tuple(r[n] for n in names): int(r["t"]) for r in found}
-    given = plan_budget(leaves, int(budget_share * sum(leaves.values())), weights, levels, epochs)
-    plan = [
-        (*path, i, given[path], given[path] // t if t else 0, given[path] % t if t else 0)
-        for i, (path, t) in enumerate(sorted(leaves.items()))
-    ]
-    schema = ", ".join(f"{n} string" for n in names) + ", __pl_leaf int, budget long, __pl_full long, __pl_rest long"
-    placed = rows.join(F.broadcast(spark.createDataFrame(plan, schema)), names).withColumn(
-        "__pl_key", F.xxhash64("doc_id", F.lit(seed), "__pl_full")
-    )
-    summed = with_running_sum(placed, "__pl_leaf", ["__pl_key", "doc_id", "n_tokens"], "n_tokens")
-    part = F.when((F.col("__pl_rest") > 0) & (F.col("__pl_cum") <= F.col("__pl_rest")), 1).otherwise(0)
-    return summed.select(
-        "doc_id", *[F.col(n).alias(c) for c, n in zip(levels, names)], "n_tokens", "budget",
-        (F.col("__pl_full") + part).cast("int").alias("copies"),
+    names, rows, plan = _planned(docs, weights, levels, budget_share, epochs, seed)
+    return rows.join(plan, names).select(
+        "doc_id", *[F.col(n).alias(c) for c, n in zip(levels, names)], F.col("__pl_n").alias("n_tokens"), F.col("__pl_budget").alias("budget"),
+        _copies(seed).alias("copies"),
     )
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def domain_of(source):
     """The tables name no domain; sources are dealt to four by their number."""
-    n = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1)
-    return docs.withColumn("domain", F.concat(F.lit("d"), F.when(n == "", "x").otherwise(F.pmod(F.crc32(n), F.lit(4)).cast("string"))))
-
-
-def mix(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with each row as often as its leaf's epochs and prefix take it (doc_id unique, or null)."""
-    chosen = select(with_domain(docs), **params).where("copies > 0")
-    chosen = chosen.groupBy(F.col("doc_id").alias("__pl_id")).agg(F.max("copies").alias("__pl_copies"))
-    return (
-        docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__pl_id")))
-        .withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies"))))
-        .drop("__pl_id", "__pl_copies", "__pl_copy")
-    )
+    n = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d+)$", 1)
+    return F.concat(F.lit("d"), F.when(n == "", "x").otherwise(F.pmod(F.crc32(n), F.lit(4)).cast("string")))
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("domain", domain_of(F.col("source")))
+
+
+def mix(
+    docs: DataFrame,
+    weights: dict = WEIGHTS,
+    budget_share: float = BUDGET_SHARE,
+    epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
+    """``docs`` with each row as often as its leaf's epochs and prefix take it."""
+    levels = ["__pl_domain", "lang", "source"]
+    own = docs.withColumn("__pl_domain", domain_of(F.col("source")))
+    names, _, plan = _planned(own, {**weights, "__pl_domain": weights["domain"]}, levels, budget_share, epochs, seed)
+    taken = own.select("*", *_named(levels, names), _hash().alias("__pl_t")).join(plan, names)
+    taken = taken.withColumn("__pl_copies", _copies(seed)).where("__pl_copies > 0")
+    return taken.withColumn("__pl_copy", F.explode(F.sequence(F.lit(1), F.col("__pl_copies")))).select(*docs.columns)
 
 
 def op2_query(spark, sf_dir) -> DataFrame:

@@ -8,11 +8,22 @@ one step away, hence two vectors at distance 2 meet at the cell between them.
 The join verifies the Hamming distance exactly. Only distinct fingerprints
 are joined, so groups of exact copies never pair up.
 
+``dedup`` is the pipeline's stage: its links are texts whose sets of five-word
+shingles have a cosine similarity of 0.8 or more, the similarity that SimHash
+stands for. Two such texts differ by 13 of 64 bits on average, and a grid of
+16 dimensions would need the cells within half of that distance around every
+point (over a million), so whole fingerprints are joined within RADIUS only. The
+other candidates are *views*: SimHashes of the SAMPLE shingles that come first
+in a seeded order, one of which must be equal. All links are verified exactly.
+
 Edge cases: null text is an empty text; a text without words has fingerprint
-zero; fewer words than a shingle form one shingle; null doc_ids get a
-fingerprint and a null component; rows that repeat a doc_id are one node; an
-empty table gives no rows; extra columns are ignored (``fingerprints``) or
-kept (``dedup``).
+zero; fewer words than a shingle form one shingle; every row is a document of
+its own, whatever its id: rows with a null doc_id are linked like others and name no
+component, so that one without linked ids has a null component; an empty table gives
+no rows; extra columns are ignored (``link``) or kept (``dedup``). In ``dedup`` texts
+without words are equal and one of them stays; of rows that are equal in id and text
+one stays; of each group the row with the smallest doc_id stays, a null one last, and
+of several with that id the one with the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -24,12 +35,11 @@ from pyspark.sql.window import Window
 from .common import components, durable, tokens_of
 
 RADIUS = 2
-#: For similarity of 0.8 or more on five-word shingles: a view is the SimHash
-#: of the SAMPLE shingles with the least values of one permutation; a pair of
-#: similarity 0.8 misses all VIEWS with probability (1 - 0.8^4)^12 = 0.002.
-VIEWS, SAMPLE, SIMILARITY, SHINGLE = 12, 4, 0.8, 5
-#: Most shingles of a text that gets keys of its subsets; views miss short texts more often (7 % at 5 shingles in all).
-SHORT = 14
+#: Two texts of equal length and cosine 0.8 share 2/3 of their shingles in union, and
+#: miss all VIEWS with probability (1 - (2/3)^3)^18 = 0.002 (of unequal length: less than 0.007).
+VIEWS, SAMPLE, SIMILARITY, SHINGLE = 18, 3, 0.8, 5
+#: Most shingles of a text that gets keys of its subsets; views miss short texts more often.
+SHORT = 10
 #: Documents of one candidate group that one task compares at a time, and those that all blocks are compared with.
 BLOCK, HUBS = 1000, 8
 
@@ -64,25 +74,27 @@ def simhash(h) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def _views(h, views: int, sample: int):
+def _views(h, views: int, sample: int) -> list[int]:
     import numpy as np
 
-    out = []
-    distinct = np.unique(h) if len(h) else h
+    distinct, out = np.unique(h), []
     for v in range(views):
         mixed = (distinct ^ np.uint64((v + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0x94D049BB133111EB)
         take = np.argpartition(mixed, sample - 1)[:sample] if len(mixed) > sample else slice(None)
-        out.append(simhash(distinct[take]))
+        some = distinct[take].tolist()
+        # A bit that is set in over half of three is set in two of them.
+        out.append((some[0] & some[1]) | (some[0] & some[2]) | (some[1] & some[2]) if len(some) == 3 else simhash(distinct[take]))
     return out
 
 
 def _deletions(h, similarity: float):
     """Keys of a set of at most SHORT shingle hashes: hashes of the set less each choice of few enough elements.
 
-    Two sets of Jaccard ``similarity`` s share at least s of the elements of either, so that at most 1-s of its own are
-    not in the other; less these, both are the same set. Thus no such pair of small sets is without an equal key.
+    Two sets of cosine s share at least s * sqrt(their sizes) elements, and the larger has at most 1/s^2 times the
+    smaller's, so that at most 1 - s^2 of either are not in the other; less these, both are the same set. Thus no such
+    pair of small sets is without an equal key.
     """
     import itertools
 
@@ -93,7 +105,7 @@ def _deletions(h, similarity: float):
     n = len(own)
     if not 0 < n <= SHORT:
         return []
-    most = int((1 - similarity) * n + 1e-9)
+    most = int((1 - similarity**2) * n + 1e-9)
     left = [np.delete(own, gone) for k in range(most + 1) for gone in map(list, itertools.combinations(range(n), k))]
     return [xxh64_intdigest(x.tobytes(), 43) for x in left]
 
@@ -103,8 +115,8 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, views: int = 0, sample: int = SAMPLE, similarity: float = 1.0) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long), fps (those of the views), words (128-bit hash of the word sequence), and
-    cuts (keys of a short text's subsets, if ``similarity`` is below 1)."""
+    """doc_id, th (hash of the text), fp (the 64 bits as a long), fps (those of the views), words (128-bit hash of the
+    word sequence), and cuts (keys of a short text's subsets, if ``similarity`` is below 1)."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,16 +132,20 @@ def fingerprints(docs: DataFrame, shingle: int, views: int = 0, sample: int = SA
                 seq.append(xxh3_128_digest(b" ".join(words)))
                 cuts.append([_signed(x) for x in _deletions(h, similarity)] if similarity < 1 else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fp, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(seq, pa.binary()),
+                [b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(seq, pa.binary()),
                  pa.array(cuts, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "fps", "words", "cuts"],
+                names=["doc_id", "th", "fp", "fps", "words", "cuts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long, fps array<long>, words binary, cuts array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _hash().alias("th")).mapInArrow(
+        run, "doc_id long, th long, fp long, fps array<long>, words binary, cuts array<long>"
     )
 
 
+def _hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _cell(fp: str):
     """The 16 segment counts, each plus one so that a neighbour below zero stays in its four bits."""
     low = 0xFFFFFFFF
@@ -163,25 +179,14 @@ def range_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def link(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint, component_id: components of fingerprints within ``radius`` bits."""
+    """doc_id, fingerprint, component_id: the smallest doc_id of those whose fingerprints are linked within ``radius`` bits."""
     rows = durable(fingerprints(docs, shingle).select("doc_id", "fp"))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    pairs = range_join(reps.select("fp"), radius)
-    # One document can stand behind several fingerprints only if its id is repeated; edges join such nodes too.
-    same_id = rows.where("doc_id is not null").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = (
-        pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    )
-    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2"))
-    odd = repeated.where("f1 <> f2").select(F.col("doc_id").alias("a"))
-    comp = components(edges.union(same_id.join(odd, "a", "left_semi").select("a", "b")))
-    comp = reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("cid"))
-    return rows.join(comp, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("cid")).alias("component_id"),
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    comp = components(range_join(reps.select("fp"), radius))
+    named = durable(reps.join(comp, reps["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")))
+    ids = named.groupBy("c").agg(F.min("rep").alias("cid"))
+    return rows.join(named.join(ids, "c").select("fp", "cid"), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("cid").alias("component_id")
     )
 
 
@@ -223,7 +228,7 @@ def _forest(rows: DataFrame, keys: list[str], similarity: float, shingle: int) -
             mark[own] = True
             both = np.bincount(owner[start[x + 1] :][mark[code[start[x + 1] :]]], minlength=len(ids))
             mark[own] = False
-            near = np.flatnonzero((both > 0) & (both >= similarity * (size[x] + size - both) - 1e-9))
+            near = np.flatnonzero((both > 0) & (both >= similarity * np.sqrt(size[x] * size) - 1e-9))
             for y in near.tolist():
                 p, q = find(labels[x]), find(labels[y])
                 if p != q:
@@ -234,9 +239,9 @@ def _forest(rows: DataFrame, keys: list[str], similarity: float, shingle: int) -
     return rows.groupBy(*keys).applyInPandas(forest, "nb long, a long, b long")
 
 
-def _jaccard_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, block: int, hubs: int) -> DataFrame:
+def _verified_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, block: int, hubs: int) -> DataFrame:
     """a, b: links with the components of all pairs of a group (gid, doc_id) whose sets of shingle hashes
-    have Jaccard ``similarity`` or more.
+    have a cosine of ``similarity`` or more.
 
     A group is dealt into blocks of about ``block`` documents by a hash of the id, and each
     block is compared within itself and with ``hubs`` documents of its group. Near copies of
@@ -292,42 +297,56 @@ def near_groups(
     block: int = BLOCK,
     hubs: int = HUBS,
 ) -> DataFrame:
-    """doc_id, component_id for documents (non-null ids) linked by Jaccard ``similarity`` of word shingles.
+    """doc_id, th (hash of the text), component_id (the smallest doc_id linked), stays: one row for each row of ``docs``.
 
-    Candidates: whole-text fingerprints within ``radius`` (the grid range-join)
-    and equal fingerprints of a view, and for texts of at most SHORT shingles
+    Texts with equal word sequences are one node. Candidates: whole-text fingerprints within ``radius`` (the
+    grid range-join), equal fingerprints of a view, and for texts of at most SHORT shingles
     equal subsets, which lose no link between two such texts. All are joined into candidate groups by
-    stars, never by all pairs; the links inside a group are then verified
-    exactly. Texts with equal word sequences count as one text throughout.
+    stars, never by all pairs; the links inside a group are then verified exactly.
     """
-    rows = durable(fingerprints(docs, shingle, views, sample, similarity).where("doc_id is not null"))
+    rows = durable(fingerprints(docs, shingle, views, sample, similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    # Numbered once, in a checkpoint, so that a retry gives the same numbers.
     texts = durable(
-        rows.groupBy("words").agg(F.min("doc_id").alias("rep"), F.min_by("fp", "doc_id").alias("fp"),
-                                  F.min_by("fps", "doc_id").alias("fps"), F.min_by("cuts", "doc_id").alias("cuts"))
+        rows.groupBy("words").agg(first, *[F.first(c).alias(c) for c in ("fp", "fps", "cuts")]).withColumn("no", F.monotonically_increasing_id())
     )
-    keys = texts.select("rep", F.posexplode("fps").alias("v", "h")).union(
-        texts.select("rep", F.lit(-1), F.col("fp"))
-    ).union(texts.select("rep", F.lit(-2), F.explode("cuts")))
-    star = keys.groupBy("v", "h").agg(F.min("rep").alias("b"), F.max("rep").alias("m")).where("b < m")
-    same = keys.join(star, ["v", "h"]).select(F.col("rep").alias("a"), "b")
-    by_fp = texts.groupBy("fp").agg(F.min("rep").alias("rep"))
+    keys = texts.select("no", F.posexplode("fps").alias("v", "h")).union(
+        texts.select("no", F.lit(-1), F.col("fp"))
+    ).union(texts.select("no", F.lit(-2), F.explode("cuts")))
+    star = keys.groupBy("v", "h").agg(F.min("no").alias("b"), F.max("no").alias("m")).where("b < m")
+    same = keys.join(star, ["v", "h"]).select(F.col("no").alias("a"), "b")
+    by_fp = texts.groupBy("fp").agg(F.min("no").alias("no"))
     pairs = range_join(by_fp.select("fp"), radius)
     close = (
-        pairs.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+        pairs.join(by_fp.select(F.col("fp").alias("a"), F.col("no").alias("ra")), "a")
+        .join(by_fp.select(F.col("fp").alias("b"), F.col("no").alias("rb")), "b")
         .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     )
-    groups = components(same.union(close)).select(F.col("node").alias("doc_id"), F.col("component").alias("gid"))
-    links = _jaccard_links(docs, groups, similarity, shingle, block, hubs)
-    copies = rows.join(texts.select("words", "rep"), "words").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return components(links.union(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    groups = durable(components(same.union(close)).select(F.col("node").alias("doc_id"), F.col("component").alias("gid")))
+    wanted = texts.join(groups, F.col("no") == groups["doc_id"], "left_semi").select("no", F.col("first.doc_id").alias("__pl_id"), F.col("first.th").alias("__pl_th"))
+    bodies = docs.select(F.col("doc_id").cast("long").alias("__pl_doc"), "text", _hash().alias("__pl_h")).join(
+        wanted, F.col("__pl_doc").eqNullSafe(F.col("__pl_id")) & (F.col("__pl_h") == F.col("__pl_th"))
+    )
+    bodies = bodies.select(F.col("no").alias("doc_id"), "text")
+    comp = components(_verified_links(bodies, groups, similarity, shingle, block, hubs))
+    named = durable(texts.select("words", "no", "first").join(comp, F.col("no") == F.col("node"), "left").select(
+        "words", "first", F.coalesce("component", "no").alias("c")
+    ))
+    best = named.groupBy("c").agg(F.min("first").alias("best"))
+    return rows.select("doc_id", "th", "words").join(named.join(best, "c").select("words", "best"), "words").select(
+        "doc_id", "th", F.col("best.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))).alias("stays"),
+    )
 
 
 def dedup(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` less all but the smallest doc_id of each near-duplicate group.
-
-    Rows without a doc_id stay; rows that repeat a doc_id become one row.
-    """
-    gone = near_groups(docs, **params).where("doc_id <> component_id").select(F.col("doc_id").alias("__pl_id"))
-    kept = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__pl_id"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """``docs`` less all rows but one of each near-duplicate group."""
+    found = durable(near_groups(docs, **params))
+    gone = found.where("not stays").select(F.col("doc_id").alias("__pl_id"), F.col("th").alias("__pl_th"))
+    kept = docs.withColumn("__pl_h", _hash()).join(
+        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__pl_id")) & (F.col("__pl_h") == F.col("__pl_th")), "left_anti"
+    )
+    # Only rows that are equal in id and text are left several times; texts are shuffled for them only if there are any.
+    if found.where("stays").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__pl_h"])
+    return kept.drop("__pl_h")
