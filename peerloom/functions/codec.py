@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .rng import let
+
 # Encodings by number, and the header sizes of a message and a tensor in bytes.
 DENSE, SPARSE, FP16, INT8 = 0, 1, 2, 3
 ENCODINGS = {DENSE: "dense", SPARSE: "sparse", FP16: "fp16", INT8: "int8"}
@@ -77,16 +79,34 @@ def sparse_entries(values: Column) -> Column:
 
 
 def sparse_to_dense(entries: Column, n: int) -> Column:
-    """Zeros but for the entries; an idx out of range is ignored and of equal ones the last counts."""
-    at = lambda i: F.filter(entries, lambda e: e["idx"] == i)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(F.reverse(at(i)), F.lit(0))["value"], F.lit(0.0).cast("float"))
-    )
+    """Zeros but for the entries; an idx out of range is ignored and of equal ones the last counts.
+
+    One sort and one pass: the entries in the order of idx fill the gaps between them with zeros.
+    """
+    zero, none = F.lit(0.0).cast("float"), F.array().cast("array<float>")
+    gap = lambda k: F.when(k > 0, F.array_repeat(zero, k.cast("int"))).otherwise(none)
+    at = lambda p, i: F.get(p, i)["idx"]
+    # (idx, place) in order, so that the last of equal ones is next to a greater idx.
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["idx"].cast("int").alias("idx"), i.alias("at"), e["value"].cast("float").alias("value"))))
+    last = let(placed, lambda p: F.filter(p, lambda e, i: (e["idx"] >= 0) & (e["idx"] < n) & F.coalesce(at(p, i + 1) != e["idx"], F.lit(True))))
+
+    def fill(p):
+        parts = F.transform(p, lambda e, i: F.concat(gap(e["idx"] - F.coalesce(at(p, i - 1), F.lit(-1)) - 1), F.array(e["value"])))
+        return F.concat(F.flatten(parts), gap(n - 1 - F.coalesce(at(p, F.size(p) - 1), F.lit(-1))))
+
+    return let(last, fill)
 
 
 def is_lossy(encoding: Column) -> Column:
     return encoding != DENSE
 
 
-#: Round trips that need nothing but the value: the codec registry of the round loop.
-ROUNDTRIPS = {"none": lambda v: v, "fp16": fp16_roundtrip}
+def int8_roundtrip(v: Column, low: Column, high: Column) -> Column:
+    scale = int8_scale(low, high)
+    return int8_dequantise(int8_quantise(v, low, scale), low, scale)
+
+
+#: What a receiver reads of a value, by the round loop's name of the encoding: functions of the value and the range of its
+#: tensor. A codec of one's own is one more entry, with its number in WIRE for the byte count.
+ROUNDTRIPS = {"none": lambda v, low, high: v, "fp16": lambda v, low, high: fp16_roundtrip(v), "int8": int8_roundtrip}
+WIRE = {"none": DENSE, "fp16": FP16, "int8": INT8, "topk": SPARSE}

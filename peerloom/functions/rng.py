@@ -82,6 +82,12 @@ def uniform(x: Column) -> Column:
     return F.shiftrightunsigned(x, 11) * F.lit(2.0**-53)
 
 
+def unsigned_mod(x: Column, m: int) -> Column:
+    """``x`` modulo ``m``, its 64 bits taken as an unsigned number."""
+    half = F.shiftrightunsigned(x, 1) % F.lit(m)
+    return (half * 2 + x.bitwiseAND(F.lit(1))) % F.lit(m)
+
+
 def round_seed(base: Column, round_no: Column | int) -> Column:
     """The seed that all nodes shuffle by in a round (from 1)."""
     return output(base, round_no + 1)

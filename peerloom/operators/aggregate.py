@@ -22,15 +22,6 @@ def average_or_local(updates: DataFrame, local: DataFrame, keys: list[str]) -> D
     )
 
 
-def average_arrays(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The same average over array-valued rows (``values``); elements are exploded after the shuffle key is known."""
-    long = updates.select(*keys, "sample_count", F.posexplode("values").alias("idx", "value"))
-    flat = weighted_average(long, [*keys, "idx"])
-    return flat.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda e: e["value"].cast("float")).alias("values")
-    )
-
-
 def counters(status: DataFrame, keys: list[str]) -> DataFrame:
     """Peers reached, expected, timed out and dropped, and the round's status."""
     is_ = lambda s: F.count_if(F.col("status") == s).cast("int")

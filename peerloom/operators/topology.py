@@ -7,18 +7,37 @@ from pyspark.sql import functions as F
 
 from ..errors import TopologyError
 from ..schemas import TOPOLOGY
+from .order import with_position
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a topology file; nodes carry their 0-based position. Refuses bad JSON and repeated ids."""
+MODES = ("full-mesh", "file")
+
+
+def load(spark: SparkSession, path: str, local_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of a topology file; nodes carry their 0-based position. Refuses bad JSON, repeated ids and a local
+    id that is not among the nodes."""
     raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(TOPOLOGY).json(path)
     nodes = raw.select(F.posexplode("nodes").alias("node_idx", "n")).select("node_idx", "n.*")
     links = raw.select(F.inline("links"))
     if again := [r["id"] for r in duplicate_ids(nodes).limit(10).collect()]:
         raise TopologyError(f"repeated node ids: {again}")
+    if local_id is not None and not nodes.where(F.col("id") == local_id).limit(1).count():
+        raise TopologyError(f"the topology has no node {local_id}")
     return nodes, links
 
 
+def peers_of(nodes: DataFrame, links: DataFrame, mode: str = "full-mesh", key: str = "id") -> DataFrame:
+    """node_id, peer_id of all nodes: every other node, or those that the file links."""
+    if mode not in MODES:
+        raise TopologyError(f"mode {mode} is not one of {', '.join(MODES)}")
+    return mesh_peers(nodes, key) if mode == "full-mesh" else link_peers(nodes, links, key)
+
+
+def positions(nodes: DataFrame, order: list[str]) -> DataFrame:
+    """``nodes`` with their 0-based place in ``order`` as ``node_idx``."""
+    return with_position(nodes, order).withColumn("node_idx", F.col("__pl_pos").cast("int")).drop("__pl_pos")
+
+
 def duplicate_ids(nodes: DataFrame, key: str = "id") -> DataFrame:
     return nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -43,5 +62,7 @@ def unknown_ids(nodes: DataFrame, links: DataFrame, key: str = "id") -> DataFram
 
 
 def exclude(peers: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Peers less those excluded for the whole run."""
-    return peers.join(excluded.select(F.col("id").alias("peer_id")), "peer_id", "left_anti")
+    """Peers less those excluded for the whole run, on either side."""
+    for side in ("peer_id", "node_id"):
+        peers = peers.join(excluded.select(F.col("id").alias(side)), side, "left_anti")
+    return peers.select("node_id", "peer_id")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import codec, rng, scalars
 from ..operators import aggregate, rounds, tensors, topology
+from ..operators.order import with_position
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,11 +90,17 @@ def weighted_avg_ring(t):
 
 
 @query("weighted_avg_zero_samples", f"""
-with {E}, {MEANS} select label as receiver, idx, round(value, 6) as value from m""")
+with {E}, w as (select *, case when label % 2 = 0 then 0 else vec_id % 7 end n from e),
+l as (select label, idx, value::double value from e where vec_id in (select min(vec_id) from e group by label)),
+s as (select label, idx, sum(n) n, sum(n * value::double) v from w group by label, idx)
+select label as receiver, idx, round(case when s.n = 0 then l.value else s.v / s.n end, 6) as value from s join l using (label, idx)""")
 def weighted_avg_zero_samples(t):
-    local = means(t).withColumnRenamed("label", "receiver")
-    u = elements(t).select(F.col("label").alias("receiver"), "idx", "value", F.lit(0).alias("sample_count"))
-    return aggregate.average_or_local(u, local.drop("sample_count"), ["receiver", "idx"]).withColumn("value", F.round("value", 6))
+    """Receivers with even labels hear of no sample and keep their local tensor, that of their first vector."""
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
+    local = first.select(F.col("label").alias("receiver"), F.posexplode("v").alias("idx", "value")).withColumn("value", F.col("value").cast("double"))
+    n = F.when(F.col("label") % 2 == 0, 0).otherwise(F.col("vec_id") % 7)
+    u = elements(t).select(F.col("label").alias("receiver"), "idx", "value", n.alias("sample_count"))
+    return aggregate.average_or_local(u, local, ["receiver", "idx"]).withColumn("value", F.round("value", 6))
 
 
 # ---- codecs ----------------------------------------------------------------------------------
@@ -115,11 +122,12 @@ def topk_residual(t):
     return codec.residual(top(t)).select("vec_id", "idx", "residual")
 
 
-@query("topk_plus_residual", f"with {E} select vec_id, idx, value from e")
+@query("topk_plus_residual", f"with {TOP} select vec_id, idx, (case when kept then value else value / 2 end)::float as value from t")
 def topk_plus_residual(t):
     r = codec.residual(top(t))
     sent = F.when(F.col("kept"), F.col("value")).otherwise(F.lit(0.0).cast("float"))
-    return r.select("vec_id", "idx", (sent + F.col("residual")).cast("float").alias("value"))
+    # What is sent, and half of what is owed: the halves tell the two apart.
+    return r.select("vec_id", "idx", (sent + F.col("residual") / 2).cast("float").alias("value"))
 
 
 @query("fp16_roundtrip", f"""
@@ -200,13 +208,16 @@ def encodings(t):
 # ---- deltas ----------------------------------------------------------------------------------
 
 
-@query("delta_apply", f"with {E} select label, vec_id, idx, round(value::double, 6) as value from e")
+@query("delta_apply", f"""
+with {E}, {MEANS} select e.label, vec_id, idx, round(e.value::double - m.value + (idx + vec_id % 3) / 100.0, 6) as value from e join m using (label, idx)""")
 def delta_apply(t):
+    """Deltas against the label's mean, applied by receivers to bases of their own."""
     base = means(t).select("label", "idx", F.col("value").alias("base"))
+    mine = (F.col("idx") + F.col("vec_id") % 3) / 100.0
     rows = elements(t, "double").join(base, ["label", "idx"])
     keys = ["label", "vec_id"]
     whole = rounds.apply_delta(
-        rows.select(*keys, "idx", (F.col("value") - F.col("base")).alias("value")), rows.select(*keys, "idx", F.col("base").alias("value")), keys
+        rows.select(*keys, "idx", (F.col("value") - F.col("base")).alias("value")), rows.select(*keys, "idx", mine.alias("value")), keys
     )
     return whole.withColumn("value", F.round("value", 6))
 
@@ -246,11 +257,11 @@ def splitmix_uniform(t):
 
 
 @query("round_seed", f"""
-with r as (select o_orderkey, unnest(range(1, 4))::int round from orders where o_orderkey % 10 = 0),
+with r as (select o_orderkey, unnest(range(1, 4))::int round from orders),
 s as (select *, {STEP.format(seed='o_orderkey', k='round + 1')} z from r), {splitmix_sql('z', 's', 'm')}
 select o_orderkey, round, bits::varchar as seed from m""")
 def round_seed(t):
-    r = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("round"))
+    r = t.orders.select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("round"))
     return r.select("o_orderkey", "round", rng.unsigned_text(rng.round_seed(F.col("o_orderkey"), F.col("round"))).alias("seed"))
 
 
@@ -312,9 +323,7 @@ def even_chunks(t):
 
 @query("node_position", "select n_nationkey, n_name, (row_number() over (order by n_nationkey) - 1)::int as node_idx from nation")
 def node_position(t):
-    pos = F.array_position(F.col("ids"), F.col("n_nationkey")).cast("int") - 1
-    ids = t.nation.agg(F.sort_array(F.collect_list("n_nationkey")).alias("ids"))  # nodes of one topology
-    return t.nation.crossJoin(F.broadcast(ids)).select("n_nationkey", "n_name", pos.alias("node_idx"))
+    return topology.positions(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])
 
 
 @query("progress_ticks", """
@@ -490,19 +499,19 @@ def idle_gaps(t):
 
 
 @query("gram_matmul", f"""
-with {E}, s as (select * from e where idx < 8) select a.label, a.idx as i, b.idx as j, round(sum(a.value::double * b.value::double), 4) as value
+with {E}, s as (select * from e) select a.label, a.idx as i, b.idx as j, round(sum(a.value::double * b.value::double), 4) as value
 from s a join s b using (vec_id) group by 1, 2, 3""")
 def gram_matmul(t):
-    s = elements(t, "double").where("idx < 8")
+    s = elements(t, "double")
     left, right = s.select("label", F.col("idx").alias("i"), F.col("vec_id").alias("k"), "value"), s.select("label", F.col("vec_id").alias("k"), F.col("idx").alias("j"), "value")
     return tensors.matmul(left, right, ["label"]).withColumn("value", F.round("value", 4))
 
 
 @query("gram_transpose", f"""
-with {E}, s as (select * from e where idx < 8) select a.idx as j, b.idx as i, round(sum(a.value::double * b.value::double), 4) as value
+with {E}, s as (select * from e) select a.idx as j, b.idx as i, round(sum(a.value::double * b.value::double), 4) as value
 from s a join s b using (vec_id) where a.idx <= b.idx group by 1, 2""")
 def gram_transpose(t):
-    s = elements(t, "double").where("idx < 8")
+    s = elements(t, "double")
     g = tensors.matmul(s.select(F.col("idx").alias("i"), F.col("vec_id").alias("k"), "value"), s.select(F.col("vec_id").alias("k"), F.col("idx").alias("j"), "value"))
     return tensors.transpose(g.where("i <= j")).withColumn("value", F.round("value", 4)).select("i", "j", "value")
 
@@ -552,19 +561,22 @@ def accuracy_full_batches(t):
 
 
 def scored(t):
-    """Rows of full batches of 32 by vec_id, which is their gapless position in the table."""
+    """Rows of full batches of 32 in the order of vec_id, with their batch."""
     n = t.embeddings.agg(F.count(F.lit(1)).alias("n"))
-    rows = probabilities(t).crossJoin(F.broadcast(n)).where("vec_id < floor(n / 32) * 32")
+    placed = with_position(probabilities(t), ["vec_id"])
+    rows = placed.crossJoin(F.broadcast(n)).where("__pl_pos < floor(n / 32) * 32")
     loss = scalars.cross_entropy(F.get("p", F.col("label")))
     z = F.transform("z", lambda x: F.round(x, 6))  # classes 5 apart have equal weights: ties are exact
-    return rows.select("vec_id", loss.alias("loss"), (scalars.argmax_first(z) == F.col("label")).alias("hit"))
+    batch = F.floor(F.col("__pl_pos") / 32).alias("batch")
+    return rows.select("vec_id", batch, loss.alias("loss"), (scalars.argmax_first(z) == F.col("label")).alias("hit"))
 
 
 @query("mean_batch_loss", f"""
-with {LOGITS}, r as (select vec_id // 32 b, -ln(p + 1e-9) l from p where c = label and vec_id < (select count(*) // 32 * 32 from embeddings)),
+with {LOGITS}, o as (select *, row_number() over (order by vec_id) - 1 pos from p where c = label),
+r as (select pos // 32 b, -ln(p + 1e-9) l from o where pos < (select count(*) // 32 * 32 from embeddings)),
 b as (select b, avg(l) l from r group by 1) select count(*) as batches, round(avg(l), 6) as loss from b""")
 def mean_batch_loss(t):
-    b = scored(t).groupBy(F.floor(F.col("vec_id") / 32).alias("b")).agg(F.avg("loss").alias("l"))
+    b = scored(t).groupBy("batch").agg(F.avg("loss").alias("l"))
     return b.agg(F.count(F.lit(1)).alias("batches"), F.round(F.avg("l"), 6).alias("loss"))
 
 
@@ -754,9 +766,16 @@ def round_totals(t):
     )
 
 
-@query("sample_shards", "select l_suppkey % 10 as node_idx, count(*) as samples, count(distinct l_orderkey) as different from lineitem group by 1")
+@query("sample_shards", """
+with n as (select n_name as node, row_number() over (order by n_name) - 1 as pos from nation)
+select node, count(*) as samples, count(distinct l_orderkey) as different from lineitem join n on l_suppkey % 30 = pos group by 1""")
 def sample_shards(t):
-    return t.lineitem.groupBy((F.col("l_suppkey") % 10).alias("node_idx")).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("l_orderkey").alias("different"))
+    """Samples join nodes by the nodes' position in their order; shards without a node are left out."""
+    nodes = topology.positions(t.nation.select(F.col("n_name").alias("node")), ["node"])
+    samples = t.lineitem.select((F.col("l_suppkey") % 30).alias("node_idx"), "l_orderkey")
+    return samples.join(F.broadcast(nodes), "node_idx").groupBy("node").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_distinct("l_orderkey").alias("different")
+    )
 
 
 @query("paired_rows", "select l.label, count(*) as pairs from embeddings l join embeddings r using (vec_id) group by 1")

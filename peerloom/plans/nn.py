@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TrainerError
 from ..functions.rng import SplitMix64
+from ..sources.telemetry import usage
 
 CHANNELS, CLASSES, SIDE = (3, 16, 32, 64), 10, 32
 
@@ -157,9 +158,13 @@ def epoch(params, images, labels, seed: int, rate: float = 0.01, batch: int = 32
             speed[k] = momentum * speed[k] - rate * g
             params[k] = (params[k] + speed[k]).astype(np.float32)
         lap("opt_s")
-    out = {"train_loss": float(np.mean(losses)), "train_acc": None, **t}
+    if not np.isfinite(losses).all():
+        raise TrainerError("the loss is not finite")
+    out = {"train_loss": float(np.mean(losses)), "train_acc": None, "train_acc_s": 0.0, **t}
     if accuracy:
+        mark = time.perf_counter()
         out["train_acc"] = evaluate(params, images, labels, batch)[1]
+        out["train_acc_s"] = time.perf_counter() - mark
     return params, out
 
 
@@ -176,7 +181,10 @@ def evaluate(params, images, labels, batch: int = 32) -> tuple[float, float]:
 
 
 class Model(ABC):
-    """What a node trains: implement these four to plug in another model."""
+    """What a node trains: implement these four to plug in another model. ``batch`` is the least shard, and ``features``
+    the numbers of an image (None: any)."""
+
+    batch, features = 1, None
 
     @abstractmethod
     def start(self, seed: int) -> list: ...
@@ -194,6 +202,7 @@ class Model(ABC):
 class ConvNet(Model):
     def __init__(self, channels=CHANNELS, classes: int = CLASSES, side: int = SIDE, batch: int = 32):
         self.channels, self.classes, self.side, self.batch = channels, classes, side, batch
+        self.features = channels[0] * side * side
 
     def start(self, seed):
         return init(seed, self.channels, self.classes, self.side)
@@ -239,8 +248,27 @@ class SoftmaxRegression(Model):
         return evaluate(params, self._x(images), labels, self.batch)
 
 
+def guard(samples: DataFrame, model: Model) -> dict:
+    """Samples of each node; refuses shards smaller than a batch, images of another size and labels out of range."""
+    size = F.size("image")
+    found = samples.groupBy("node_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.min("label").alias("first"), F.max("label").alias("last")
+    ).collect()
+    for r in found:
+        if r["n"] < model.batch:
+            raise TrainerError(f"node {r['node_id']} has {r['n']} samples, but a batch takes {model.batch}")
+        if model.features is not None and (r["low"], r["high"]) != (model.features, model.features):
+            raise TrainerError(f"node {r['node_id']} has images of {r['low']} to {r['high']} numbers, but the model takes {model.features}")
+        if hasattr(model, "classes") and not 0 <= r["first"] <= r["last"] < model.classes:
+            raise TrainerError(f"node {r['node_id']} has labels out of 0 to {model.classes - 1}")
+    return {r["node_id"]: r["n"] for r in found}
+
+
 PARAM_ROWS = "node_id long, tensor_id int, values array<float>"
-METRICS = "train_loss double, train_acc double, shuf_s double, fwd_s double, bwd_s double, opt_s double, n_samples int"
+METRICS = (
+    "train_loss double, train_acc double, shuf_s double, fwd_s double, bwd_s double, opt_s double, train_acc_s double, n_samples int, "
+    "train_s double, effective_cores double, peak_rss_mb double"
+)
 
 
 def pack(node: int, params: list):
@@ -268,7 +296,10 @@ def train_nodes(samples: DataFrame, params: DataFrame, model: Model, seed: int,
         import numpy as np
 
         data = data.sort_values("sample_idx")
+        before, mark = usage(), time.perf_counter()
         new, m = model.train(unpack(own, shapes), np.stack(data["image"]), data["label"].to_numpy(), seed, rate)
+        after, wall = usage(), time.perf_counter() - mark
+        m |= {"train_s": wall, "effective_cores": (after["cpu_s"] - before["cpu_s"]) / wall if wall else 0.0, "peak_rss_mb": after["peak_rss_mb"]}
         return pack(key[0], new).assign(**m, n_samples=len(data)).astype({"train_acc": "float64"})
 
     return (
@@ -278,7 +309,7 @@ def train_nodes(samples: DataFrame, params: DataFrame, model: Model, seed: int,
 
 
 def evaluate_nodes(samples: DataFrame, params: DataFrame, model: Model) -> DataFrame:
-    """node_id, loss, accuracy of each node's tensors on its rows of ``samples``."""
+    """node_id, loss, accuracy, eval_s of each node's tensors on its rows of ``samples``."""
     shapes = model.shapes()
 
     def step(key, data, own):
@@ -286,14 +317,14 @@ def evaluate_nodes(samples: DataFrame, params: DataFrame, model: Model) -> DataF
         import pandas as pd
 
         if not len(data) or not len(own):
-            return pd.DataFrame({"node_id": [key[0]], "loss": [None], "accuracy": [None]}).astype({"loss": float, "accuracy": float})
-        data = data.sort_values("sample_idx")
+            return pd.DataFrame({"node_id": [key[0]], "loss": [None], "accuracy": [None], "eval_s": [0.0]}).astype({"loss": float, "accuracy": float})
+        data, mark = data.sort_values("sample_idx"), time.perf_counter()
         loss, acc = model.evaluate(unpack(own, shapes), np.stack(data["image"]), data["label"].to_numpy())
-        return pd.DataFrame({"node_id": [key[0]], "loss": [loss], "accuracy": [acc]})
+        return pd.DataFrame({"node_id": [key[0]], "loss": [loss], "accuracy": [acc], "eval_s": [time.perf_counter() - mark]})
 
     return (
         samples.groupBy("node_id").cogroup(params.select("node_id", "tensor_id", "values").groupBy("node_id"))
-        .applyInPandas(step, "node_id long, loss double, accuracy double")
+        .applyInPandas(step, "node_id long, loss double, accuracy double, eval_s double")
     )
 
 
@@ -305,5 +336,5 @@ def synthetic(spark, n: int, seed: int = 42, features: int = 64, classes: int =
     image = F.transform(
         F.sequence(F.lit(1), F.lit(features)), lambda i: rng.uniform(rng.output(F.lit(seed), base + i)).cast("float")
     )
-    label = F.pmod(rng.output(F.lit(seed), base + features + 1), F.lit(classes))
+    label = rng.unsigned_mod(rng.output(F.lit(seed), base + features + 1), classes)
     return spark.range(n).select(F.col("id").alias("sample_idx"), image.alias("image"), label.alias("label"))

@@ -7,13 +7,11 @@ from pyspark.sql import types as T
 
 SAMPLES = "node_idx int, sample_idx bigint, image array<float>, label bigint"
 PARAMS = "node_id bigint, round int, tensor_id int, idx int, value float"
-UPDATES = "round int, receiver bigint, sender bigint, sample_count bigint, tensor_id int, values array<float>"
 MESSAGES = (
     "message_type int, sender bigint, round bigint, sample_count bigint, "
     "tensors array<struct<tensor_id:bigint,encoding:int,values:array<float>>>"
 )
 TOPOLOGY = "nodes array<struct<id:string,host:string,port:int>>, links array<struct<source:string,target:string>>"
-PEER_STATUS = "round int, receiver bigint, sender bigint, arrival timestamp, status string"
 PEER_EVENTS = (
     "round int, fromNode int, toNode int, bytes bigint, pushDurationS double, success boolean, timestamp double, "
     "kind string, peerID string"

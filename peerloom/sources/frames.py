@@ -38,7 +38,8 @@ def encode(message: dict) -> bytes:
         elif t["encoding"] == INT8:
             low, high = (v.min(), v.max()) if len(v) else (np.float32(0), np.float32(0))
             scale = np.float32((high - low) / np.float32(255)) if high > low else np.float32(1)
-            q = np.clip(np.floor((v - low) / scale + np.float32(0.5)), 0, 255).astype(np.uint8)
+            # Steps in single precision, halves away from zero in double: 0.5 added in single would lift 0.49999997.
+            q = np.clip(np.floor(((v - low) / scale).astype(np.float64) + 0.5), 0, 255).astype(np.uint8)
             out += [struct.pack("<ff", low, scale), q.tobytes()]
         elif t["encoding"] == SPARSE:
             at = np.flatnonzero(v != 0).astype("<u4")
@@ -110,17 +111,20 @@ def decode(body: bytes) -> dict:
     return {"message_type": kind, "sender": sender, "round": round_no, "sample_count": samples, "tensors": tensors}
 
 
-def decode_frames(blobs: DataFrame, column: str = "content", fail_fast: bool = False) -> DataFrame:
-    """One row a message of every binary blob of frames; what cannot be read is named in ``corrupt``."""
-    schema = MESSAGES + ", corrupt string"
+def decode_frames(blobs: DataFrame, column: str = "content", fail_fast: bool = False, keep: list[str] = ()) -> DataFrame:
+    """One row a message of every binary blob of frames, with the columns in ``keep``; what cannot be read is named in ``corrupt``."""
+    own = [f"{f.name} {f.dataType.simpleString()}" for f in blobs.select(*keep).schema.fields] if keep else []
+    schema = ", ".join([*own, MESSAGES, "corrupt string"])
 
     def run(batches):
         import pandas as pd
 
-        names = ["message_type", "sender", "round", "sample_count", "tensors", "corrupt"]
+        names = [*keep, "message_type", "sender", "round", "sample_count", "tensors", "corrupt"]
         for pdf in batches:
-            out = []
-            for blob in pdf[column]:
+            rows = []
+            for blob, *own in zip(pdf[column], *(pdf[k] for k in keep)):
+                out = []
+                rows.append((own, out))
                 try:
                     bodies, rest = split(bytes(blob))
                     if rest:
@@ -135,9 +139,10 @@ def decode_frames(blobs: DataFrame, column: str = "content", fail_fast: bool = F
                         if fail_fast:
                             raise
                         out.append({"corrupt": str(e)})
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names, dtype=object)
+            found = [dict(zip(keep, own)) | r for own, out in rows for r in out]
+            yield pd.DataFrame([{n: r.get(n) for n in names} for r in found], columns=names, dtype=object)
 
-    return blobs.select(column).mapInPandas(run, schema)
+    return blobs.select(column, *keep).mapInPandas(run, schema)
 
 
 def encode_frames(messages: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ SENTINELS = [
 ]
 
 
+#: Columns that no run measures.
+NEVER_MEASURED = ["bytes_received", "wire_bytes_received", "payload_bytes_received", "compute_threads", "achieved_freq_khz"]
+
+
 def write_round_log(rounds: DataFrame, path: str) -> None:
     """One CSV with the fixed columns; null is an empty field and memory has three decimals."""
     names = T.StructType.fromDDL(ROUND_LOG).names
@@ -56,6 +60,8 @@ def push_summary(events: DataFrame) -> DataFrame:
 
 
 def write_config(config: dict, path: str) -> None:
+    """Pretty, with sorted keys, renamed into place; a file of the driver's."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     temp = f"{path}.part"
     with open(temp, "w") as f:
         json.dump(config, f, indent=2, sort_keys=True)
