@@ -533,20 +533,83 @@ def test_language_of_pages(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def plain_bm25(parts):
+    """Impacts of the words of each part, divided by the part's own score."""
+    n, mean, df = len(parts), sum(len(p[1]) for p in parts) / len(parts), Counter(w for p in parts for w in set(p[1]))
+    out = []
+    for _, ws, *_ in parts:
+        raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in Counter(ws).items()}
+        out.append({w: x / sum(raw.values()) for w, x in raw.items()})
+    return out
+
+
 def test_wand_equals_all_scores():
     items = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pydict()
-    index = decontam.Index(decontam.make_parts(list(zip(items["item_id"], items["text"]))))
-    rand = np.random.default_rng(8)
-    for _ in range(50):
-        terms = rand.choice(len(index.ids), 60, replace=False).tolist()
-        full = Counter()
-        for t in terms:
-            for ps in index.postings[t].values():
-                for d, x in ps:
-                    full[d] += x
-        for threshold in (0.1, 0.3):
-            got = dict(index.wand(terms, threshold))
-            assert set(got) == {d for d, x in full.items() if x >= threshold - 1e-9} and all(got[d] == pytest.approx(full[d]) for d in got)
+    parts = decontam.make_parts(list(zip(items["item_id"], items["text"])))
+    index, plain, rand = decontam.Index(parts), plain_bm25(parts), np.random.default_rng(8)
+    names = list(index.ids)
+    for _ in range(20):
+        passages = [sorted(set(rand.choice(len(names), int(rand.integers(1, 90))).tolist()) | {index.ids[w] for w in parts[int(rand.integers(len(parts)))][1][:15]}) for _ in range(4)]
+        win, term = np.repeat(np.arange(4), [len(p) for p in passages]), np.concatenate(passages)
+        for threshold in (0.1, 0.3, 0.6):
+            got = {(w, d): s for w, d, s in zip(*(x.tolist() for x in index.wand(win, term, threshold)))}
+            want = {(w, d): sum(x.get(names[t], 0) for t in p) for w, p in enumerate(passages) for d, x in enumerate(plain)}
+            want = {k: s for k, s in want.items() if s >= threshold - 1e-9}
+            assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.mark.parametrize("n", [1023, 1025, 4096])
+def test_hits_equal_a_plain_search(spark, n):
+    """All passages times all parts, and the same from one index and from many slices."""
+    rand = np.random.default_rng(n)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(3000)]
+    say = lambda k: [str(rand.choice(common)) if rand.random() < 0.5 else str(rand.choice(rare)) for _ in range(k)]
+    items = [(i, " ".join(say(int(rand.integers(3, 30))))) for i in range(n)]
+    docs = []
+    for i in range(25):
+        ws = say(int(rand.integers(20, 400)))
+        own = decontam.words_of(items[int(rand.integers(n))][1])
+        if i % 3 == 1 and len(own) > 6:
+            own[len(own) // 2] = "edited"
+        at = int(rand.integers(len(ws)))
+        docs.append((i if i % 4 else None, " ".join(ws[:at] + (own if i % 3 else []) + ws[at:])))
+    docs += [docs[1], docs[2], (7, docs[4][1]), (None, None), (30, "")]
+    parts = decontam.make_parts(items)
+    plain, want = plain_bm25(parts), []
+    for i, text in docs:
+        ws, best = decontam.words_of(text), {}
+        for w in range(max(0, -(-(len(ws) - 128) // 64)) + 1 if ws else 0):
+            passage, have = set(ws[w * 64 : w * 64 + 128]), decontam._shingles(ws[w * 64 : w * 64 + 128])
+            for (item, part, q, a), x in zip(parts, plain):
+                score = sum(v for t, v in x.items() if t in passage)
+                if score < 0.6 - 1e-9:
+                    continue
+                qo, ao = decontam._held(q, have, ws, w), decontam._held(a, have, ws, w)
+                if len(part) < 5:
+                    qo = ao = float(f" {' '.join(part)} " in f" {' '.join(ws[w * 64 : w * 64 + 128])} ")
+                elif min(qo, ao) < 0.8:
+                    share = 1 - decontam._edits(part, ws[max(0, w * 64 - 16) : w * 64 + 144]) / len(part)
+                    qo, ao = (share, share) if share >= 0.8 else (qo, ao)
+                if min(qo, ao) >= 0.8:
+                    best[item] = max(best.get(item, (score, qo, ao)), (score, qo, ao))
+        want += [(i or 0, item, *(round(x, 9) for x in v)) for item, v in best.items()]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slice_bytes in (1 << 24, 60_000):
+        got = [(r[0] or 0, r[1], *(round(x, 9) for x in r[2:])) for r in map(tuple, decontam.hits(df, bench, slice_bytes=slice_bytes).collect())]
+        assert len(got) >= 10 and sorted(x[:2] for x in got) == sorted(x[:2] for x in want)
+        flat = lambda rows: [v for x in sorted(rows) for v in x[2:]]
+        assert flat(got) == pytest.approx(flat(want), abs=1e-7)
+        clean = decontam.drop_contaminated(df, bench, slice_bytes=slice_bytes).count()
+        assert clean == len(docs) - sum(bool(decontam._search([t], decontam.Index(parts), 0.6)[0]) for _, t in docs)
+
+
+def test_words_of_scripts_without_spaces():
+    assert decontam.words_of("Abc, d_e 12") == ["abc", "d", "e", "12"]
+    assert decontam.words_of("\u4eca\u65e5\u306f ok\u3002") == ["\u4eca", "\u65e5", "\u306f", "ok"]
+    item = "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u5ea7\u57ce\u5e02\u3002\u7b54\u6848\u662f\u5317\u4eac\u3002"
+    index = decontam.Index(decontam.make_parts([(1, item), (2, "\u53e6\u4e00\u4e2a\u95ee\u9898\u5728\u8fd9\u91cc")]))
+    got = decontam._search(["\u524d\u6587" * 20 + item + "\u540e\u6587" * 20, "\u524d\u6587" * 40], index, 0.6)
+    assert [len(x) for x in got] == [1, 0]
 
 
 def test_decontamination(spark):
@@ -592,20 +655,6 @@ def test_decontamination_finds_edited_copies_and_excerpts():
     assert not any(decontam._search([f"{noise()} {x} {noise()}" for x in half], index, decontam.THRESHOLD))
 
 
-def test_decontamination_scores_do_not_depend_on_slices(spark, monkeypatch):
-    docs, bench = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "benchmark"))
-    whole = sorted(map(tuple, decontam.hits(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "PARTS_PER_INDEX", 7)
-    sliced = sorted(map(tuple, decontam.hits(docs, bench).collect()))
-    assert whole and [r[:2] for r in whole] == [r[:2] for r in sliced]
-    assert [r[2] for r in whole] == pytest.approx([r[2] for r in sliced])
-    parts = decontam.make_parts([(r["item_id"], r["text"]) for r in bench.collect()])
-    one, some = decontam.Index(parts), decontam.Index(parts[:7], decontam._stats(parts))
-    for w, t in some.ids.items():
-        full = {d: x for ps in one.postings[one.ids[w]].values() for d, x in ps}
-        assert all(full[d] == pytest.approx(x) for ps in some.postings[t].values() for d, x in ps)
-
-
 def test_ordinal_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     fit_on, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
