@@ -2,10 +2,9 @@
 
 A text is its lower-cased words and one end token. Each token is coded in bits:
 
-* A Huffman path over the corpus's frequent words and one escape. Five
-  hashed-context predictors (topic; previous word; previous two words; the word
-  before the previous; last byte of the previous word with the topic) give a
-  probability for every bit. A mixer combines their logits by weights that a
+* A Huffman path over the corpus's frequent words and one escape. Four
+  hashed-context predictors (topic; previous word; previous two words; last byte
+  of the previous word with the topic) give a probability for every bit. A mixer combines their logits by weights that a
   gate picks (how much the corpus has seen of the one- and two-word contexts);
   an adaptive map refines the mixed logit. So contexts reach over word ends.
 * After an escape, the bytes of the word. Six byte predictors, mixed and refined
@@ -43,27 +42,28 @@ ignored. The texts are read several times; if a later scan cuts other chunks
 
 from __future__ import annotations
 
+import functools
 import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 
 FOLDS, HELD = 7, 2
 #: Frequent words that have a path of their own, and those that describe a topic.
-FREQUENT, TOPICS, TOPIC_WORDS = 2047, 8, 256
-#: Most slots of the tables: 8 bytes each on every worker.
-PATH_BITS, SPELL_BITS = 22, 21
+FREQUENT, TOPICS, TOPIC_WORDS = 255, 8, 255
+#: Most slots of the tables: two bytes each on every worker.
+PATH_BITS, SPELL_BITS = 21, 21
 #: Bytes of text in a chunk, and in the pieces in which it is read.
-CHUNK_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Mean and least number of words of a run that can be named as a whole.
 RUN, LEAST_RUN = 24, 4
 #: Counts that the flag of a run starts with: (spelled, named) after a spelled and after a named run.
 FLAGS = ((8.0, 0.25), (1.0, 2.0))
 PRIOR, RATE, APM_STEPS, GATES, LANES = 0.4, 0.2, 33, 24, 8
-PATH_ORDERS, SPELL_ORDERS = 5, 6
+PATH_ORDERS, SPELL_ORDERS = 4, 6
 #: Distinct words of a group that learns the spelling weights together.
 GROUP = 1 << 17
 END = b"\n"
@@ -148,6 +148,12 @@ class Tokens:
         start[end], size[end], h[end], d[end] = -1, 1, hash_of([END])[0], np.arange(n) + base
         return start, size, h, d
 
+    def symbols(self, paths):
+        """The symbols of all tokens, found once for each ``paths``."""
+        if getattr(self, "_paths", None) is not paths:
+            self._paths, self._symbols = paths, paths.symbols(self.hash)
+        return self._symbols
+
     def words(self, at) -> list[bytes]:
         return [END if s < 0 else self.data[s : s + n].tobytes() for s, n in zip(self.start[at].tolist(), self.size[at].tolist())]
 
@@ -199,20 +205,68 @@ class Paths:
             depth.append(len(path))
             nodes += [n for n, _ in reversed(path)]
             bits += [b for _, b in reversed(path)]
-        self.nodes, self.bits, self.depth = (np.array(x, dtype=np.int64) for x in (nodes, bits, depth))
-        self.at = np.cumsum(self.depth) - self.depth
+        self.nodes, self.depth = np.array(nodes, dtype=np.int64), np.array(depth, dtype=np.int64)
+        self.bits, self.at = np.array(bits, dtype=np.int32), np.cumsum(self.depth) - self.depth
+        self.salt = (self.nodes.astype(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        # The words by 16 bits of their hashes; of several with the same bits all but one are in later layers.
         h = hash_of(words) if words else np.zeros(0, np.uint64)
-        self.order = np.argsort(h)
-        self.sorted = h[self.order]
+        self.layers, left = [], np.arange(len(words))
+        while len(left):
+            slot = (h[left] >> np.uint64(48)).astype(np.intp)
+            _, first = np.unique(slot, return_index=True)
+            layer = np.full(1 << 16, -1)
+            layer[slot[first]] = left[first]
+            self.layers.append(layer)
+            left = np.delete(left, first)
+        self.hashes = np.append(h, np.uint64(0))
 
     def symbols(self, hashes):
         import numpy as np
 
-        escape = len(self.words)
-        if not escape:
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), escape - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], escape)
+        slot, out = (hashes >> np.uint64(48)).astype(np.intp), np.full(len(hashes), len(self.words))
+        for layer in self.layers:
+            found = layer[slot]
+            out = np.where((found >= 0) & (self.hashes[found] == hashes), found, out)
+        return out
+
+
+#: A slot's state has two bytes, a step of the count of zeros and one of ones: exact to 127, then eight steps an octave.
+EXACT, OCTAVE = 127, 8
+
+
+def states(counts):
+    """uint16 state of each row of counts (zeros, ones)."""
+    import numpy as np
+
+    n = counts.astype(np.float64)
+    step = np.where(n <= EXACT, n, np.minimum(255, EXACT + 1 + np.floor(OCTAVE * np.log2(np.maximum(n, 1) / (EXACT + 1)) + 1e-9)))
+    return (step[:, 0] * 256 + step[:, 1]).astype(np.uint16)
+
+
+@functools.cache
+def _lookup():
+    """For each state, as it stands and less one zero or one one: the logit, and the parts of the gate that a short and a
+    long context give."""
+    import numpy as np
+
+    step = np.arange(256)
+    n = np.where(step <= EXACT, step, (EXACT + 1) * 2.0 ** ((step - EXACT - 1) / OCTAVE))
+    zero, one = np.repeat(n, 256), np.tile(n, 256)
+    zero = np.concatenate([zero, np.maximum(zero - 1, 0), zero])
+    one = np.concatenate([one, one, np.maximum(one - 1, 0)])
+    few = np.searchsorted([0.5, 2.5, 8.5, 64.5, 1024.5], zero + one) * 4
+    many = np.searchsorted([0.5, 16.5, 1024.5], zero + one)
+    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float32), many.astype(np.uint8), few.astype(np.uint8)
+
+
+def evidence(table, slots, bit, own, many: int, few: int):
+    """(logits of all orders, gates), the bits that are a text's own taken out; ``many`` and ``few`` are the gate's orders."""
+    import numpy as np
+
+    logit, short, long = _lookup()
+    kind = (own * (1 + bit)).astype(np.int32) << 16
+    at = [table[s] + kind for s in slots]
+    return [logit[x] for x in at], (short[at[many]] + long[at[few]]).astype(np.intp)
 
 
 class Mix:
@@ -225,53 +279,49 @@ class Mix:
         self.map = np.tile(np.linspace(-8, 8, APM_STEPS), (LANES, 1))
         self.seen, self.used = np.zeros(GATES), np.zeros((LANES, APM_STEPS))
 
-    @staticmethod
-    def gate(many, few):
-        """A gate by what the table holds of a short (``many``) and of a long (``few``) context."""
-        import numpy as np
-
-        return np.searchsorted([0.5, 2.5, 8.5, 64.5, 1024.5], few) * 4 + np.searchsorted([0.5, 16.5, 1024.5], many)
-
     def logits(self, st, gate, lane):
         """Mixed logit, refined logit, and the steps of the map between which the mixed one lies."""
         import numpy as np
 
-        x = np.zeros(len(gate))
-        for k, s in enumerate(st):
-            x += s * self.weights[:, k][gate]
-        x = np.clip(x, -7.99, 7.99)
-        at = (x + 8) * 2
-        low = at.astype(np.int64)
-        share = at - low
+        weights, y = self.weights.astype(np.float32), self.map.astype(np.float32).ravel()
+        x = st[0] * weights[:, 0][gate]
+        for k in range(1, len(st)):
+            x += st[k] * weights[:, k][gate]
+        np.clip(x, -7.99, 7.99, out=x)
+        at = (x + np.float32(8)) * np.float32(2)
+        low = at.astype(np.intp)
+        share = at - low.astype(np.float32)
         low += lane * APM_STEPS
-        y = self.map.ravel()
-        return x, y[low] * (1 - share) + y[low + 1] * share, low, share
+        below = y[low]
+        return x, below + (y[low + 1] - below) * share, low, share
 
     def cost(self, st, gate, lane, bit):
         """Natural log of the probability of each bit."""
         import numpy as np
 
         x, y, _, _ = self.logits(st, gate, lane)
-        return -np.log1p(np.exp((0.5 - bit) * (x + y)))
+        return -np.log(1 + np.exp((np.float32(0.5) - bit.astype(np.float32)) * (x + y)))
 
-    def learn(self, st, gate, lane, bit, weight=1.0):
+    def learn(self, st, gate, lane, bit, weight=None):
         """As ``cost``, then one step of the weights and of the map."""
         import numpy as np
 
         x, y, low, share = self.logits(st, gate, lane)
-        sign = 2.0 * bit - 1
-        err = sign / (1 + np.exp(sign * x)) * weight
+        sign = bit.astype(np.float32) * np.float32(2) - np.float32(1)
+        err = sign / (1 + np.exp(sign * x))
+        err = err if weight is None else err * weight
         n = np.bincount(gate, minlength=GATES)
         for k, s in enumerate(st):
             self.weights[:, k] += RATE * np.bincount(gate, weights=err * s, minlength=GATES) / (n + 16.0)
         self.seen += n
-        err = sign / (1 + np.exp(sign * y)) * weight
+        err = sign / (1 + np.exp(sign * y))
+        err = err if weight is None else err * weight
         size = LANES * APM_STEPS
         for i, f in ((low, 1 - share), (low + 1, share)):
             n = np.bincount(i, weights=f, minlength=size)
             self.map += (RATE * np.bincount(i, weights=err * f, minlength=size) / (n + 16.0)).reshape(self.map.shape)
             self.used += n.reshape(self.map.shape)
-        return -np.log1p(np.exp(-sign * (x + y) / 2))
+        return -np.log(1 + np.exp(np.float32(-0.5) * sign * (x + y)))
 
     def state(self):
         """What is summed over learners: weights and map times what each has seen, and that."""
@@ -291,17 +341,20 @@ class Mix:
         return self
 
 
-def stretch(table, slots, bit, own):
-    """(logit, count) of each bit's slot, less the ``own`` occurrences of the bit."""
+def _slot(context, node, bits: int):
+    """Slots of 32-bit context hashes at the nodes."""
+    import numpy as np
+
+    return (((context ^ node) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.intp)
+
+
+def _high(x):
     import numpy as np
 
-    pair = table[slots]
-    zero = np.maximum(pair[:, 0] - own * (1 - bit), 0)
-    one = np.maximum(pair[:, 1] - own * bit, 0)
-    return np.log((one + PRIOR) / (zero + PRIOR)), zero + one
+    return (_final(x) >> np.uint64(32)).astype(np.uint32)
 
 
-def decisions(tokens: Tokens, paths: Paths, topic, bits: int, most: int = 1 << 14):
+def decisions(tokens: Tokens, paths: Paths, topic, bits: int, most: int = 1 << 13):
     """Blocks of (first token, last token, owner, bit, lane, slots of each order): the bits of the paths of all tokens."""
     import numpy as np
 
@@ -310,19 +363,17 @@ def decisions(tokens: Tokens, paths: Paths, topic, bits: int, most: int = 1 << 1
     last = np.zeros(len(p), dtype=np.uint64)
     has = np.flatnonzero(p)
     last[has] = tokens.data[tokens.start[has - 1] + tokens.size[has - 1] - 1]
-    orders = [z, p, p * np.uint64(3) + q * np.uint64(0xC2B2AE3D27D4EB4F), q + np.uint64(ODD), last * np.uint64(64) + z]
-    orders = [_final((v + np.uint64(k)) * np.uint64(ODD)) for k, v in enumerate(orders)]
-    symbol = paths.symbols(tokens.hash)
-    shift = np.uint64(64 - bits)
+    orders = [z, p, p * np.uint64(3) + q * np.uint64(0xC2B2AE3D27D4EB4F), last * np.uint64(64) + z]
+    orders = [_high((v + np.uint64(k)) * np.uint64(ODD)) for k, v in enumerate(orders)]
+    symbol = tokens.symbols(paths)
     for a in range(0, len(symbol), most):
         z = min(len(symbol), a + most)
         depth = paths.depth[symbol[a:z]]
         owner = np.repeat(np.arange(z - a), depth)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
         at = paths.at[symbol[a:z]][owner] + step
-        node = (paths.nodes[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-        slots = [(((v[a:z][owner] ^ node) * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64) for v in orders]
-        yield a, z, owner, paths.bits[at], np.minimum(step, LANES - 1), slots
+        node = paths.salt[at]
+        yield a, z, owner, paths.bits[at], np.minimum(step, LANES - 1), [_slot(v[a:z][owner], node, bits) for v in orders]
 
 
 def path_costs(tokens: Tokens, paths: Paths, topic, table, mix: Mix, held, learn: bool = False):
@@ -331,10 +382,9 @@ def path_costs(tokens: Tokens, paths: Paths, topic, table, mix: Mix, held, learn
 
     out = np.zeros(len(tokens.hash))
     bits = (len(table) - 1).bit_length()
-    own = 1.0 - held[tokens.doc]
+    own = (held[tokens.doc] == 0).astype(np.int32)
     for a, z, owner, bit, lane, slots in decisions(tokens, paths, topic, bits):
-        st, many = zip(*(stretch(table, s, bit, own[a:z][owner]) for s in slots))
-        gate = Mix.gate(many[1], many[2])
+        st, gate = evidence(table, slots, bit, own[a:z][owner], 1, 2)
         out[a:z] = np.bincount(owner, weights=(mix.learn if learn else mix.cost)(st, gate, lane, bit), minlength=z - a)
     return out / np.log(10)
 
@@ -367,7 +417,7 @@ class Topics:
         """Unit vectors of the roots of the counts of the first ``width`` symbols, a row for each text."""
         import numpy as np
 
-        symbol, n = paths.symbols(tokens.hash), len(tokens.first) - 1
+        symbol, n = tokens.symbols(paths), len(tokens.first) - 1
         ok = (symbol < min(width, len(paths.words))) & (symbol != skip)
         v = np.sqrt(np.bincount(tokens.doc[ok] * width + symbol[ok], minlength=n * width).reshape(n, width))
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -404,20 +454,19 @@ def _contexts(words: list[bytes], topic):
     before = np.concatenate([np.zeros(1, np.uint64), run])[:-1]
     hashes.append(before - before[start[owner]] + pos.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     salt = np.asarray(topic, dtype=np.uint64)[owner] * np.uint64(0xC2B2AE3D27D4EB4F)
-    return raw, owner, [_final(v + np.uint64(k + 1) + (salt if k not in (3, 4) else np.uint64(0))) for k, v in enumerate(hashes)]
+    return raw, owner, [_high(v + np.uint64(k + 1) + (salt if k not in (3, 4) else np.uint64(0))) for k, v in enumerate(hashes)]
 
 
 def _bits(raw, mixed, bits: int):
     """For each of the eight bits: the bits, and the slots of every order."""
     import numpy as np
 
-    node = np.ones(len(raw), dtype=np.uint64)
+    node = np.ones(len(raw), dtype=np.uint32)
     for b in range(7, -1, -1):
-        bit = ((raw >> b) & 1).astype(np.int64)
-        slots = [(((v ^ (node * np.uint64(0x9FB21C651E98DF25))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
-                 for v in mixed]
-        yield 7 - b, bit, slots
-        node = node * np.uint64(2) + bit.astype(np.uint64)
+        bit = ((raw >> b) & 1).astype(np.int32)
+        salt = node * np.uint32(0x85EBCA6B)
+        yield 7 - b, bit, [_slot(v, salt, bits) for v in mixed]
+        node = node * np.uint32(2) + bit.astype(np.uint32)
 
 
 def _blocks(words: list[bytes], most: int = 1 << 16):
@@ -451,17 +500,15 @@ def spell(words: list[bytes], topic, counts, table, mix: Mix, learn: bool = Fals
 
     out, counts = np.zeros(len(words)), np.asarray(counts, dtype=np.float64)
     bits = (len(table) - 1).bit_length()
-    for a, z in _blocks(words, 1 << 12 if learn else 1 << 15):
+    for a, z in _blocks(words, 1 << 14 if learn else 1 << 15):
         raw, owner, mixed = _contexts(words[a:z], topic[a:z])
         c = counts[a:z][owner]
-        own = np.minimum(c, 1.0)
-        weight = np.sqrt(c / max(c.mean(), 1e-9)) if len(c) else c
+        own = (c > 0).astype(np.int32)
+        weight = np.sqrt(c / max(c.mean(), 1e-9)).astype(np.float32) if learn else None
         cost = np.zeros(len(raw))
         for lane, bit, slots in _bits(raw, mixed, bits):
-            st, many = zip(*(stretch(table, s, bit, own) for s in slots))
-            gate = Mix.gate(many[3], many[5])
-            lanes = np.full(len(bit), lane)
-            cost += mix.learn(st, gate, lanes, bit, weight) if learn else mix.cost(st, gate, lanes, bit)
+            st, gate = evidence(table, slots, bit, own, 3, 5)
+            cost += mix.learn(st, gate, lane, bit, weight) if learn else mix.cost(st, gate, lane, bit)
         out[a:z] = np.bincount(owner, weights=cost, minlength=z - a)
     return out / np.log(10)
 
@@ -582,7 +629,8 @@ def _frequent(rows: DataFrame) -> list[bytes]:
         counts: dict[bytes, int] = {}
         for _, _, held, _, tokens in _chunks(batches):
             use = np.flatnonzero(held[tokens.doc] == 0)
-            _, first, n = np.unique(tokens.hash[use], return_index=True, return_counts=True)
+            first, index = _groups(tokens.hash[use])
+            n = np.bincount(index, minlength=len(first))
             top = np.argsort(-n, kind="stable")[: 8 * FREQUENT]
             for w, c in zip(tokens.words(use[first[top]]), n[top].tolist()):
                 counts[w] = counts.get(w, 0) + c
@@ -604,7 +652,7 @@ def _survey(rows: DataFrame, words: list[bytes]):
         counts = np.zeros(len(words) + 1)
         sums, many = np.zeros((width, width)), np.zeros(width)
         for _, _, held, _, tokens in _chunks(batches):
-            counts += np.bincount(plain.symbols(tokens.hash), weights=1 - held[tokens.doc], minlength=len(counts))
+            counts += np.bincount(tokens.symbols(plain), weights=1 - held[tokens.doc], minlength=len(counts))
             v = Topics.vectors(tokens, plain, width, skip)
             use = np.flatnonzero((held == 0) & (v.max(axis=1, initial=0) > 0))
             top = v[use].argmax(axis=1)
@@ -622,13 +670,13 @@ def _survey(rows: DataFrame, words: list[bytes]):
 
 
 def _table(parts: DataFrame, bits: int):
-    """The table from its pieces; floats, as counts below 2^24 are exact in them."""
+    """The states of the table that the pieces add up to."""
     import numpy as np
 
     out = np.zeros(2 << bits, dtype=np.float32)
     for i, x in _added(parts, "<f4").items():
         out[i * len(x) : (i + 1) * len(x)] = x
-    return out.reshape(-1, 2)
+    return states(out.reshape(-1, 2))
 
 
 def _pieces(table):
@@ -678,6 +726,7 @@ def _training(tokens: Tokens, held):
     import numpy as np
 
     out = copy.copy(tokens)
+    out._paths = None
     use = held[tokens.doc] == 0
     number = np.cumsum(held == 0) - 1
     out.start, out.size, out.hash, out.doc = tokens.start[use], tokens.size[use], tokens.hash[use], number[tokens.doc[use]]
@@ -685,50 +734,75 @@ def _training(tokens: Tokens, held):
     return out
 
 
+def _groups(keys):
+    """(a place of each distinct key, the number of the key of each place), by a table of places; what meets another key there
+    is sorted."""
+    import numpy as np
+
+    n = len(keys)
+    slot = (keys >> np.uint64(64 - max(8, min(22, (4 * n).bit_length())))).astype(np.intp)
+    table = np.empty(int(slot.max()) + 1 if n else 0, dtype=np.int32)
+    table[slot] = np.arange(n, dtype=np.int32)
+    place = table[slot]
+    own = keys[place] == keys
+    mark = np.zeros(n, dtype=bool)
+    mark[place[own]] = True
+    index = (np.cumsum(mark) - 1)[place]
+    rest = np.flatnonzero(~own)
+    _, first, number = np.unique(keys[rest], return_index=True, return_inverse=True)
+    index[rest] = mark.sum() + number
+    return np.concatenate([np.flatnonzero(mark), rest[first]]), index
+
+
 def _units(tokens: Tokens, paths: Paths, topic):
-    """What a chunk looks up: (keys and topics of its distinct rare words, then of its runs; places of the rare tokens;
-    the index of each; first token, length and index (-1: too short) of each run)."""
+    """What a chunk looks up: (a token of each distinct rare word, hashes of the distinct runs, topics of the former; places of
+    the rare tokens, the index of each; first token, length and index, after those of the words, (-1: too short) of each run)."""
     import numpy as np
 
-    rare = np.flatnonzero(paths.symbols(tokens.hash) == len(paths.words))
+    rare = np.flatnonzero(tokens.symbols(paths) == len(paths.words))
     key = tokens.hash[rare] ^ (topic[tokens.doc[rare]].astype(np.uint64) * np.uint64(ODD))
-    _, first, index = np.unique(key, return_index=True, return_inverse=True)
+    first, index = _groups(key)
     at, size, run = tokens.runs()
     long = np.flatnonzero(size >= LEAST_RUN)
-    names, where = np.unique(run[long], return_inverse=True)
+    names, which = _groups(run[long])
     place = np.full(len(at), -1)
-    place[long] = where + len(first)
+    place[long] = which + len(first)
     where = rare[first]
-    keys = tokens.words(where) + [b" " + x.tobytes() for x in names]
-    return keys, np.concatenate([topic[tokens.doc[where]], np.zeros(len(names), np.int64)]), rare, index, at, size, place
+    return where, run[long][names], topic[tokens.doc[where]], rare, index, at, size, place
 
 
-def _vocabulary(rows: DataFrame, paths, topics) -> DataFrame:
-    """word (runs begin with a space), c (its count in training tokens; 0 for words of held-out texts only),
-    topics (bits), cz (counts by topic)."""
+def _chunk_units(rows: DataFrame, paths, topics) -> DataFrame:
+    """chunk, z (topic), at (index in the chunk), word, c (its count in the chunk's training texts): the distinct rare words of
+    each chunk and topic, and the distinct runs, as a space and eight bytes, with topic 0."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for _, _, held, _, tokens in _chunks(batches):
-            keys, z, rare, index, at, _, place = _units(tokens, paths.value, topics.value.of(tokens, paths.value))
-            c = np.bincount(index, weights=1 - held[tokens.doc[rare]], minlength=len(keys)).astype(np.float64)
-            ok = place >= 0
-            c += np.bincount(place[ok], weights=1 - held[tokens.doc[at[ok]]], minlength=len(keys))
-            c = c.astype(np.int64)
-            # A run without training occurrence is not needed; a word is, to be spelled.
-            words = len(np.unique(index))
-            use = np.flatnonzero((c > 0) | (np.arange(len(keys)) < words))
-            for a in range(0, len(use), 50_000):
-                few = use[a : a + 50_000]
+        for number, _, held, _, tokens in _chunks(batches):
+            where, runs, z, rare, index, at, _, place = _units(tokens, paths.value, topics.value.of(tokens, paths.value))
+            size, ok = len(where) + len(runs), place >= 0
+            c = np.bincount(index, weights=1 - held[tokens.doc[rare]], minlength=size).astype(np.float64)
+            c = (c + np.bincount(place[ok], weights=1 - held[tokens.doc[at[ok]]], minlength=size)).astype(np.int64)
+            z = np.concatenate([z, np.zeros(len(runs), np.int64)])
+            for a in range(0, size, 50_000):
+                few = tokens.words(where[a : a + 50_000]) + [b" " + x.tobytes() for x in runs[max(0, a - len(where)) : max(0, a + 50_000 - len(where))]]
+                e = a + len(few)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i] for i in few.tolist()], pa.binary()), pa.array(z[few], pa.int32()), pa.array(c[few], pa.int64())],
-                    names=["word", "z", "c"],
+                    [pa.array(np.full(len(few), number), pa.int64()), pa.array(z[a:e], pa.int32()), pa.array(np.arange(a, e), pa.int32()),
+                     pa.array(few, pa.binary()), pa.array(c[a:e], pa.int64())],
+                    names=["chunk", "z", "at", "word", "c"],
                 )
 
+    return rows.mapInArrow(run, "chunk long, z int, at int, word binary, c long")
+
+
+def _vocabulary(units: DataFrame) -> DataFrame:
+    """word (runs begin with a space), c (its count in training tokens; 0 for words of held-out texts only),
+    topics (bits), cz (counts by topic). A run that no training text holds is not needed."""
+    run = F.substring("word", 1, 1) == F.lit(b" ")
     return (
-        rows.mapInArrow(run, "word binary, z int, c long")
+        units.where((F.col("c") > 0) | ~run)
         .groupBy("word")
         .agg(
             F.sum("c").alias("c"),
@@ -790,6 +864,7 @@ class Learned:
     path_mix: Mix
     spell_mix: Mix
     blend: object
+    units: DataFrame
     vocab: DataFrame
     #: Training tokens, their distinct words, rare tokens, these by topic, and runs.
     n: int
@@ -805,7 +880,8 @@ def learn(rows: DataFrame) -> Learned:
     paths, topics = sc.broadcast(paths), sc.broadcast(topics)
     bits = min(PATH_BITS, max(12, (8 * n).bit_length()))
     path_table, path_mix = _learn_paths(rows, paths, topics, bits)
-    vocab = durable(_vocabulary(rows, paths, topics))
+    units = stored(_chunk_units(rows, paths, topics))
+    vocab = stored(_vocabulary(units))
     is_run = F.substring("word", 1, 1) == F.lit(b" ")
     head = vocab.groupBy(is_run.alias("run")).agg(
         F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[F.sum(F.get("cz", F.lit(k))).alias(f"z{k}") for k in range(TOPICS)]
@@ -815,7 +891,7 @@ def learn(rows: DataFrame) -> Learned:
     rare, rare_v, by_topic = (int(word["n"]), int(word["v"]), [int(word[f"z{k}"]) for k in range(TOPICS)]) if word else (0, 0, [0] * TOPICS)
     v = rare_v + int((paths.value.counts[:-1] > 0).sum())
     spell_table, spell_mix, blend = _learn_spelling(vocab, rare_v, rare, by_topic)
-    return Learned(paths, topics, path_table, spell_table, path_mix, spell_mix, blend, vocab, n, v, rare, by_topic, runs)
+    return Learned(paths, topics, path_table, spell_table, path_mix, spell_mix, blend, units, vocab, n, v, rare, by_topic, runs)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -841,29 +917,15 @@ def score(docs: DataFrame) -> DataFrame:
     present = vocab.select("word", "c", "topics", F.posexplode("cz").alias("z", "cz")).where("(shiftright(topics, z) & 1) = 1")
     costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, cz long, bits float")
 
-    def chunk_words(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for number, _, _, _, tokens in _chunks(batches):
-            keys, z, *_ = _units(tokens, paths.value, topics.value.of(tokens, paths.value))
-            for a in range(0, len(keys), 50_000):
-                few = keys[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(few), number), pa.int64()), pa.array(z[a : a + len(few)], pa.int32()),
-                     pa.array(np.arange(a, a + len(few)), pa.int32()), pa.array(few, pa.binary())],
-                    names=["chunk", "z", "at", "word"],
-                )
-
     def chunk_docs(batches):
         import numpy as np
         import pyarrow as pa
 
         for number, ids, held, n_bytes, tokens in _chunks(batches):
             z = topics.value.of(tokens, paths.value)
-            _, _, rare_at, index, at, size, place = _units(tokens, paths.value, z)
+            *_, rare_at, index, at, size, place = _units(tokens, paths.value, z)
             path = path_costs(tokens, paths.value, z, path_table.value, path_mix, held)
-            symbol = paths.value.symbols(tokens.hash)
+            symbol = tokens.symbols(paths.value)
             common = symbol < len(paths.value.words)
             base = np.where(common, np.log10(paths.value.counts[symbol] + 1.0), 0)
             of = np.repeat(np.arange(len(at)), size)
@@ -892,9 +954,8 @@ def score(docs: DataFrame) -> DataFrame:
         "run binary, run_rare binary, run_path binary"
     )
     names = [x.split()[0] for x in schema.split(", ")]
-    words = rows.mapInArrow(chunk_words, "chunk long, z int, at int, word binary")
     texts = rows.mapInArrow(chunk_docs, schema)
-    priced = words.join(costs, ["word", "z"]).select("chunk", "at", "c", "cz", "bits")
+    priced = m.units.select("chunk", "z", "at", "word").join(costs, ["word", "z"]).select("chunk", "z", "at", "c", "cz", "bits")
 
     def sums(prices, docs):
         import numpy as np
@@ -905,19 +966,25 @@ def score(docs: DataFrame) -> DataFrame:
         if not len(docs) or len(np.unique(at[at < top("rare")])) != top("rare"):
             raise RuntimeError("the scans of the texts do not agree; score a table or a checkpoint")
         size = max(top("rare"), top("run"), int(at.max()) + 1 if len(at) else 0)
-        c, cz, spelled = np.zeros(size), np.zeros(size), np.zeros(size)
+        c = np.zeros(size)
+        unit = [np.zeros(size), np.zeros(size)]  # log10 of each word as it stands, and less an own occurrence
         if len(at):
-            c[at], cz[at], spelled[at] = prices["c"], prices["cz"], prices["bits"]
+            c[at] = prices["c"]
+            topic_total = np.array(by_topic, dtype=np.float64)[prices["z"].to_numpy()]
+            spelled, cz, all_ = (prices[k].to_numpy().astype(np.float64) for k in ("bits", "cz", "c"))
+            for own in (0, 1):
+                unit[own][at] = blended(blend, spelled, cz, all_, topic_total, rare, own)
+        known, base_of = c > 0, np.log10(c + 1)
         out = []
         for row in docs.itertuples(index=False):
             idx = np.frombuffer(row.rare, dtype="<i4")
             own = 0 if row.held_out else 1
-            rare_cost = blended(blend, spelled[idx], cz[idx], c[idx], by_topic[row.z], rare, own)
+            rare_cost = unit[own][idx]
             run, many = np.frombuffer(row.run, dtype="<i4"), np.frombuffer(row.run_rare, dtype="<i4")
             plain = np.bincount(np.repeat(np.arange(len(run)), many), weights=rare_cost, minlength=len(run)) + np.frombuffer(row.run_path, dtype="<f4")
             s = run_costs(plain, run, c, runs, own) + float(topics.value.cost[row.z])
-            base = row.common + float(np.log10(c[idx] + 1).sum()) - row.n_tokens * float(np.log10(n + v + 1.0))
-            out.append((row.doc_id, row.held_out, row.n_tokens, row.n_common + int((c[idx] > 0).sum()), n, base, s, row.n_bytes,
+            base = row.common + float(base_of[idx].sum()) - row.n_tokens * float(np.log10(n + v + 1.0))
+            out.append((row.doc_id, row.held_out, row.n_tokens, row.n_common + int(known[idx].sum()), n, base, s, row.n_bytes,
                         -s * 3.3219280948873626 / row.n_bytes))
         return pd.DataFrame(out, columns=COLUMNS)
 
