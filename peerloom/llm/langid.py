@@ -2,46 +2,83 @@
 
 The posterior of a page's language multiplies four parts: the likelihood of
 its text (byte trigrams, tempered as neighbouring trigrams are not
-independent), of its declared markup language, of its address suffix, and a
-host prior. Priors come from grouped sums of the posteriors without them, in
-three levels: a host is smoothed by its registered domain, a domain by all
-pages; a page's own vote is taken out of each sum first.
+independent), what its declared markup language and its address suffix say, and
+a host prior. What a declaration or a suffix is worth is learned from grouped sums
+of the texts' own posteriors: how much more often a language stands beside it than
+elsewhere, smoothed by what the code would mean (DECLARED, SUFFIX). Host priors
+come from grouped sums of the posteriors without them, in three levels: a host is
+smoothed by its registered domain, a domain by all pages. A page's own vote is
+taken out of every sum first.
+
+Languages are those of the labelled texts, whatever they are. Codes are brought to
+their two-letter form where there is one.
 
 Edge cases: null or empty html has no text and no declaration, so suffix and
-prior decide; a null or odd url has no suffix and the empty host; repeated
-rows vote each; an empty table gives no rows; extra columns are ignored. The
-trigram model is fitted on a bounded sample (MAX_FIT texts with a known
-language, the least hashes of doc_id) and counts of unseen trigrams are
-smoothed.
+prior decide; a null or odd url has no suffix and the empty host; a declared language
+that no labelled text has says nothing; repeated rows vote each; texts and pages of any
+length are read whole; without labelled texts every page has a null language; an empty
+table gives no rows; extra columns are ignored. The trigram model is fitted on a bounded
+sample of labelled texts (about MAX_FIT a language, by the hashes of their doc_ids) and
+counts of unseen trigrams are smoothed.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable
+from .common import durable
 
-LANGS = ["de", "en", "es", "fr"]
 BUCKETS = 1 << 16
-MAX_FIT, TEMPER = 4000, 0.2
-#: Probability that declaration and suffix tell the truth.
-DECLARED, SUFFIX = 0.9, 0.7
+MAX_FIT, TEMPER = 1000, 0.2
+#: What a declared code or a country's suffix is taken to be worth before anything is counted, and for how many pages that counts.
+DECLARED, SUFFIX, MARK_WEIGHT = 0.9, 0.7, 20.0
 #: Pages that the level above counts for.
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
+#: A host with over a share of 1 / HOT of the pages is joined by broadcast: there are fewer than HOT of them.
+HOT = 200
 #: Address suffixes that speak for a language.
-SUFFIXES = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr"}
+SUFFIXES = {
+    "de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es",
+    "fr": "fr", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "tw": "zh", "kr": "ko", "se": "sv",
+    "no": "no", "dk": "da", "fi": "fi", "cz": "cs", "gr": "el", "tr": "tr", "hu": "hu", "ro": "ro", "ua": "uk", "ir": "fa", "il": "he", "vn": "vi", "id": "id",
+}
+#: Three-letter codes of languages that have a two-letter one.
+SHORT = {
+    "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl",
+    "rus": "ru", "jpn": "ja", "zho": "zh", "chi": "zh", "kor": "ko", "swe": "sv", "nor": "no", "nob": "no", "dan": "da", "fin": "fi", "ces": "cs",
+    "cze": "cs", "ell": "el", "gre": "el", "tur": "tr", "hun": "hu", "ron": "ro", "rum": "ro", "ukr": "uk", "fas": "fa", "per": "fa", "heb": "he",
+    "vie": "vi", "ind": "id", "ara": "ar", "hin": "hi", "ben": "bn", "cat": "ca", "bul": "bg", "hrv": "hr", "srp": "sr", "slk": "sk", "slo": "sk",
+}
+#: Labels under which countries register names (as in co.uk).
+SECOND = frozenset("ac co com edu gob gov go gouv id ltd me mil ne net nom or org plc sch web".split())
 DROP = re.compile(r"(?is)<(script|style|nav)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+HOST = re.compile(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)")
+
+
+def code_of(code) -> str | None:
+    """The primary part of a language code, in two letters if it has such a form; None for none."""
+    head = re.split(r"[-_]", (code or "").strip().lower())[0]
+    return SHORT.get(head, head) or None
 
 
 def text_of(html) -> str:
     return entities.unescape(DROP.sub(" ", html)) if html else ""
 
 
+def domain_of(host: str) -> str:
+    """The registered domain: two labels, or three where the second is one under which a country registers."""
+    labels = host.split(".")
+    deep = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND
+    return host if host.replace(".", "").isdigit() else ".".join(labels[-3 if deep else -2 :])
+
+
 def trigrams(text: str):
     """Buckets of the byte trigrams of the lower-cased text with runs of white space as one space."""
     import numpy as np
@@ -53,12 +90,25 @@ def trigrams(text: str):
     return ((x * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
-def train(docs: DataFrame, max_fit: int = MAX_FIT):
-    """log P(trigram | language), languages by buckets, from at most ``max_fit`` texts."""
+@dataclass
+class Model:
+    """Languages in the order of their codes, and log P(trigram | language), languages by buckets."""
+
+    langs: list[str]
+    table: object
+
+
+def train(docs: DataFrame, max_fit: int = MAX_FIT) -> Model:
+    """From about ``max_fit`` labelled texts of each language."""
     import numpy as np
 
-    known = docs.where(F.col("lang").isin(LANGS) & F.col("text").isNotNull())
-    few = bounded_sample(known.select("doc_id", "lang", "text"), "doc_id", max_fit).select("lang", "text")
+    known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    found = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect() if code_of(r["lang"])}
+    langs = sorted({code_of(x) for x in found})
+    if not langs:
+        return Model([], np.zeros((0, BUCKETS), dtype=np.float32))
+    rate = F.create_map(*[F.lit(x) for lang, n in sorted(found.items()) for x in (lang, max(1, n // max_fit))])
+    few = known.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.element_at(rate, F.col("lang"))) == 0).select("lang", "text")
 
     def run(batches):
         import pandas as pd
@@ -70,86 +120,133 @@ def train(docs: DataFrame, max_fit: int = MAX_FIT):
         for lang, c in counts.items():
             yield pd.DataFrame({"lang": [lang], "c": [c.astype("<i8").tobytes()]})
 
-    table = np.full((len(LANGS), BUCKETS), 0.5)
-    for r in few.mapInPandas(run, "lang string, c binary").collect():  # one row a language and task
-        table[LANGS.index(r["lang"])] += np.frombuffer(r["c"], dtype="<i8")
-    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    def total(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"lang": [pdf["lang"].iat[0]], "c": [sum(np.frombuffer(x, dtype="<i8") for x in pdf["c"]).astype("<i8").tobytes()]})
+
+    table = np.full((len(langs), BUCKETS), 0.5)
+    for r in few.mapInPandas(run, "lang string, c binary").groupBy("lang").applyInPandas(total, "lang string, c binary").collect():
+        if code_of(r["lang"]):
+            table[langs.index(code_of(r["lang"]))] += np.frombuffer(r["c"], dtype="<i8")
+    return Model(langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _evidence(pages: DataFrame, model) -> DataFrame:
-    """page_id, host, domain, declared, and l0.. (log evidence of text, declaration and suffix)."""
+def _evidence(pages: DataFrame, model: Model) -> DataFrame:
+    """page_id, host, domain, suffix, declared (as it stands), mark (the declared language, if it is known), and l0.. (log
+    evidence of the text)."""
+    import pyarrow as pa
+
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    schema = "page_id long, host string, domain string, declared string, " + ", ".join(f"l{i} double" for i in range(len(LANGS)))
+    names = ["page_id", "host", "domain", "suffix", "declared", "mark", *(f"l{i}" for i in range(len(model.langs)))]
+    kind = lambda n: "long" if n == "page_id" else "double" if re.fullmatch(r"l\d+", n) else "string"
+    arrow = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind(n)]) for n in names])
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
-        table, k = shared.value, len(LANGS)
+        table, langs = shared.value.table, set(shared.value.langs)
         for b in batches:
             out = []
             for i, url, html in zip(*(b.column(c).to_pylist() for c in range(3))):
-                m = re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", url or "")
+                m = HOST.match(url or "")
                 host = m[1].lower().rstrip(".") if m else ""
-                labels = host.split(".")
+                last = host.split(".")[-1]
                 t = trigrams(text_of(html))
-                logs = TEMPER * table[:, t].sum(axis=1, dtype=np.float64) if len(t) else np.zeros(k)
+                logs = TEMPER * table[:, t].sum(axis=1, dtype=np.float64) if len(t) else np.zeros(len(table))
                 m = LANG.search(html or "")
-                declared = m[1].lower()[:2] if m else None
-                for said, trust in ((declared, DECLARED), (SUFFIXES.get(labels[-1]), SUFFIX)):
-                    if said in LANGS:
-                        logs = logs + np.log([trust if x == said else (1 - trust) / (k - 1) for x in LANGS])
-                logs = logs - logs.max()
-                out.append((i, host, ".".join(labels[-2:]), declared, *logs.tolist()))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
-
-    import pyarrow as pa
+                said = code_of(m[1]) if m else None
+                out.append((i, host, domain_of(host), last if re.fullmatch("[a-z]{2,24}", last) and "." in host else None, said,
+                            said if said in langs else None, *(logs - logs.max(initial=-math.inf)).tolist()))
+            cols = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    arrow = pa.schema([(n, pa.int64() if n == "page_id" else pa.string() if n in ("host", "domain", "declared") else pa.float64()) for n in names])
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
-    ).mapInArrow(run, schema)
+    ).mapInArrow(run, ", ".join(f"{n} {kind(n)}" for n in names))
 
 
 def _softmax(cols):
-    top = F.greatest(*cols)
+    top = F.greatest(*cols) if len(cols) > 1 else cols[0]
     exps = [F.exp(c - top) for c in cols]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+    return [e / _total(exps) for e in exps]
+
+
+def _total(cols):
+    return sum(cols[1:], cols[0])
+
+
+def _columns(tag: str, n: int) -> list:
+    return [F.col(f"{tag}{i}") for i in range(n)]
+
+
+def _named(cols, tag: str) -> list:
+    return [c.alias(f"{tag}{i}") for i, c in enumerate(cols)]
 
 
-def identify(pages: DataFrame, model) -> DataFrame:
+def _sums(df: DataFrame, keys: list[str], votes: str, tag: str, n: int) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(f"{votes}{i}").alias(f"{tag}{i}") for i in range(n)])
+
+
+def _less(tag: str, votes: str, n: int) -> list:
+    """The sums without the page's own vote."""
+    return [F.greatest(a - b, F.lit(0.0)) for a, b in zip(_columns(tag, n), _columns(votes, n))]
+
+
+def _marked(rows: DataFrame, key: str, langs: list[str], meaning: dict[str, str], trust: float) -> DataFrame:
+    """``rows`` with the log evidence of the mark ``key`` added to e0..: the lift of each language beside the mark over all
+    pages, by the votes p0.. and their sums w0.., smoothed by what the mark means."""
+    n = len(langs)
+    counts = _sums(rows.where(F.col(key).isNotNull()), [key], "p", "m", n).withColumnRenamed(key, "__pl_key")
+    small = counts.limit(100_001).count() <= 100_000
+    rows = rows.join(F.broadcast(counts) if small else counts, F.col(key) == F.col("__pl_key"), "left")
+    own, all_ = _less("m", "p", n), _less("w", "p", n)
+    beside, everywhere = _total(own), _total(all_)
+    says = F.element_at(F.create_map(*[F.lit(x) for kv in meaning.items() for x in kv]), F.col(key)) if meaning else F.lit(None)
+    known = says.isin(langs) if n > 1 else F.lit(False)
+    out = []
+    for lang, mine, total, e in zip(langs, own, all_, _columns("e", n)):
+        lift = mine / F.greatest(total, F.lit(1e-9)) * everywhere
+        prior = F.when(known, F.when(says == lang, trust * n).otherwise((1 - trust) * n / max(1, n - 1))).otherwise(1.0)
+        value = F.log((lift + MARK_WEIGHT * prior) / (beside + MARK_WEIGHT))
+        out.append(e + F.when(F.col("__pl_key").isNotNull(), value).otherwise(0.0))
+    rest = [c for c in rows.columns if not re.fullmatch(r"__pl_key|[me]\d+", c)]
+    return rows.select(*rest, *_named(out, "e"))
+
+
+def identify(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, host, declared, lang, probability for every page."""
-    n = len(LANGS)
+    langs, n = model.langs, len(model.langs)
     rows = durable(_evidence(pages, model))
-    votes = rows.select("page_id", "host", "domain", "declared", *[f"l{i}" for i in range(n)],
-                        *[p.alias(f"p{i}") for i, p in enumerate(_softmax([F.col(f"l{i}") for i in range(n)]))])
-    sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in range(n)]
-    hosts = votes.groupBy("host", "domain").agg(*sums("h"))
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(n)])
-    world = domains.agg(*[F.sum(f"d{i}").alias(f"w{i}") for i in range(n)])  # one row
-    priors = hosts.join(domains, "domain").join(F.broadcast(world)).withColumnsRenamed({"host": "hh", "domain": "hd"})
-    # A few columns for each host; a hot host is split by the adaptive skew join.
-    all_ = votes.join(priors, (F.col("host") == F.col("hh")) & (F.col("domain") == F.col("hd")))
-
-    def less(tag):
-        return [F.greatest(F.col(f"{tag}{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in range(n)]
+    none = lambda kind: F.lit(None).cast(kind)
+    if not n:
+        return rows.select("page_id", "host", "declared", none("string").alias("lang"), none("double").alias("probability"))
+    rows = rows.select("page_id", "host", "domain", "suffix", "declared", "mark", *_named(_columns("l", n), "e"), *_named(_softmax(_columns("l", n)), "p"))
+    rows = rows.join(F.broadcast(_sums(rows, [], "p", "w", n)))  # one row
+    rows = _marked(rows, "mark", langs, {x: x for x in langs}, DECLARED)
+    rows = _marked(rows, "suffix", langs, SUFFIXES, SUFFIX)
+    votes = durable(rows.select("page_id", "host", "domain", "declared", *_columns("e", n), *_named(_softmax(_columns("e", n)), "v")))
+    sizes = votes.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("pages"), *[F.sum(f"v{i}").alias(f"h{i}") for i in range(n)])
+    domains = _sums(sizes, ["domain"], "h", "d", n)
+    world = domains.agg(F.lit(1).alias("one"), *[F.sum(f"d{i}").alias(f"w{i}") for i in range(n)])  # one row
+    total = votes.count()
+    priors = sizes.join(domains, "domain").join(F.broadcast(world)).withColumnsRenamed({"host": "hh", "domain": "hd"})
+    hot = F.broadcast(durable(priors.where(F.col("pages") * HOT > total)))
+    same = (F.col("host") == F.col("hh")) & (F.col("domain") == F.col("hd"))
+    cold = votes.join(F.broadcast(hot.select("hh", "hd")), same, "left_anti")
+    all_ = votes.join(hot, same).unionByName(cold.join(priors.where(F.col("pages") * HOT <= total), same))
 
     def smooth(counts, above, weight):
-        total = sum(counts[1:], counts[0])
-        return [(c + weight * a) / (total + weight) for c, a in zip(counts, above)]
-
-    top = smooth(less("w"), [F.lit(1.0 / n)] * n, 1.0)
-    all_ = all_.select("*", *[c.alias(f"a{i}") for i, c in enumerate(top)])
-    dom = smooth(less("d"), [F.col(f"a{i}") for i in range(n)], DOMAIN_WEIGHT)
-    all_ = all_.select("*", *[c.alias(f"b{i}") for i, c in enumerate(dom)])
-    host = smooth(less("h"), [F.col(f"b{i}") for i in range(n)], HOST_WEIGHT)
-    post = all_.select("page_id", "host", "declared", *[(F.col(f"l{i}") + F.log(c)).alias(f"s{i}") for i, c in enumerate(host)])
-    prob = post.select("page_id", "host", "declared", F.array(*_softmax([F.col(f"s{i}") for i in range(n)])).alias("q"))
+        return [(c + weight * a) / (_total(counts) + weight) for c, a in zip(counts, above)]
+
+    all_ = all_.select("*", *_named(smooth(_less("w", "v", n), [F.lit(1.0 / n)] * n, 1.0), "a"))
+    all_ = all_.select("*", *_named(smooth(_less("d", "v", n), _columns("a", n), DOMAIN_WEIGHT), "b"))
+    host = smooth(_less("h", "v", n), _columns("b", n), HOST_WEIGHT)
+    post = all_.select("page_id", "host", "declared", *_named([e + F.log(c) for e, c in zip(_columns("e", n), host)], "s"))
+    prob = post.select("page_id", "host", "declared", F.array(*_softmax(_columns("s", n))).alias("q"))
     best = F.array_max("q")
     return prob.select("page_id", "host", "declared",
-                       F.element_at(F.array(*[F.lit(x) for x in LANGS]), F.array_position("q", best).cast("int")).alias("lang"),
+                       F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("q", best).cast("int")).alias("lang"),
                        best.alias("probability"))
 
 
