@@ -8,8 +8,10 @@ features of the whole text. The fit takes a bounded sample of labelled rows
 (MAX_FIT, the smallest hashes of doc_id); scoring reads every text whole.
 
 Edge cases: null and empty texts have no words and neutral shape, and are
-scored like any other; labels that are null are not fitted on; of several
-labels of one document the lowest grade counts; without labels
+scored like any other; texts of any length are read whole; labels that are null are not
+fitted on; of several labels of one document the lowest grade counts, and of several
+rows with a labelled doc_id one is fitted on; rows with null or repeated ids are rated
+each by its text; without labels
 every row keeps a probability just over one half of the top grade; a grade that the sample
 lacks gets a smoothed threshold; extra columns pass through ``keep_good``.
 """
@@ -22,6 +24,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MAX_FIT = 8_000
 GRADES = 3
 #: Least documents with a hashed word, and least z of its share in top against lower grades.
@@ -74,10 +78,27 @@ class Model:
         return f, [1 / (1 + math.exp(min(60, max(-60, t - f)))) for t in self.thresholds]
 
 
-def fit(flat, count, shapes, grade) -> Model:
+def telling(df, grades):
+    """Which features tell grades apart. ``df``: documents with each feature, a column for each grade; ``grades``: documents of each.
+
+    At every threshold the shares above and below it are compared, so that words of the lowest grade alone count too.
+    """
+    import numpy as np
+
+    total, n = df.sum(axis=1), grades.sum()
+    share = total / max(n, 1)
+    keep = np.zeros(len(df), dtype=bool)
+    for k in range(1, GRADES):
+        low, high = max(1, grades[:k].sum()), max(1, grades[k:].sum())
+        z = (df[:, k:].sum(axis=1) / high - df[:, :k].sum(axis=1) / low) / np.sqrt(share * (1 - share) * (1 / high + 1 / low) + 1e-12)
+        keep |= np.abs(z) >= MIN_Z
+    return keep & (total >= MIN_DF)
+
+
+def fit(row, key, shapes, grade) -> Model:
     """Full-batch gradient descent (Adam) on the cumulative-link likelihood.
 
-    ``flat`` holds the hashed features of all rows in turn, ``count`` of them for each row.
+    ``row``, ``key``: a row's number and a hashed feature that it has, once for each of its features that are in the model.
     """
     import numpy as np
 
@@ -85,23 +106,12 @@ def fit(flat, count, shapes, grade) -> Model:
     if not len(grade):
         return Model([], [], [0.0] * SHAPES, [0.0] * SHAPES, [-2.0, -0.01])
     top = grade == GRADES - 1
-    owner = np.repeat(np.arange(len(rows)), count)
-    keys, code = np.unique(flat, return_inverse=True) if len(flat) else (flat, flat)
-    df = np.bincount(code, minlength=len(keys)).astype(float)
-    hi = np.bincount(code[top[owner]], minlength=len(keys))
-    n1, n0 = max(1, top.sum()), max(1, (~top).sum())
-    share = df / len(rows)
-    z = (hi / n1 - (df - hi) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    use = np.flatnonzero((df >= MIN_DF) & (np.abs(z) >= MIN_Z))
-    place = np.full(len(keys), -1)
-    place[use] = np.arange(len(use))
-    ok = place[code] >= 0 if len(code) else np.zeros(0, bool)
-    col, row = place[code][ok] if len(code) else flat, owner[ok] if len(code) else flat
+    keys, col = np.unique(key, return_inverse=True)
     shapes = np.cbrt(shapes)
     mean = shapes[top].mean(axis=0) if top.any() else shapes.mean(axis=0)
     shapes = shapes - mean
     weight = np.full(len(rows), 1 / len(rows))
-    w, v = np.zeros(len(use)), np.zeros(SHAPES)
+    w, v = np.zeros(len(keys)), np.zeros(SHAPES)
     t = np.array([-2.0, 0.0])
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v, t)]
@@ -116,7 +126,7 @@ def fit(flat, count, shapes, grade) -> Model:
         gt = np.array([
             (weight * ((grade == k + 1) * slope[k + 1] - (grade == k) * slope[k + 1]) / p).sum() for k in range(GRADES - 1)
         ])
-        grads = (np.bincount(col, weights=g[row], minlength=len(use)) + RIDGE * w, shapes.T @ g + RIDGE * v, gt + RIDGE * t)
+        grads = (np.bincount(col, weights=g[row], minlength=len(keys)) + RIDGE * w, shapes.T @ g + RIDGE * v, gt + RIDGE * t)
         for x, d, (m1, m2) in zip((w, v, t), grads, state):
             m1 *= 0.9
             m1 += 0.1 * d
@@ -124,11 +134,16 @@ def fit(flat, count, shapes, grade) -> Model:
             m2 += 0.01 * d * d
             x -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         t[0] = min(t[0], t[1] - 0.05)
-    return Model(keys[use].tolist(), w.tolist(), v.tolist(), mean.tolist(), t.tolist())
+    return Model(keys.tolist(), w.tolist(), v.tolist(), mean.tolist(), t.tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
-    """Fit on at most ``max_fit`` labelled documents; only their features are collected."""
+    """Fit on at most ``max_fit`` labelled documents.
+
+    Features are counted and chosen by Spark; the driver gets the counts of those that MIN_DF documents have,
+    and for each document only the chosen ones that it has. Of several rows with a labelled doc_id the one with the least
+    hash of its text is taken.
+    """
     import numpy as np
 
     graded = (
@@ -139,26 +154,35 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
         .limit(max_fit)
         .select(F.col("doc_id").alias("__pl_id"), F.least(F.greatest("grade", F.lit(0)), F.lit(GRADES - 1)).alias("__pl_g"))
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(graded), F.col("doc_id") == F.col("__pl_id"))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(graded), F.col("doc_id") == F.col("__pl_id"))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            got = [features(t) for t in b.column(1).to_pylist()]
+            got = [features(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([x[0] for x in got], pa.list_(pa.int64())),
-                 pa.array([x[1] for x in got], pa.list_(pa.float64()))],
-                names=["doc_id", "g", "h", "s"],
+                [*b.columns[:3], pa.array([x[0] for x in got], pa.list_(pa.int64())), pa.array([x[1] for x in got], pa.list_(pa.float64()))],
+                names=["doc_id", "g", "th", "h", "s"],
             )
 
-    got = rows.select("doc_id", "text", "__pl_g").mapInArrow(run, "doc_id long, g int, h array<long>, s array<double>").toArrow()
-    got = got.sort_by("doc_id").combine_chunks()
-    # Whole columns, no Python numbers: a row has some hundred features.
-    lists = [got.column(c).combine_chunks() for c in ("h", "s")]
-    counts = np.asarray(lists[0].value_lengths(), dtype=np.int64)
-    shapes = lists[1].flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES)
-    return fit(lists[0].flatten().to_numpy(zero_copy_only=False), counts, shapes, got.column("g").to_numpy())
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__pl_g").alias("g"), "th", "text").mapInArrow(
+        run, "doc_id long, g int, th long, h array<long>, s array<double>"
+    )
+    found = stored(found.groupBy("doc_id").agg(F.min_by(F.struct("g", "h", "s"), "th").alias("x")).select("doc_id", "x.*"))
+    flat = found.select("doc_id", "g", F.explode("h").alias("h"))
+    counts = [F.count_if(F.col("g") == k).alias(f"n{k}") for k in range(GRADES)]
+    head = found.select("doc_id", "g", "s").toArrow().sort_by("doc_id").combine_chunks()
+    grade = head.column("g").to_numpy()
+    table = flat.groupBy("h").agg(*counts).where(sum((F.col(f"n{k}") for k in range(1, GRADES)), F.col("n0")) >= MIN_DF).toArrow().sort_by("h")
+    df = np.stack([table.column(f"n{k}").to_numpy() for k in range(GRADES)], axis=1).astype(float)
+    chosen = table.column("h").to_numpy()[telling(df, np.bincount(grade, minlength=GRADES))] if len(grade) else np.zeros(0, np.int64)
+    shared = docs.sparkSession.createDataFrame([(int(x),) for x in chosen], "h long")
+    some = flat.join(F.broadcast(shared), "h", "left_semi").select("doc_id", "h").toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    row = np.searchsorted(head.column("doc_id").to_numpy(), some.column("doc_id").to_numpy())
+    shapes = head.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPES)
+    return fit(row, some.column("h").to_numpy(), shapes, grade)
 
 
 def rate(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
