@@ -204,47 +204,59 @@ def make_parts(items: list[tuple]) -> list[tuple]:
     return out
 
 
-def _search(texts: list, index: Index, threshold: float):
-    """For each text, {part: (score, question overlap, answer overlap)} of the verified hits."""
+def _search(texts: list, index: Index, threshold: float, most: int = 1 << 15):
+    """For each text, {part: (score, question overlap, answer overlap)} of the verified hits. The passages of texts of
+    about ``most`` known words in all are queried together."""
     import numpy as np
 
     get = index.ids.get
-    found: list[dict] = []
-    for text in texts:
+    found: list[dict] = [{} for _ in texts]
+    asked, wins, terms, base, size = [], [], [], 0, 0
+    for k, text in enumerate(texts):
         ws = words_of(text)
-        hits: dict[int, tuple] = {}
-        found.append(hits)
         ids = np.array([get(w, -1) for w in ws], dtype=np.int64)
         at = np.flatnonzero(ids >= 0)
-        if not len(at):
-            continue
-        term = ids[at]
-        last = max(0, -(-(len(ws) - PASSAGE) // STRIDE))
-        # A word lies in the passage that starts in its own stride and in the one before.
-        chunk = at // STRIDE
-        win = np.concatenate([np.minimum(chunk, last), np.clip(chunk - 1, 0, last)])
-        pair = np.unique(win * len(index.ids) + np.concatenate([term, term]))
-        have, of = set(), -1
-        for w, d, score in zip(*(x.tolist() for x in index.wand(pair // len(index.ids), pair % len(index.ids), threshold))):
-            if w != of:
-                have, of = _shingles(ws[w * STRIDE : w * STRIDE + PASSAGE]), w
-            _, part, q, a = index.parts[d]
-            if len(part) < SHINGLE:
-                text_of = " " + " ".join(ws[w * STRIDE : w * STRIDE + PASSAGE]) + " "
-                qo = ao = float(" " + " ".join(part) + " " in text_of)
-            else:
-                qo, ao = _held(q, have, ws, w), _held(a, have, ws, w)
-            if (qo < OVERLAP or ao < OVERLAP) and len(part) >= SHINGLE:
-                # An edited copy may reach over the passage's ends by the words that were put in.
-                room = ws[max(0, w * STRIDE - STRIDE // 4) : w * STRIDE + PASSAGE + STRIDE // 4]
-                wrong = _edits(part, room)
-                if (len(part) - wrong) / len(part) >= OVERLAP:
-                    qo = ao = (len(part) - wrong) / len(part)
-            if qo >= OVERLAP and ao >= OVERLAP and (d not in hits or score > hits[d][0]):
-                hits[d] = (score, qo, ao)
+        if len(at):
+            last = max(0, -(-(len(ws) - PASSAGE) // STRIDE))
+            # A word lies in the passage that starts in its own stride and in the one before.
+            chunk = at // STRIDE
+            wins += [np.minimum(chunk, last) + base, np.clip(chunk - 1, 0, last) + base]
+            terms += [ids[at]] * 2
+            asked.append((k, ws, base))
+            base, size = base + last + 1, size + len(at)
+        if asked and (size >= most or k == len(texts) - 1):
+            pair = np.unique(np.concatenate(wins) * len(index.ids) + np.concatenate(terms))
+            first = [x[2] for x in asked]
+            win, part, score = index.wand(pair // len(index.ids), pair % len(index.ids), threshold)
+            of = np.searchsorted(first, win, "right") - 1
+            have, shown = set(), -1
+            for w, d, x, i in zip(win.tolist(), part.tolist(), score.tolist(), of.tolist()):
+                k_, ws_, base_ = asked[i]
+                if w != shown:
+                    have, shown = _shingles(ws_[(w - base_) * STRIDE : (w - base_) * STRIDE + PASSAGE]), w
+                _verify(found[k_], index, d, x, ws_, w - base_, have)
+            asked, wins, terms, base, size = [], [], [], 0, 0
     return found
 
 
+def _verify(hits: dict, index: Index, d: int, score: float, ws: list[str], w: int, have: set) -> None:
+    """Put part ``d`` among the hits if passage ``w`` of the words holds its question and answer, or all of it but a few edits."""
+    _, part, q, a = index.parts[d]
+    if len(part) < SHINGLE:
+        text_of = " " + " ".join(ws[w * STRIDE : w * STRIDE + PASSAGE]) + " "
+        qo = ao = float(" " + " ".join(part) + " " in text_of)
+    else:
+        qo, ao = _held(q, have, ws, w), _held(a, have, ws, w)
+    if (qo < OVERLAP or ao < OVERLAP) and len(part) >= SHINGLE:
+        # An edited copy may reach over the passage's ends by the words that were put in.
+        room = ws[max(0, w * STRIDE - STRIDE // 4) : w * STRIDE + PASSAGE + STRIDE // 4]
+        wrong = _edits(part, room)
+        if (len(part) - wrong) / len(part) >= OVERLAP:
+            qo = ao = (len(part) - wrong) / len(part)
+    if qo >= OVERLAP and ao >= OVERLAP and (d not in hits or score > hits[d][0]):
+        hits[d] = (score, qo, ao)
+
+
 def _held(need: set, have: set, ws: list[str], w: int) -> float:
     short = [s for s in need if len(s) < SHINGLE]
     n = len(need & have)
