@@ -84,7 +84,7 @@ def test_budget_shares(spark):
 def test_budget_is_given_whole(spark):
     """The sum given is the budget or all that is usable; each leaf gets what a plain water-filling gives it."""
     rand = np.random.default_rng(21)
-    for _ in range(6):
+    for _ in range(4):
         leaves = {
             (f"d{rand.integers(3)}", f"l{rand.integers(3)}", f"s{rand.integers(4)}"): int(rand.choice([0, 3, 50, 1000, 20000])) for _ in range(14)
         }
@@ -150,7 +150,7 @@ def test_mixture_of_repeated_and_null_ids(spark):
     rows = [(None, " ".join(["w"] * int(k)) + f" t{i}", "en", "src1") for i, k in enumerate(rand.integers(1, 9, 60))]
     rows += [(7, f"some text number {i}", "en", "src1") for i in range(40)] + [(8, "equal words here", "fr", "src1")] * 5 + [(9, None, None, None), (10, "", "en", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("budget", F.lit("mine")).withColumn("tokens", F.lit(3))
-    for share in (0.2, 0.4, 1.0, 2.5):
+    for share in (0.4, 2.5):
         chosen = mixture.select(mixture.with_domain(df), budget_share=share).collect()
         out = mixture.mix(df, budget_share=share)
         assert out.columns == df.columns
@@ -640,8 +640,8 @@ def test_hits_equal_a_plain_search(spark, n):
     say = lambda k: [str(rand.choice(common)) if rand.random() < 0.5 else str(rand.choice(rare)) for _ in range(k)]
     items = [(i, " ".join(say(int(rand.integers(3, 30))))) for i in range(n)]
     docs = []
-    for i in range(25):
-        ws = say(int(rand.integers(20, 400)))
+    for i in range(15):
+        ws = say(int(rand.integers(20, 250)))
         own = decontam.words_of(items[int(rand.integers(n))][1])
         if i % 3 == 1 and len(own) > 6:
             own[len(own) // 2] = "edited"
@@ -670,7 +670,7 @@ def test_hits_equal_a_plain_search(spark, n):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for slice_bytes in (1 << 24, 60_000):
         got = [(r[0] or 0, r[1], *(round(x, 9) for x in r[2:])) for r in map(tuple, decontam.hits(df, bench, slice_bytes=slice_bytes).collect())]
-        assert len(got) >= 10 and sorted(x[:2] for x in got) == sorted(x[:2] for x in want)
+        assert len(got) >= 6 and sorted(x[:2] for x in got) == sorted(x[:2] for x in want)
         flat = lambda rows: [v for x in sorted(rows) for v in x[2:]]
         assert flat(got) == pytest.approx(flat(want), abs=1e-7)
         clean = decontam.drop_contaminated(df, bench, slice_bytes=slice_bytes).count()
