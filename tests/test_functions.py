@@ -95,7 +95,9 @@ def test_topk_and_residual_add_up(spark, values, k):
 )
 def test_weighted_average_golden(spark, updates, expected):
     df = spark.createDataFrame([(0, n, [float(x) for x in v]) for n, v in updates], "t int, sample_count long, values array<float>")
-    assert aggregate.average_arrays(df, ["t"]).first()["values"] == pytest.approx(expected, abs=1e-3)
+    long = df.select("t", "sample_count", F.posexplode("values").alias("idx", "value"))
+    got = [r["value"] for r in aggregate.weighted_average(long, ["t", "idx"]).orderBy("idx").collect()]
+    assert got == pytest.approx(expected, abs=1e-3)
 
 
 def test_zero_samples_keep_the_local_value(spark):
