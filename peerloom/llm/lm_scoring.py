@@ -44,6 +44,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ from .common import stored
 
 FOLDS, HELD = 7, 2
 #: Frequent words that have a path of their own, and those that describe a topic.
-FREQUENT, TOPICS, TOPIC_WORDS = 255, 8, 255
+FREQUENT, TOPICS, TOPIC_WORDS = 127, 8, 127
 #: Most slots of the tables: two bytes each on every worker.
 PATH_BITS, SPELL_BITS = 21, 21
 #: Bytes of text in a chunk, and in the pieces in which it is read.
@@ -95,12 +96,36 @@ def _sums(values, sizes):
     return np.add.reduceat(values * _powers(int(sizes.max()))[pos], first) if len(sizes) else np.zeros(0, np.uint64)
 
 
+def _words(data, start, size):
+    """Hashes of words: each eight bytes (the last ones filled up with zeros) and then the length are mixed in."""
+    import numpy as np
+
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,)) if len(padded) >= 8 else None
+    h, at = np.zeros(len(start), dtype=np.uint64), 0
+    live = np.arange(len(start))
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        part = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        h[live] = _final(h[live] * np.uint64(ODD) + part)
+        at += 8
+        live = live[size[live] > at]
+    return _final(h + size.astype(np.uint64))
+
+
 def hash_of(words: list[bytes]):
     """Hashes of words, as ``Tokens`` has them."""
     import numpy as np
 
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    return _final(_sums(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint64) + np.uint64(1), sizes))
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    return _words(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(size) - size, size)
+
+
+@functools.cache
+def _end_hash():
+    return hash_of([END])[0]
 
 
 class Tokens:
@@ -119,7 +144,7 @@ class Tokens:
         self.data = data
         self.start, self.size, self.hash, self.doc = (
             np.concatenate(x) if parts else np.zeros(0, t)
-            for x, t in zip(zip(*parts) if parts else [[]] * 4, (np.int64, np.int64, np.uint64, np.int64))
+            for x, t in zip(zip(*parts) if parts else [[]] * 4, (np.int32, np.int32, np.uint64, np.int32))
         )
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
 
@@ -129,23 +154,26 @@ class Tokens:
 
         x = data[offsets[0] : offsets[-1]]
         at = offsets - offsets[0]
+        # With a space on either side and between texts, a word is where the mask changes.
         inside = ~((x == 32) | ((x >= 9) & (x <= 13)))
-        head = np.ones(len(x), dtype=bool)
-        head[1:] = ~inside[:-1]
-        head[at[:-1][at[:-1] < len(x)]] = True
-        starts = np.flatnonzero(inside & head)
-        packed = x[inside]
-        place = (np.cumsum(inside) - 1)[starts]
-        sizes = np.diff(np.append(place, len(packed)))
-        hashes = _final(_sums(packed.astype(np.uint64) + np.uint64(1), sizes))
+        head, tail = inside.copy(), inside.copy()
+        head[1:] &= ~inside[:-1]
+        tail[:-1] &= ~inside[1:]
+        edge = at[:-1][(at[:-1] < len(x)) & (np.diff(at) > 0)]
+        head[edge] = inside[edge]
+        edge = at[1:][np.diff(at) > 0] - 1
+        tail[edge] = inside[edge]
+        starts = np.flatnonzero(head)
+        sizes = np.flatnonzero(tail) - starts + 1
+        hashes = _words(x, starts, sizes)
         many = np.diff(np.searchsorted(starts, at))
         n = len(many)
         doc = np.repeat(np.arange(n), many)
         own, end = np.arange(len(starts)) + doc, np.cumsum(many) + np.arange(n)
-        start, size = np.empty(len(starts) + n, dtype=np.int64), np.empty(len(starts) + n, dtype=np.int64)
-        h, d = np.empty(len(start), dtype=np.uint64), np.empty(len(start), dtype=np.int64)
+        start, size, d = (np.empty(len(starts) + n, dtype=np.int32) for _ in range(3))
+        h = np.empty(len(start), dtype=np.uint64)
         start[own], size[own], h[own], d[own] = starts + offsets[0], sizes, hashes, doc + base
-        start[end], size[end], h[end], d[end] = -1, 1, hash_of([END])[0], np.arange(n) + base
+        start[end], size[end], h[end], d[end] = -1, 1, _end_hash(), np.arange(n) + base
         return start, size, h, d
 
     def symbols(self, paths):
@@ -214,7 +242,7 @@ class Paths:
         while len(left):
             slot = (h[left] >> np.uint64(48)).astype(np.intp)
             _, first = np.unique(slot, return_index=True)
-            layer = np.full(1 << 16, -1)
+            layer = np.full(1 << 16, -1, dtype=np.int32)
             layer[slot[first]] = left[first]
             self.layers.append(layer)
             left = np.delete(left, first)
@@ -223,7 +251,7 @@ class Paths:
     def symbols(self, hashes):
         import numpy as np
 
-        slot, out = (hashes >> np.uint64(48)).astype(np.intp), np.full(len(hashes), len(self.words))
+        slot, out = (hashes >> np.uint64(48)).astype(np.intp), np.full(len(hashes), len(self.words), dtype=np.int32)
         for layer in self.layers:
             found = layer[slot]
             out = np.where((found >= 0) & (self.hashes[found] == hashes), found, out)
@@ -359,21 +387,21 @@ def decisions(tokens: Tokens, paths: Paths, topic, bits: int, most: int = 1 << 1
     import numpy as np
 
     p, q = tokens.before()
-    z = topic[tokens.doc].astype(np.uint64) + np.uint64(1)
-    last = np.zeros(len(p), dtype=np.uint64)
-    has = np.flatnonzero(p)
-    last[has] = tokens.data[tokens.start[has - 1] + tokens.size[has - 1] - 1]
-    orders = [z, p, p * np.uint64(3) + q * np.uint64(0xC2B2AE3D27D4EB4F), last * np.uint64(64) + z]
-    orders = [_high((v + np.uint64(k)) * np.uint64(ODD)) for k, v in enumerate(orders)]
-    symbol = tokens.symbols(paths)
+    symbol, topic = tokens.symbols(paths), topic.astype(np.uint64) + np.uint64(1)
     for a in range(0, len(symbol), most):
         z = min(len(symbol), a + most)
+        own, p_, q_ = topic[tokens.doc[a:z]], p[a:z], q[a:z]
+        last = np.zeros(z - a, dtype=np.uint64)
+        has = np.flatnonzero(p_) + a
+        last[has - a] = tokens.data[tokens.start[has - 1] + tokens.size[has - 1] - 1]
+        orders = [own, p_, p_ * np.uint64(3) + q_ * np.uint64(0xC2B2AE3D27D4EB4F), last * np.uint64(64) + own]
+        orders = [_high((v + np.uint64(k)) * np.uint64(ODD)) for k, v in enumerate(orders)]
         depth = paths.depth[symbol[a:z]]
         owner = np.repeat(np.arange(z - a), depth)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
         at = paths.at[symbol[a:z]][owner] + step
         node = paths.salt[at]
-        yield a, z, owner, paths.bits[at], np.minimum(step, LANES - 1), [_slot(v[a:z][owner], node, bits) for v in orders]
+        yield a, z, owner, paths.bits[at], np.minimum(step, LANES - 1), [_slot(v[owner], node, bits) for v in orders]
 
 
 def path_costs(tokens: Tokens, paths: Paths, topic, table, mix: Mix, held, learn: bool = False):
@@ -545,26 +573,18 @@ def blended(blend, bits, in_topic, in_all, topic_total, total: float, own):
 def _rows(docs: DataFrame) -> DataFrame:
     key = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
-        F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         (key % FOLDS == HELD).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
 
 
-def _lower():
-    import numpy as np
-
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table
-
-
 def _chunks(batches):
     """Bounded chunks of a task's texts: (chunk number, ids, held out as 0 and 1, bytes, tokens)."""
     import numpy as np
     from pyspark import TaskContext
 
-    part, seq, lower = TaskContext.get().partitionId(), 0, _lower()
+    part, seq = TaskContext.get().partitionId(), 0
     for b in batches:
         text = b.column(2)
         off = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
@@ -573,7 +593,7 @@ def _chunks(batches):
         at = 0
         while at < len(ids):
             stop = max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, "right")) - 1)
-            tokens = Tokens(lower[raw[off[at] : off[stop]]], off[at : stop + 1] - off[at])
+            tokens = Tokens(np.frombuffer(raw[off[at] : off[stop]].tobytes().lower(), dtype=np.uint8), off[at : stop + 1] - off[at])
             # A number that another cut of the texts would not give.
             places = tokens.doc.astype(np.uint64) * np.uint64(2) + np.uint64(1)
             digest = np.concatenate([np.array([part, seq, stop - at], dtype=np.uint64), tokens.hash * places])
@@ -698,12 +718,16 @@ def _learn_paths(rows: DataFrame, paths, topics, bits: int):
     sc = rows.sparkSession.sparkContext
 
     def count(batches):
-        table = np.zeros(2 << bits, dtype=np.float32)
+        table, hits, many = np.zeros(2 << bits, dtype=np.float32), [], 0
         for _, _, held, _, tokens in _chunks(batches):
             z = topics.value.of(tokens, paths.value)[held == 0]
             for _, _, _, bit, _, slots in decisions(_training(tokens, held), paths.value, z, bits):
-                for s in slots:
-                    np.add.at(table, s * 2 + bit, np.float32(1))
+                hits += [(s * 2 + bit).astype(np.int32) for s in slots]
+                many += len(slots) * len(bit)
+                if many > 4 << bits:
+                    table += np.bincount(np.concatenate(hits), minlength=2 << bits)
+                    hits, many = [], 0
+        table += np.bincount(np.concatenate([*hits, np.zeros(0, np.int32)]), minlength=2 << bits)
         yield from _pieces(table)
 
     table = sc.broadcast(_table(_few(rows).mapInArrow(count, BLOB), bits))
@@ -772,8 +796,8 @@ def _units(tokens: Tokens, paths: Paths, topic):
 
 
 def _chunk_units(rows: DataFrame, paths, topics) -> DataFrame:
-    """chunk, z (topic), at (index in the chunk), word, c (its count in the chunk's training texts): the distinct rare words of
-    each chunk and topic, and the distinct runs, as a space and eight bytes, with topic 0."""
+    """chunk, z (topic), at (index in the chunk), word, c and n (its count in the chunk's training texts and in all): the
+    distinct rare words of each chunk and topic, and the distinct runs, as a space and eight bytes, with topic 0."""
 
     def run(batches):
         import numpy as np
@@ -784,34 +808,49 @@ def _chunk_units(rows: DataFrame, paths, topics) -> DataFrame:
             size, ok = len(where) + len(runs), place >= 0
             c = np.bincount(index, weights=1 - held[tokens.doc[rare]], minlength=size).astype(np.float64)
             c = (c + np.bincount(place[ok], weights=1 - held[tokens.doc[at[ok]]], minlength=size)).astype(np.int64)
+            n = np.bincount(index, minlength=size) + np.bincount(place[ok], minlength=size)
             z = np.concatenate([z, np.zeros(len(runs), np.int64)])
             for a in range(0, size, 50_000):
                 few = tokens.words(where[a : a + 50_000]) + [b" " + x.tobytes() for x in runs[max(0, a - len(where)) : max(0, a + 50_000 - len(where))]]
                 e = a + len(few)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(few), number), pa.int64()), pa.array(z[a:e], pa.int32()), pa.array(np.arange(a, e), pa.int32()),
-                     pa.array(few, pa.binary()), pa.array(c[a:e], pa.int64())],
-                    names=["chunk", "z", "at", "word", "c"],
+                     pa.array(few, pa.binary()), pa.array(c[a:e], pa.int64()), pa.array(n[a:e], pa.int64())],
+                    names=["chunk", "z", "at", "word", "c", "n"],
                 )
 
-    return rows.mapInArrow(run, "chunk long, z int, at int, word binary, c long")
+    return rows.mapInArrow(run, "chunk long, z int, at int, word binary, c long, n long")
 
 
 def _vocabulary(units: DataFrame) -> DataFrame:
     """word (runs begin with a space), c (its count in training tokens; 0 for words of held-out texts only),
-    topics (bits), cz (counts by topic). A run that no training text holds is not needed."""
+    topics (bits), cz (counts by topic). Runs that no training text holds, or that occur once in all, are not needed."""
     run = F.substring("word", 1, 1) == F.lit(b" ")
     return (
-        units.where((F.col("c") > 0) | ~run)
-        .groupBy("word")
+        units.groupBy("word")
         .agg(
             F.sum("c").alias("c"),
+            F.sum("n").alias("n"),
             F.bit_or(F.expr("shiftleft(1, z)")).alias("topics"),
             F.array(*[F.coalesce(F.sum(F.when(F.col("z") == k, F.col("c"))), F.lit(0)) for k in range(TOPICS)]).alias("cz"),
         )
+        .where(~run | ((F.col("c") > 0) & (F.col("n") > 1)))
+        .drop("n")
     )
 
 
+def _pack(x):
+    """Numbers below 2^32 as their low and then their high halves, which compress better apart."""
+    return (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes()
+
+
+def _unpack(raw: bytes):
+    import numpy as np
+
+    low, high = np.frombuffer(raw, dtype="<u2").reshape(2, -1).astype(np.int64)
+    return low + (high << 16)
+
+
 def _learn_spelling(vocab: DataFrame, size: int, total: int, topic_total):
     """Spelling counts of all training words, and mixer and blend learned on all of them in groups of about GROUP."""
     import numpy as np
@@ -887,7 +926,7 @@ def learn(rows: DataFrame) -> Learned:
         F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), *[F.sum(F.get("cz", F.lit(k))).alias(f"z{k}") for k in range(TOPICS)]
     ).collect()
     word = next((r for r in head if not r["run"]), None)
-    runs = next((int(r["n"]) for r in head if r["run"]), 0)
+    runs = int(units.where(is_run).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()["n"])
     rare, rare_v, by_topic = (int(word["n"]), int(word["v"]), [int(word[f"z{k}"]) for k in range(TOPICS)]) if word else (0, 0, [0] * TOPICS)
     v = rare_v + int((paths.value.counts[:-1] > 0).sum())
     spell_table, spell_mix, blend = _learn_spelling(vocab, rare_v, rare, by_topic)
@@ -912,10 +951,11 @@ def score(docs: DataFrame) -> DataFrame:
             at = [i for i, w in enumerate(words) if w[:1] != b" "]
             if at:
                 bits[at] = spell([words[i] for i in at], z[at], cz[at], spell_table.value, spell_mix)
-            yield pd.DataFrame({"word": words, "z": z, "c": pdf["c"], "cz": cz, "bits": bits})
+            yield pd.DataFrame({"key": pdf["key"], "c": pdf["c"], "cz": cz, "bits": bits})
 
     present = vocab.select("word", "c", "topics", F.posexplode("cz").alias("z", "cz")).where("(shiftright(topics, z) & 1) = 1")
-    costs = present.select("word", "z", "c", "cz").mapInPandas(cost, "word binary, z int, c long, cz long, bits float")
+    key = F.xxhash64("word", "z").alias("key")  # half as wide as words; that two words of a corpus share one is not to be expected
+    costs = present.select(key, "word", "z", "c", "cz").mapInPandas(cost, "key long, c long, cz long, bits float")
 
     def chunk_docs(batches):
         import numpy as np
@@ -936,67 +976,73 @@ def score(docs: DataFrame) -> DataFrame:
             n_tokens = np.diff(tokens.first)
             n_common = np.bincount(tokens.doc, weights=common, minlength=len(ids)).astype(np.int64)
             base = np.bincount(tokens.doc, weights=base, minlength=len(ids))
-            cut = lambda x, edges, a, e: [x[edges[i] : edges[i + 1]].tobytes() for i in range(a, e)]
-            index, place = index.astype("<i4"), place.astype("<i4")
+            cut = lambda x, edges, a, e, form: [form(x[edges[i] : edges[i + 1]]) for i in range(a, e)]
+            place = place + 1  # 0: a run that is too short
             for a in range(0, len(ids), 1000):
                 e = min(a + 1000, len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(e - a, number), pa.int64()), pa.array(z[a:e], pa.int32()), pa.array(ids[a:e], pa.string()),
+                    [pa.array(np.full(e - a, number), pa.int64()), pa.array(z[a:e], pa.int32()), pa.array(ids[a:e], pa.int64()),
                      pa.array(held[a:e] > 0, pa.bool_()), pa.array(n_tokens[a:e], pa.int64()), pa.array(n_common[a:e], pa.int64()),
-                     pa.array(base[a:e], pa.float64()), pa.array(n_bytes[a:e] + 1, pa.int64()), pa.array(cut(index, rare_doc, a, e), pa.binary()),
-                     pa.array(cut(place, run_doc, a, e), pa.binary()), pa.array(cut(run_rare, run_doc, a, e), pa.binary()),
-                     pa.array(cut(run_path, run_doc, a, e), pa.binary())],
+                     pa.array(base[a:e], pa.float64()), pa.array(n_bytes[a:e] + 1, pa.int64()), pa.array(cut(index, rare_doc, a, e, _pack), pa.binary()),
+                     pa.array(cut(place, run_doc, a, e, _pack), pa.binary()), pa.array(cut(run_rare, run_doc, a, e, _pack), pa.binary()),
+                     pa.array(cut(run_path, run_doc, a, e, np.ndarray.tobytes), pa.binary())],
                     names=names,
                 )
 
     schema = (
-        "chunk long, z int, doc_id string, held_out boolean, n_tokens long, n_common long, common double, n_bytes long, rare binary, "
+        "chunk long, z int, doc_id long, held_out boolean, n_tokens long, n_common long, common double, n_bytes long, rare binary, "
         "run binary, run_rare binary, run_path binary"
     )
     names = [x.split()[0] for x in schema.split(", ")]
     texts = rows.mapInArrow(chunk_docs, schema)
-    priced = m.units.select("chunk", "z", "at", "word").join(costs, ["word", "z"]).select("chunk", "z", "at", "c", "cz", "bits")
+    # Index and topic in one number.
+    asked = m.units.select("chunk", (F.col("at").cast("long") * TOPICS + F.col("z")).alias("place"), key)
+    priced = asked.join(costs, "key").select("chunk", "place", "c", "cz", "bits")
 
     def sums(prices, docs):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        top = lambda name: max((int(np.frombuffer(x, dtype="<i4").max()) + 1 for x in docs[name] if len(x)), default=0)
-        at = prices["at"].to_numpy() if len(prices) else np.zeros(0, np.int64)
-        if not len(docs) or len(np.unique(at[at < top("rare")])) != top("rare"):
+        col = lambda t, name: t.column(name).combine_chunks().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, np.int64)
+        blob = lambda name, form=_unpack: [form(x) for x in docs.column(name).to_pylist()]
+        if not docs.num_rows:
+            raise RuntimeError("the scans of the texts do not agree; score a table or a checkpoint")
+        rares, run, many = blob("rare"), [x - 1 for x in blob("run")], blob("run_rare")
+        path = blob("run_path", lambda x: np.frombuffer(x, dtype="<f4"))
+        need = max((int(x.max()) + 1 for x in rares if len(x)), default=0)
+        at, topic_of = col(prices, "place") // TOPICS, col(prices, "place") % TOPICS
+        seen = np.zeros(max([need, *(int(x.max()) + 1 for x in run), int(at.max(initial=-1)) + 1]), dtype=bool)
+        seen[at] = True
+        if not seen[:need].all():
             raise RuntimeError("the scans of the texts do not agree; score a table or a checkpoint")
-        size = max(top("rare"), top("run"), int(at.max()) + 1 if len(at) else 0)
-        c = np.zeros(size)
-        unit = [np.zeros(size), np.zeros(size)]  # log10 of each word as it stands, and less an own occurrence
+        c = np.zeros(len(seen))
+        unit = [np.zeros(len(seen)), np.zeros(len(seen))]  # log10 of each word as it stands, and less an own occurrence
         if len(at):
-            c[at] = prices["c"]
-            topic_total = np.array(by_topic, dtype=np.float64)[prices["z"].to_numpy()]
-            spelled, cz, all_ = (prices[k].to_numpy().astype(np.float64) for k in ("bits", "cz", "c"))
+            c[at] = col(prices, "c")
+            topic_total = np.array(by_topic, dtype=np.float64)[topic_of]
+            spelled, cz, all_ = (col(prices, k).astype(np.float64) for k in ("bits", "cz", "c"))
             for own in (0, 1):
                 unit[own][at] = blended(blend, spelled, cz, all_, topic_total, rare, own)
         known, base_of = c > 0, np.log10(c + 1)
         out = []
-        for row in docs.itertuples(index=False):
-            idx = np.frombuffer(row.rare, dtype="<i4")
-            own = 0 if row.held_out else 1
-            rare_cost = unit[own][idx]
-            run, many = np.frombuffer(row.run, dtype="<i4"), np.frombuffer(row.run_rare, dtype="<i4")
-            plain = np.bincount(np.repeat(np.arange(len(run)), many), weights=rare_cost, minlength=len(run)) + np.frombuffer(row.run_path, dtype="<f4")
-            s = run_costs(plain, run, c, runs, own) + float(topics.value.cost[row.z])
-            base = row.common + float(base_of[idx].sum()) - row.n_tokens * float(np.log10(n + v + 1.0))
-            out.append((row.doc_id, row.held_out, row.n_tokens, row.n_common + int(known[idx].sum()), n, base, s, row.n_bytes,
-                        -s * 3.3219280948873626 / row.n_bytes))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    found = priced.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInPandas(sums, SCHEMA.replace("doc_id long", "doc_id string"))
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # ids pass through pandas as text: a long with nulls would be a float
+        rows = zip(*(docs.column(k).to_pylist() for k in ("doc_id", "held_out", "z", "n_tokens", "n_common", "common", "n_bytes")))
+        for k, (doc_id, held, z, n_tokens, n_common, common, n_bytes) in enumerate(rows):
+            idx = rares[k]
+            own = 0 if held else 1
+            plain = np.bincount(np.repeat(np.arange(len(run[k])), many[k]), weights=unit[own][idx], minlength=len(run[k])) + path[k]
+            s = run_costs(plain, run[k], c, runs, own) + float(topics.value.cost[z])
+            base = common + float(base_of[idx].sum()) - n_tokens * math.log10(n + v + 1.0)
+            out.append((doc_id, held, n_tokens, n_common + int(known[idx].sum()), n, base, s, n_bytes, -s * 3.3219280948873626 / n_bytes))
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in SCHEMA.split(", ")])
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return priced.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(sums, SCHEMA)
 
 
 def run_costs(plain, run, count, total: int, own: int) -> float:
     """log10 of a text, from that of each of its runs (``plain``): a run that training texts hold, or that came before in
     this text, is named instead where that costs less. The flag's counts adapt along the text."""
-    import math
-
     import numpy as np
 
     long = np.flatnonzero(run >= 0)
@@ -1024,7 +1070,6 @@ SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
     "n_bytes long, bits_per_byte double"
 )
-COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def op1_query(spark, sf_dir) -> DataFrame:

@@ -25,7 +25,10 @@ def poly(values):
 
 
 def word_hash(w):
-    return final(poly([b + 1 for b in w]))
+    h = 0
+    for a in range(0, len(w), 8):
+        h = final((h * lm.ODD + int.from_bytes(w[a : a + 8], "little")) & MASK)
+    return final(h + len(w) & MASK)
 
 
 def sequence(text):
