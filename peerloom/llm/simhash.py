@@ -36,12 +36,12 @@ from .common import components, durable, tokens_of
 
 RADIUS = 2
 #: Two texts of equal length and cosine 0.8 share 2/3 of their shingles in union, and
-#: miss all VIEWS with probability (1 - (2/3)^3)^18 = 0.002 (of unequal length: less than 0.007).
-VIEWS, SAMPLE, SIMILARITY, SHINGLE = 18, 3, 0.8, 5
+#: miss all VIEWS with probability (1 - (2/3)^4)^24 = 0.005 (of unequal length: less than 0.02).
+VIEWS, SAMPLE, SIMILARITY, SHINGLE = 24, 4, 0.8, 5
 #: Most shingles of a text that gets keys of its subsets; views miss short texts more often.
 SHORT = 10
 #: Documents of one candidate group that one task compares at a time, and those that all blocks are compared with.
-BLOCK, HUBS = 1000, 8
+BLOCK, HUBS = 2500, 8
 
 
 def shingle_hashes(words: list[bytes], n: int):
@@ -84,8 +84,11 @@ def _views(h, views: int, sample: int) -> list[int]:
         mixed *= np.uint64(0x94D049BB133111EB)
         take = np.argpartition(mixed, sample - 1)[:sample] if len(mixed) > sample else slice(None)
         some = distinct[take].tolist()
-        # A bit that is set in over half of three is set in two of them.
-        out.append((some[0] & some[1]) | (some[0] & some[2]) | (some[1] & some[2]) if len(some) == 3 else simhash(distinct[take]))
+        if len(some) == 4:  # a bit that is set in over half of four is set in three of them
+            a, b, c, d = some
+            out.append((a & b & (c | d)) | (c & d & (a | b)))
+        else:
+            out.append(simhash(distinct[take]))
     return out
 
 
