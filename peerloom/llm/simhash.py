@@ -167,13 +167,17 @@ def _cell(fp: str):
 
 
 def range_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct long ``fp`` values (signed order) that differ in 1 to ``radius`` bits."""
+    """Pairs ``a`` < ``b`` of distinct long ``fp`` values (signed order) that differ in 1 to ``radius`` bits.
+
+    Spark takes an exploded table for no larger than what it was exploded from, and would broadcast 33 rows
+    for each point through the driver; the merge join keeps them on the executors.
+    """
     if not 0 < radius <= 2:
         raise ValueError("the grid registers points one step around their cell: radius 1 or 2")
     cell = points.select("fp", _cell("fp").alias("c"))
     steps = [F.col("c")] + [F.col("c") + F.lit(s << (4 * i)) for i in range(16) for s in (1, -1)]
     grid = cell.select("fp", F.explode(F.array(*steps)).alias("cell"))
-    a, b = grid.alias("x"), grid.alias("y")
+    a, b = grid.alias("x"), grid.alias("y").hint("merge")
     return (
         a.join(b, F.expr(f"x.cell = y.cell and x.fp < y.fp and bit_count(x.fp ^ y.fp) <= {radius}"))
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))

@@ -239,6 +239,15 @@ def test_range_join_finds_all(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
 
 
+def test_range_join_broadcasts_no_grid(spark):
+    # 33 rows for each point, which Spark takes for one: as a broadcast they filled the driver's heap.
+    pairs = simhash.range_join(spark.range(300).select(F.col("id").alias("fp")))
+    assert pairs.count() == sum(0 < (x ^ y).bit_count() <= 2 for x in range(300) for y in range(x))
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_edges(spark):
     rows = simhash.link(edge_docs(spark)).collect()
     assert len(rows) == len(EDGES)
