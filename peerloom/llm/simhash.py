@@ -294,6 +294,15 @@ def _verified_links(docs: DataFrame, groups: DataFrame, similarity: float, shing
     return links.union(more).select("a", "b")
 
 
+def _same_key(keys: DataFrame) -> DataFrame:
+    """a, b: each ``no`` and the smallest with an equal key (v, h), as stars.
+
+    ``keys`` are exploded, up to 200 rows for a text, and thus larger than Spark takes them for: never a broadcast.
+    """
+    star = keys.groupBy("v", "h").agg(F.min("no").alias("b"), F.max("no").alias("m")).where("b < m")
+    return keys.join(star.hint("merge"), ["v", "h"]).select(F.col("no").alias("a"), "b")
+
+
 def near_groups(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -320,8 +329,7 @@ def near_groups(
     keys = texts.select("no", F.posexplode("fps").alias("v", "h")).union(
         texts.select("no", F.lit(-1), F.col("fp"))
     ).union(texts.select("no", F.lit(-2), F.explode("cuts")))
-    star = keys.groupBy("v", "h").agg(F.min("no").alias("b"), F.max("no").alias("m")).where("b < m")
-    same = keys.join(star, ["v", "h"]).select(F.col("no").alias("a"), "b")
+    same = _same_key(keys)
     by_fp = texts.groupBy("fp").agg(F.min("no").alias("no"))
     pairs = range_join(by_fp.select("fp"), radius)
     close = (

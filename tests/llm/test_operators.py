@@ -248,6 +248,14 @@ def test_range_join_broadcasts_no_grid(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    keys = spark.range(300).select(F.col("id").alias("no"), F.posexplode(F.array(*[F.col("id") % k for k in (2, 7, 400)])).alias("v", "h"))
+    pairs = simhash._same_key(keys)
+    assert sorted(map(tuple, pairs.collect())) == sorted((x, x % k) for x in range(300) for k in (2, 7))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_edges(spark):
     rows = simhash.link(edge_docs(spark)).collect()
     assert len(rows) == len(EDGES)
