@@ -249,3 +249,34 @@ def test_edges(spark):
     assert len(rows) == len(none) and all(r["train_tokens"] == r["n_known"] == 0 and r["score"] < 0 for r in rows)
     big = [(2**62 + i, "large ids with null ids beside them") for i in range(3)] + [(None, "null")]
     assert {r["doc_id"] for r in lm.score(edge_docs(spark, big)).collect()} == {2**62, 2**62 + 1, 2**62 + 2, None}
+
+
+def test_words_and_runs_travel_packed(spark, small):
+    """Stored and shuffled tables have a row for each bucket (and chunk), not for each distinct word; no word is lost or counted twice."""
+    docs = small.repartition(3, "doc_id").localCheckpoint()
+    m = lm.learn(lm._rows(docs))
+    assert m.packed.count() <= 2 ** lm.BUCKET_BITS[0]
+    plan = lm.score(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "CoGroups" in plan
+    plain = Plain(m)
+    c, cz, runs, times = Counter(), Counter(), Counter(), Counter()
+    for r in docs.collect():
+        ws, n = sequence(r["text"]), int(zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 7 != 2)
+        z, hs, at = plain.topic(ws), [word_hash(w) for w in ws], 0
+        for i, w in enumerate(ws):
+            if w not in plain.symbol:
+                c[w] += n
+                cz[w, z] += n
+            p, q = (hs[i - 1] if i else 0), (hs[i - 2] if i > 1 else 0)
+            if i == len(ws) - 1 or final((hs[i] * lm.ODD + p * 0xC2B2AE3D27D4EB4F + q * 0x165667B19E3779F9) & MASK) % lm.RUN == 0:
+                if i + 1 - at >= lm.LEAST_RUN:
+                    name = b" " + final(poly(hs[at : i + 1])).to_bytes(8, "little")
+                    runs[name] += n
+                    times[name] += 1
+                at = i + 1
+    got = {bytes(r["word"]): r for r in m.vocab.collect()}
+    assert {w: r["c"] for w, r in got.items()} == dict(c) | {x: n for x, n in runs.items() if n and times[x] > 1}
+    assert {(w, k) for w, r in got.items() if w[:1] != b" " for k in range(lm.TOPICS) if r["topics"] >> k & 1} == set(cz)
+    assert all(got[w]["cz"][k] == n for (w, k), n in cz.items())
+    assert (m.rare, m.runs) == (sum(c.values()), sum(runs.values()))
+    assert m.by_topic == [sum(n for (_, k), n in cz.items() if k == t) for t in range(lm.TOPICS)]
