@@ -280,3 +280,22 @@ def test_words_and_runs_travel_packed(spark, small):
     assert all(got[w]["cz"][k] == n for (w, k), n in cz.items())
     assert (m.rare, m.runs) == (sum(c.values()), sum(runs.values()))
     assert m.by_topic == [sum(n for (_, k), n in cz.items() if k == t) for t in range(lm.TOPICS)]
+
+
+def test_shared_beginnings_are_spelled_once(monkeypatch):
+    """Words together are counted and priced as each alone, and only distinct beginnings are worked on."""
+    rand = random.Random(5)
+    words = sorted({b"anti" + bytes(rand.choices(b"abc", k=rand.randint(1, 9))) for _ in range(900)}) + [b"\n", b"anti"]
+    z = np.array([rand.randrange(3) for _ in words])
+    c = np.array([rand.choice([0, 1, 2, 300]) for _ in words])
+    worked, bits_of = [], lm._bits
+    monkeypatch.setattr(lm, "_bits", lambda raw, *a: (worked.append(len(raw)), bits_of(raw, *a))[1])
+    got = lm.count_spelling(words, z, c, 14)
+    starts = {(w if w == b"\n" else w + b" ")[: i + 1] + bytes([k]) for w, k in zip(words, z) for i in range(len(w) + (w != b"\n"))}
+    assert sum(worked) == len(starts) < sum(len(w) + 1 for w in words) / 2
+    alone = sum(lm.count_spelling([w], z[i : i + 1], c[i : i + 1], 14) for i, w in enumerate(words))
+    assert (got == alone).all()
+    mix = lm.Mix(lm.SPELL_ORDERS)
+    lm.spell(words, z, np.maximum(c, 1), lm.states(got), mix, learn=True)
+    together = lm.spell(words, z, c, lm.states(got), mix)
+    assert together == pytest.approx([lm.spell([w], z[i : i + 1], c[i : i + 1], lm.states(got), mix)[0] for i, w in enumerate(words)], rel=1e-5)
